@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memoriq.llm.knn import mutual_pairs, similar_vectors
 from memoriq.llm.mix import mixture, shares_report
 from memoriq.llm.pack import assign_containers, packing_report
 from memoriq.llm.split import split_oversized
@@ -43,15 +44,41 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar memories of each vector, of those with a cosine of 0.9 or more."""
+    rows = table(spark, sf_dir, "memory_embeddings")
+    rows = rows.select(F.col("profile_safe_id").alias("profile"), uid("memory_id").alias("id"), "embedding", "updated_at")
+    return similar_vectors(rows, k=5, least=0.9, dim=64)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutual_pairs(p7_neighbours(spark, sf_dir))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
 }
 
+_P7 = """
+WITH l AS (
+  SELECT profile_safe_id p, lower(memory_id) id, embedding::DOUBLE[] e,
+    row_number() OVER (PARTITION BY profile_safe_id, lower(memory_id) ORDER BY updated_at DESC NULLS LAST, embedding DESC NULLS LAST) rn
+  FROM memory_embeddings),
+v AS (SELECT p, id, e FROM l WHERE rn = 1 AND len(e) = 64 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+c AS (SELECT a.p, a.id, b.id neighbour, CASE WHEN a.e = b.e THEN 1.0 ELSE list_cosine_similarity(a.e, b.e) END cosine, a.e = b.e twin
+  FROM v a JOIN v b ON a.p = b.p AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY p, id ORDER BY twin DESC, cosine DESC, neighbour) AS rank FROM c WHERE cosine >= 0.9)
+"""
+
 SQL = {
+    "p7_found": _P7 + "SELECT DISTINCT p AS profile_safe_id, least(id, neighbour) id_a, greatest(id, neighbour) id_b FROM r WHERE rank <= 5",
+    "p7_neighbours": _P7 + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
     "p4_found": "SELECT DISTINCT lower(id) AS memory_id FROM memories WHERE length(text) > 1800",
 }
