@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memoriq.llm.knn import mutual_pairs, similar_vectors
 from memoriq.llm.mix import mixture, shares_report
+from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from memoriq.llm.pack import assign_containers, packing_report
 from memoriq.llm.split import split_oversized
 from memoriq.session import table, uid
@@ -18,6 +19,18 @@ def _memories(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return m.select(uid("id").alias("id"), *columns)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, pairs = near_duplicates(_memories(spark, sf_dir, "text"), width=3, threshold=0.5, min_words=12)
+    return all_pairs(members, pairs)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of memories by five words and 0.8, with the sources that captured each member."""
+    rows = _memories(spark, sf_dir, "text", "source")
+    sources = rows.groupBy("id").agg(F.min(F.lower(F.trim("source"))).alias("source"))
+    return duplicate_groups(rows).join(sources, "id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(_memories(spark, sf_dir, "text"))
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select(F.col("id").alias("memory_id")).distinct()
@@ -56,6 +69,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
@@ -77,7 +92,17 @@ c AS (SELECT a.p, a.id, b.id neighbour, CASE WHEN a.e = b.e THEN 1.0 ELSE list_c
 r AS (SELECT *, row_number() OVER (PARTITION BY p, id ORDER BY twin DESC, cosine DESC, neighbour) AS rank FROM c WHERE cosine >= 0.9)
 """
 
+_P1 = """
+WITH m AS (SELECT DISTINCT lower(id) id, text FROM memories WHERE text IS NOT NULL),
+w AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM m),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s
+  FROM (SELECT id, w, unnest(range(1, len(w) - 1)) i FROM w WHERE len(w) >= 12)),
+n AS (SELECT id, count(*) n FROM s GROUP BY id),
+c AS (SELECT a.id id_a, b.id id_b, count(*) k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+"""
+
 SQL = {
+    "p1_found": _P1 + "SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE 2 * k >= a.n + b.n - k",
     "p7_found": _P7 + "SELECT DISTINCT p AS profile_safe_id, least(id, neighbour) id_a, greatest(id, neighbour) id_b FROM r WHERE rank <= 5",
     "p7_neighbours": _P7 + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
     "p4_found": "SELECT DISTINCT lower(id) AS memory_id FROM memories WHERE length(text) > 1800",
