@@ -142,10 +142,17 @@ def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "c": total[at]})
 
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << low, np.uint64)
+        part[rows["bucket"].to_numpy() & ((1 << low) - 1)] = rows["c"].to_numpy()
+        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(part, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()]})
+
+    low = max(0, bits - 8)
     sums = sets.mapInPandas(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
-    got = sums.toPandas()
+    parts = sums.groupBy(F.shiftright("bucket", low).alias("part")).applyInPandas(pack, "part int, counts binary")
     sketch = np.zeros(1 << bits, np.uint32)
-    sketch[got["bucket"].to_numpy()] = np.minimum(got["c"].to_numpy(), np.iinfo(np.uint32).max)
+    for r in parts.toLocalIterator():  # at most 256 rows
+        sketch[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(r["counts"], np.uint32)
     return sketch
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memoriq.llm.knn import mutual_pairs, similar_vectors
 from memoriq.llm.mix import mixture, shares_report
+from memoriq.llm.names import link_names, linked_pairs
 from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from memoriq.llm.pack import assign_containers, packing_report
 from memoriq.llm.split import split_oversized
@@ -31,6 +32,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(rows).join(sources, "id")
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "entities").withColumn("id", uid("id"))
+    return link_names(rows, table(spark, sf_dir, "given_names"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_pairs(p3_entities(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(_memories(spark, sf_dir, "text"))
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select(F.col("id").alias("memory_id")).distinct()
@@ -71,6 +81,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
