@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,7 @@ from memoriq.session import written
 
 #: Longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-SKETCH_BITS = 21
+SKETCH_BITS = 24
 SHARD_ROWS = 2048
 
 
@@ -43,7 +44,7 @@ def words_of(text: str) -> list[str]:
 
 
 def shingle_hashes(words: list[str], width: int, held: dict):
-    """Distinct hashes of the runs of `width` words, as a sorted uint64 array. `held` caches words' hashes."""
+    """Distinct 32-bit hashes of the runs of `width` words, as a sorted array. `held` caches words' hashes."""
     import numpy as np
     import xxhash
 
@@ -58,14 +59,13 @@ def shingle_hashes(words: list[str], width: int, held: dict):
     h = np.array(codes, dtype=np.uint64)
     n = len(h) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     s = h[:n].copy()
     for k in range(1, width):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
         s ^= s >> np.uint64(29)
     s *= np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return np.unique((s >> np.uint64(32)).astype(np.uint32))
 
 
 class BKTree:
@@ -108,10 +108,13 @@ class BKTree:
 
 
 def shingle_sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(id, node, shingles): node is a 64-bit hash of the set. Null texts and texts below `min_words` words are left out."""
+    """(id, node, shingles): the set as packed 32-bit hashes in order, node its 64-bit hash.
+
+    Null texts and texts below `min_words` words are left out. Two different
+    shingles of one pair of texts share a hash with a chance of about n * m / 2**32.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
         import xxhash
 
         held: dict = {}
@@ -120,85 +123,128 @@ def shingle_sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
             for i, text in zip(b["id"], b["text"], strict=True):
                 words = words_of(text)
                 if len(words) >= max(min_words, width):
-                    s = shingle_hashes(words, width, held)
-                    node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
-                    out.append((i, node, s.view(np.int64)))
+                    packed = shingle_hashes(words, width, held).tobytes()
+                    out.append((i, xxhash.xxh64_intdigest(packed) - (1 << 63), packed))
             yield pd.DataFrame(out, columns=["id", "node", "shingles"])
 
     rows = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, node long, shingles array<long>")
+    return rows.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, node long, shingles binary")
+
+
+def _gather(counted: DataFrame, bits: int):
+    """Add up (part, counts) rows, each a compressed uint8 slice of a table of 2**bits saturating counts."""
+    import zlib
+
+    import numpy as np
+
+    low = max(0, bits - 8)
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << low, np.uint32)
+        for c in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint8)
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
+
+    table = np.zeros(1 << bits, np.uint8)
+    for r in counted.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():  # 256 rows at most
+        table[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return table
+
+
+def _slices(total, bits: int) -> pd.DataFrame:
+    import zlib
+
+    import numpy as np
+
+    low = max(0, bits - 8)
+    parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, 1 << low)
+    used = [p for p in range(len(parts)) if parts[p].any()]
+    return pd.DataFrame({"part": pd.Series(used, dtype="int32"), "counts": [zlib.compress(parts[p].tobytes(), 1) for p in used]})
 
 
 def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
-    """In how many sets a shingle of each of 2**bits buckets stands; never less than a shingle's own number. Fixed size."""
+    """In how many sets a shingle of each of 2**bits buckets stands, up to 255; never less than a shingle's own number."""
     import numpy as np
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            if len(b):
-                h = np.concatenate(b["shingles"].to_list()).astype(np.int64).view(np.uint64)
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "c": total[at]})
+            for at in range(0, len(b), 1000):
+                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32) >> np.uint32(32 - bits)
+                place, n = np.unique(h, return_counts=True)
+                total[place] += n.astype(np.uint32)
+        yield _slices(total, bits)
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(1 << low, np.uint64)
-        part[rows["bucket"].to_numpy() & ((1 << low) - 1)] = rows["c"].to_numpy()
-        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(part, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()]})
+    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits)
 
-    low = max(0, bits - 8)
-    sums = sets.mapInPandas(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
-    parts = sums.groupBy(F.shiftright("bucket", low).alias("part")).applyInPandas(pack, "part int, counts binary")
-    sketch = np.zeros(1 << bits, np.uint32)
-    for r in parts.toLocalIterator():  # at most 256 rows
-        sketch[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(r["counts"], np.uint32)
-    return sketch
+
+def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000) -> dict[int, int]:
+    """Exact numbers of the shingles in more than `shard_rows` sets. Beyond `limit` the least hot keep one shard: slower, not less."""
+    import numpy as np
+
+    full = sets.sparkSession.sparkContext.broadcast(sketch)
+    bits = int(len(sketch)).bit_length() - 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
+                h, n = np.unique(h[full.value[h >> np.uint32(32 - bits)] == 255], return_counts=True)
+                yield pd.DataFrame({"s": h.astype(np.int64), "n": n})
+
+    got = sets.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows)
+    return {r["s"]: r["n"] for r in got.orderBy(F.desc("n")).limit(limit).collect()}
 
 
 def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """All pairs of nodes (u < v, similarity) of `sets` (node, shingles; one row per node) at or above the threshold."""
-    spark = sets.sparkSession
-    counts = spark.sparkContext.broadcast(frequency_sketch(sets))
-    shift = 64 - SKETCH_BITS
+    """All pairs of nodes (u < v, similarity) of `sets` (node, shingles) at or above the threshold."""
+    import numpy as np
+
+    context = sets.sparkSession.sparkContext
+    sketch = frequency_sketch(sets)
+    counts, hot = context.broadcast(sketch), context.broadcast(hot_shingles(sets, sketch, shard_rows))
+    shift = np.uint32(32 - SKETCH_BITS)
     spread = (1 - threshold) / (1 + threshold)
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
+        done: set = set()  # copies within the task; the trees skip the others
         for b in batches:
-            blocks, cells, owners, sizes, prints = [], [], [], [], []
-            for node, shingles in zip(b["node"], b["shingles"], strict=True):
-                h = np.asarray(shingles, dtype=np.int64).view(np.uint64)
+            keys, items = [], []
+            for node, packed in zip(b["node"], b["shingles"], strict=True):
+                if node in done:
+                    continue
+                done.add(node)
+                h = np.frombuffer(packed, np.uint32)
                 n = len(h)
-                c = counts.value[(h >> np.uint64(shift)).astype(np.int64)]
+                c = counts.value[h >> shift].astype(np.int64)
+                if hot.value:
+                    c[c == 255] = [hot.value.get(x, 255) for x in h[c == 255].tolist()]
                 first = np.lexsort((h, c))[: n - math.ceil(round(threshold * n, 9)) + 1]
                 first = first[c[first] > 1]  # a shingle of one set has no partner
-                mark = np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes()
-                hot = c[first] > shard_rows
-                plain = first[~hot]
-                blocks += h[plain].view(np.int64).tolist()
-                cells += [0] * len(plain)
-                for k in first[hot]:
-                    g = int(-(-int(c[k]) // shard_rows))
-                    row = node % g
-                    blocks += [int(h[k].astype(np.int64))] * g
-                    cells += [min(row, j) * g + max(row, j) for j in range(g)]
-                more = len(blocks) - len(owners)
-                owners += [node] * more
-                sizes += [n] * more
-                prints += [mark] * more
-            yield pd.DataFrame({"block": blocks, "cell": cells, "node": owners, "n": sizes, "mark": prints})
+                mark = np.packbits((np.bincount(h & np.uint32(255), minlength=256) & 1).astype(np.uint8))
+                item = struct.pack("<qi", node, n) + mark.tobytes()
+                plain = h[first[c[first] <= shard_rows]].astype(np.int64) << 24
+                keys += plain.tolist()
+                items += [item] * len(plain)
+                for k in first[c[first] > shard_rows]:
+                    g = min(4095, int(-(-int(c[k]) // shard_rows)))
+                    row, block = node % g, int(h[k]) << 24
+                    keys += [block | min(row, j) << 12 | max(row, j) for j in range(g)]
+                    items += [item] * g
+            yield pd.DataFrame({"shard": pd.Series(keys, dtype="int64"), "item": items})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, here = BKTree(), None
-        seen: set = set()
+        tree, here, there, seen = BKTree(), None, set(), set()
         for b in batches:
             us, vs = [], []
-            for block, cell, node, n, mark in zip(b["block"], b["cell"], b["node"], b["n"], b["mark"], strict=True):
-                if (block, cell) != here:
-                    tree, here = BKTree(), (block, cell)
-                key = int.from_bytes(mark)
+            for shard, item in zip(b["shard"], b["item"], strict=True):
+                if shard != here:
+                    tree, here, there = BKTree(), shard, set()
+                node, n = struct.unpack_from("<qi", item)
+                if node in there:
+                    continue
+                there.add(node)
+                key = int.from_bytes(item[12:])
                 if tree.keys:
                     for d, (other, m) in tree.within(key, int(spread * (n + n / threshold) + 1e-9)):
                         if d <= spread * (n + m) + 1e-9 and min(n, m) >= threshold * max(n, m) - 1e-9:
@@ -208,17 +254,50 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
                                 us.append(pair[0])
                                 vs.append(pair[1])
                 tree.add(key, (node, n))
-            if len(seen) > 2_000_000:  # only spares repeats; they are removed below anyway
+            if len(seen) > 1_000_000:  # only spares repeats; they are removed below anyway
                 seen.clear()
             yield pd.DataFrame({"u": us, "v": vs}, dtype="int64")
 
-    placed = sets.select("node", "shingles").mapInPandas(shards, "block long, cell int, node long, n int, mark binary")
-    near = placed.repartition("block", "cell").sortWithinPartitions("block", "cell").mapInPandas(search, "u long, v long").distinct()
-    whole = sets.select("node", "shingles")
-    both = near.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    share = common / (F.size("a") + F.size("b") - common)
-    return both.select("u", "v", share.alias("similarity")).where(F.col("similarity") >= threshold)
+    placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, item binary")
+    near = placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "u long, v long").distinct()
+    return verified(written(near, "near-candidates"), sets, threshold)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose sets reach the threshold. Only sets of the pairs' nodes are shuffled: a bit table picks them."""
+    import numpy as np
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << SKETCH_BITS, np.uint8)
+        for b in batches:
+            for c in ("u", "v"):
+                total[b[c].to_numpy(np.int64) & ((1 << SKETCH_BITS) - 1)] = 1
+        yield _slices(total, SKETCH_BITS)
+
+    wanted = sets.sparkSession.sparkContext.broadcast(np.packbits(_gather(pairs.mapInPandas(mark, "part int, counts binary"), SKETCH_BITS) > 0))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set = set()
+        for b in batches:
+            at = b["node"].to_numpy(np.int64) & ((1 << SKETCH_BITS) - 1)
+            b = b[(wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
+            b = b[~b["node"].isin(done)].drop_duplicates("node")
+            done.update(b["node"].tolist())
+            yield b
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for u, v, x, y in zip(b["u"], b["v"], b["a"], b["b"], strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                k = len(np.intersect1d(x, y, assume_unique=True))
+                if k >= threshold * (len(x) + len(y) - k) - 1e-12:
+                    out.append((u, v, k / (len(x) + len(y) - k)))
+            yield pd.DataFrame(out, columns=["u", "v", "similarity"])
+
+    one = sets.select("node", "shingles").mapInPandas(pick, "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    both = pairs.join(one.toDF("u", "a"), "u").join(one.toDF("v", "b"), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long, similarity double")
 
 
 def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -229,9 +308,7 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     texts are left out, as are texts with fewer words than `width` or `min_words`.
     """
     sets = written(shingle_sets(texts, width, min_words), "shingles")
-    members = sets.select("id", "node").distinct()
-    nodes = written(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingle-nodes")
-    return members, similar_sets(nodes, threshold)
+    return sets.select("id", "node").distinct(), similar_sets(sets, threshold)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
