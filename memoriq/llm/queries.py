@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoriq.llm.knn import mutual_pairs, similar_vectors
+from memoriq.llm.level import reading_levels
 from memoriq.llm.mix import mixture, shares_report
 from memoriq.llm.names import link_names, linked_pairs
 from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
@@ -78,6 +79,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutual_pairs(p7_neighbours(spark, sf_dir))
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where("n_words >= 40").select("doc_id", "reading_level")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -91,6 +100,8 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 _P7 = """
