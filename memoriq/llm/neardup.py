@@ -196,6 +196,49 @@ def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000)
     return {r["s"]: r["n"] for r in got.orderBy(F.desc("n")).limit(limit).collect()}
 
 
+def mark_bits(n: int) -> int:
+    """Width of the parity sketch of a set of n: enough that unrelated sets stay apart."""
+    return min(8192, max(256, 1 << (3 * n - 1).bit_length()))
+
+
+def search_shard(items: list[bytes], threshold: float, seen: set, out: list) -> None:
+    """Add the shard's pairs within the radius to `out`, except those in `seen`.
+
+    Sketches fold: the halves' parities added are the sketch of half the width. A
+    tree holds the nodes of its own width and wider ones folded down to it, and two
+    nodes meet in the tree of the narrower.
+    """
+    if len(items) < 2:
+        return
+    spread = (1 - threshold) / (1 + threshold)
+    trees: dict[int, BKTree] = {}
+    there: set = set()
+    for item in items:
+        node, n = struct.unpack_from("<qi", item)
+        if node in there:
+            continue
+        there.add(node)
+        key, own = int.from_bytes(item[12:], "little"), (len(item) - 12) * 8
+        radius, least, width = int(spread * (n + n / threshold) + 1e-9), mark_bits(max(1, math.floor(threshold * n))), own
+        while True:
+            tree = trees.get(width)
+            if tree is None:
+                tree = trees[width] = BKTree()
+            else:
+                for d, (other, m) in tree.within(key, radius):
+                    # a wider partner was met in the tree of this node's own width
+                    if d <= spread * (n + m) + 1e-9 and threshold * n - 1e-9 <= m <= n / threshold + 1e-9 and (width == own or mark_bits(m) == width):
+                        pair = (node, other) if node < other else (other, node)
+                        if pair not in seen:
+                            seen.add(pair)
+                            out.append(pair)
+            tree.add(key, (node, n))
+            if width <= least:
+                break
+            width >>= 1
+            key = (key >> width) ^ (key & ((1 << width) - 1))
+
+
 def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """All pairs of nodes (u < v, similarity) of `sets` (node, shingles) at or above the threshold."""
     import numpy as np
@@ -204,7 +247,6 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
     sketch = frequency_sketch(sets)
     counts, hot = context.broadcast(sketch), context.broadcast(hot_shingles(sets, sketch, shard_rows))
     shift = np.uint32(32 - SKETCH_BITS)
-    spread = (1 - threshold) / (1 + threshold)
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set = set()  # copies within the task; the trees skip the others
@@ -221,7 +263,8 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
                     c[c == 255] = [hot.value.get(x, 255) for x in h[c == 255].tolist()]
                 first = np.lexsort((h, c))[: n - math.ceil(round(threshold * n, 9)) + 1]
                 first = first[c[first] > 1]  # a shingle of one set has no partner
-                mark = np.packbits((np.bincount(h & np.uint32(255), minlength=256) & 1).astype(np.uint8))
+                width = mark_bits(n)
+                mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
                 item = struct.pack("<qi", node, n) + mark.tobytes()
                 plain = h[first[c[first] <= shard_rows]].astype(np.int64) << 24
                 keys += plain.tolist()
@@ -234,29 +277,24 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
             yield pd.DataFrame({"shard": pd.Series(keys, dtype="int64"), "item": items})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, here, there, seen = BKTree(), None, set(), set()
+        seen: set = set()
+        held, at = [], np.zeros(0, np.int64)  # the last shard of a batch may go on in the next
         for b in batches:
-            us, vs = [], []
-            for shard, item in zip(b["shard"], b["item"], strict=True):
-                if shard != here:
-                    tree, here, there = BKTree(), shard, set()
-                node, n = struct.unpack_from("<qi", item)
-                if node in there:
-                    continue
-                there.add(node)
-                key = int.from_bytes(item[12:])
-                if tree.keys:
-                    for d, (other, m) in tree.within(key, int(spread * (n + n / threshold) + 1e-9)):
-                        if d <= spread * (n + m) + 1e-9 and min(n, m) >= threshold * max(n, m) - 1e-9:
-                            pair = (node, other) if node < other else (other, node)
-                            if pair not in seen:
-                                seen.add(pair)
-                                us.append(pair[0])
-                                vs.append(pair[1])
-                tree.add(key, (node, n))
+            held += b["item"].tolist()
+            at = np.concatenate([at, b["shard"].to_numpy(np.int64)])
+            ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+            starts = np.concatenate([[0], ends[:-1]])
+            full = (ends - starts > 1) & (ends < len(at))
+            out: list = []
+            for i, j in zip(starts[full].tolist(), ends[full].tolist(), strict=True):
+                search_shard(held[i:j], threshold, seen, out)
+            held, at = held[starts[-1] :], at[starts[-1] :]
             if len(seen) > 1_000_000:  # only spares repeats; they are removed below anyway
                 seen.clear()
-            yield pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        out = []
+        search_shard(held, threshold, seen, out)
+        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, item binary")
     near = placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "u long, v long").distinct()
