@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +36,7 @@ from memoriq.session import written
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 24
 SHARD_ROWS = 2048
+LEAF = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -162,20 +162,28 @@ def _slices(total, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"part": pd.Series(used, dtype="int32"), "counts": [zlib.compress(parts[p].tobytes(), 1) for p in used]})
 
 
+def buckets(h, bits: int = SKETCH_BITS):
+    """The two places of a 32-bit hash in a count sketch of two rows of 2**bits."""
+    import numpy as np
+
+    return h >> np.uint32(32 - bits), (h & np.uint32((1 << bits) - 1)) + np.uint32(1 << bits)
+
+
 def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
-    """In how many sets a shingle of each of 2**bits buckets stands, up to 255; never less than a shingle's own number."""
+    """In how many sets a shingle stands, up to 255: the lesser of its two places, never less than its own number."""
     import numpy as np
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(2 << bits, np.uint32)
         for b in batches:
             for at in range(0, len(b), 1000):
-                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32) >> np.uint32(32 - bits)
-                place, n = np.unique(h, return_counts=True)
-                total[place] += n.astype(np.uint32)
-        yield _slices(total, bits)
+                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
+                for place in buckets(h, bits):
+                    place, n = np.unique(place, return_counts=True)
+                    total[place] += n.astype(np.uint32)
+        yield _slices(total, bits + 1)
 
-    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits)
+    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits + 1)
 
 
 def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000) -> dict[int, int]:
@@ -183,13 +191,15 @@ def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000)
     import numpy as np
 
     full = sets.sparkSession.sparkContext.broadcast(sketch)
-    bits = int(len(sketch)).bit_length() - 1
+    if not (sketch == 255).any():
+        return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1000):
                 h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
-                h, n = np.unique(h[full.value[h >> np.uint32(32 - bits)] == 255], return_counts=True)
+                one, two = buckets(h)
+                h, n = np.unique(h[(full.value[one] == 255) & (full.value[two] == 255)], return_counts=True)
                 yield pd.DataFrame({"s": h.astype(np.int64), "n": n})
 
     got = sets.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows)
@@ -198,36 +208,50 @@ def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000)
 
 def mark_bits(n: int) -> int:
     """Width of the parity sketch of a set of n: enough that unrelated sets stay apart."""
-    return min(8192, max(256, 1 << (3 * n - 1).bit_length()))
+    return min(4096, max(256, 1 << (2 * n - 1).bit_length()))
 
 
-def search_shard(items: list[bytes], threshold: float, seen: set, out: list) -> None:
-    """Add the shard's pairs within the radius to `out`, except those in `seen`.
+def search_shard(nodes: list[int], sizes: list[int], marks: list[bytes], threshold: float, seen: set, out: list) -> None:
+    """Add the shard's pairs within the radius to `out`. `seen` holds pairs that were settled in other shards.
 
     Sketches fold: the halves' parities added are the sketch of half the width. A
     tree holds the nodes of its own width and wider ones folded down to it, and two
-    nodes meet in the tree of the narrower.
+    nodes meet in the tree of the narrower. Up to LEAF nodes are one leaf, whose
+    members are compared directly.
     """
-    if len(items) < 2:
-        return
     spread = (1 - threshold) / (1 + threshold)
+    if len(nodes) <= LEAF:
+        for j in range(1, len(nodes)):
+            v, m = nodes[j], sizes[j]
+            for i in range(j):
+                u, n = nodes[i], sizes[i]
+                if (n >= threshold * m - 1e-9 if n < m else m >= threshold * n - 1e-9) and u != v:
+                    pair = (u, v) if u < v else (v, u)
+                    if pair not in seen:
+                        seen.add(pair)
+                        x, y = marks[i], marks[j]
+                        if len(x) != len(y):
+                            x, y = (fold(x, len(y)), y) if len(x) > len(y) else (x, fold(y, len(x)))
+                        if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= spread * (n + m) + 1e-9:
+                            out.append(pair)
+        return
     trees: dict[int, BKTree] = {}
     there: set = set()
-    for item in items:
-        node, n = struct.unpack_from("<qi", item)
+    for node, n, mark in zip(nodes, sizes, marks, strict=True):
         if node in there:
             continue
         there.add(node)
-        key, own = int.from_bytes(item[12:], "little"), (len(item) - 12) * 8
-        radius, least, width = int(spread * (n + n / threshold) + 1e-9), mark_bits(max(1, math.floor(threshold * n))), own
+        own = width = len(mark)
+        radius, least = int(spread * (n + n / threshold) + 1e-9), mark_bits(max(1, math.floor(threshold * n))) // 8
         while True:
+            key = int.from_bytes(mark)
             tree = trees.get(width)
             if tree is None:
                 tree = trees[width] = BKTree()
             else:
                 for d, (other, m) in tree.within(key, radius):
                     # a wider partner was met in the tree of this node's own width
-                    if d <= spread * (n + m) + 1e-9 and threshold * n - 1e-9 <= m <= n / threshold + 1e-9 and (width == own or mark_bits(m) == width):
+                    if d <= spread * (n + m) + 1e-9 and threshold * n - 1e-9 <= m <= n / threshold + 1e-9 and (width == own or mark_bits(m) == width * 8):
                         pair = (node, other) if node < other else (other, node)
                         if pair not in seen:
                             seen.add(pair)
@@ -236,7 +260,15 @@ def search_shard(items: list[bytes], threshold: float, seen: set, out: list) ->
             if width <= least:
                 break
             width >>= 1
-            key = (key >> width) ^ (key & ((1 << width) - 1))
+            mark = fold(mark, width)
+
+
+def fold(mark: bytes, size: int) -> bytes:
+    """The parity sketch of `size` bytes of a wider one."""
+    while len(mark) > size:
+        half = len(mark) // 2
+        mark = (int.from_bytes(mark[:half]) ^ int.from_bytes(mark[half:])).to_bytes(half)
+    return mark
 
 
 def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -246,57 +278,61 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
     context = sets.sparkSession.sparkContext
     sketch = frequency_sketch(sets)
     counts, hot = context.broadcast(sketch), context.broadcast(hot_shingles(sets, sketch, shard_rows))
-    shift = np.uint32(32 - SKETCH_BITS)
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set = set()  # copies within the task; the trees skip the others
         for b in batches:
-            keys, items = [], []
+            keys, owners, sizes, marks = [], [], [], []
             for node, packed in zip(b["node"], b["shingles"], strict=True):
                 if node in done:
                     continue
                 done.add(node)
                 h = np.frombuffer(packed, np.uint32)
                 n = len(h)
-                c = counts.value[h >> shift].astype(np.int64)
+                one, two = buckets(h)
+                c = np.minimum(counts.value[one], counts.value[two]).astype(np.int64)
                 if hot.value:
                     c[c == 255] = [hot.value.get(x, 255) for x in h[c == 255].tolist()]
                 first = np.lexsort((h, c))[: n - math.ceil(round(threshold * n, 9)) + 1]
                 first = first[c[first] > 1]  # a shingle of one set has no partner
                 width = mark_bits(n)
                 mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
-                item = struct.pack("<qi", node, n) + mark.tobytes()
                 plain = h[first[c[first] <= shard_rows]].astype(np.int64) << 24
+                before = len(keys)
                 keys += plain.tolist()
-                items += [item] * len(plain)
                 for k in first[c[first] > shard_rows]:
                     g = min(4095, int(-(-int(c[k]) // shard_rows)))
                     row, block = node % g, int(h[k]) << 24
                     keys += [block | min(row, j) << 12 | max(row, j) for j in range(g)]
-                    items += [item] * g
-            yield pd.DataFrame({"shard": pd.Series(keys, dtype="int64"), "item": items})
+                more = len(keys) - before
+                owners += [node] * more
+                sizes += [n] * more
+                marks += [mark.tobytes()] * more
+            yield pd.DataFrame({"shard": pd.Series(keys, dtype="int64"), "node": owners, "n": sizes, "mark": marks})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
-        held, at = [], np.zeros(0, np.int64)  # the last shard of a batch may go on in the next
+        held = None  # the last shard of a batch may go on in the next
         for b in batches:
-            held += b["item"].tolist()
-            at = np.concatenate([at, b["shard"].to_numpy(np.int64)])
+            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+            at = held["shard"].to_numpy(np.int64)
             ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
             starts = np.concatenate([[0], ends[:-1]])
             full = (ends - starts > 1) & (ends < len(at))
+            nodes, sizes, marks = held["node"].tolist(), held["n"].tolist(), held["mark"].tolist()
             out: list = []
             for i, j in zip(starts[full].tolist(), ends[full].tolist(), strict=True):
-                search_shard(held[i:j], threshold, seen, out)
-            held, at = held[starts[-1] :], at[starts[-1] :]
+                search_shard(nodes[i:j], sizes[i:j], marks[i:j], threshold, seen, out)
+            held = held[starts[-1] :] if len(at) else held
             if len(seen) > 1_000_000:  # only spares repeats; they are removed below anyway
                 seen.clear()
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-        out = []
-        search_shard(held, threshold, seen, out)
-        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        if held is not None:
+            out = []
+            search_shard(held["node"].tolist(), held["n"].tolist(), held["mark"].tolist(), threshold, seen, out)
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, item binary")
+    placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, node long, n int, mark binary")
     near = placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "u long, v long").distinct()
     return verified(written(near, "near-candidates"), sets, threshold)
 

@@ -11,6 +11,7 @@ from memoriq.llm.mix import mixture, shares_report
 from memoriq.llm.names import link_names, linked_pairs
 from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from memoriq.llm.pack import assign_containers, packing_report
+from memoriq.llm.pii import find_personal, redact_personal
 from memoriq.llm.split import split_oversized
 from memoriq.session import table, uid
 
@@ -68,6 +69,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _distinct_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per memory with its text; the aggregate also spreads small files over the tasks."""
+    rows = _memories(spark, sf_dir, "text").where(F.col("text").isNotNull())
+    return rows.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(_distinct_memories(spark, sf_dir)).withColumnRenamed("id", "memory_id")
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_personal(_distinct_memories(spark, sf_dir)).withColumnRenamed("id", "memory_id")
+
+
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar memories of each vector, of those with a cosine of 0.9 or more."""
     rows = table(spark, sf_dir, "memory_embeddings")
@@ -94,6 +109,8 @@ QUERIES = {
     "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
     "p8_containers": p8_containers,
