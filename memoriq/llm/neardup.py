@@ -34,7 +34,7 @@ from memoriq.session import written
 
 #: Longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-SKETCH_BITS = 24
+SKETCH_BITS = 22
 SHARD_ROWS = 2048
 LEAF = 8
 
@@ -162,28 +162,20 @@ def _slices(total, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"part": pd.Series(used, dtype="int32"), "counts": [zlib.compress(parts[p].tobytes(), 1) for p in used]})
 
 
-def buckets(h, bits: int = SKETCH_BITS):
-    """The two places of a 32-bit hash in a count sketch of two rows of 2**bits."""
-    import numpy as np
-
-    return h >> np.uint32(32 - bits), (h & np.uint32((1 << bits) - 1)) + np.uint32(1 << bits)
-
-
 def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
-    """In how many sets a shingle stands, up to 255: the lesser of its two places, never less than its own number."""
+    """In how many sets a shingle of each of 2**bits places stands, up to 255; never less than a shingle's own number."""
     import numpy as np
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 << bits, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for at in range(0, len(b), 1000):
-                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
-                for place in buckets(h, bits):
-                    place, n = np.unique(place, return_counts=True)
-                    total[place] += n.astype(np.uint32)
-        yield _slices(total, bits + 1)
+                place = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32) >> np.uint32(32 - bits)
+                place, n = np.unique(place, return_counts=True)
+                total[place] += n.astype(np.uint32)
+        yield _slices(total, bits)
 
-    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits + 1)
+    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits)
 
 
 def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000) -> dict[int, int]:
@@ -198,8 +190,7 @@ def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000)
         for b in batches:
             for at in range(0, len(b), 1000):
                 h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
-                one, two = buckets(h)
-                h, n = np.unique(h[(full.value[one] == 255) & (full.value[two] == 255)], return_counts=True)
+                h, n = np.unique(h[full.value[h >> np.uint32(32 - SKETCH_BITS)] == 255], return_counts=True)
                 yield pd.DataFrame({"s": h.astype(np.int64), "n": n})
 
     got = sets.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows)
@@ -211,30 +202,62 @@ def mark_bits(n: int) -> int:
     return min(4096, max(256, 1 << (2 * n - 1).bit_length()))
 
 
-def search_shard(nodes: list[int], sizes: list[int], marks: list[bytes], threshold: float, seen: set, out: list) -> None:
-    """Add the shard's pairs within the radius to `out`. `seen` holds pairs that were settled in other shards.
+def whole_shards(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard, in chunks of about `rows` that cut no shard."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            chunk = pd.concat(held, ignore_index=True)
+            at = int(chunk["shard"].searchsorted(chunk["shard"].iloc[-1]))
+            held = [chunk[at:]]
+            if at:
+                yield chunk[:at]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def search_leaves(starts, ends, nodes, sizes, marks, threshold: float, seen: set, out: list) -> None:
+    """Pairs within the radius in shards of up to LEAF nodes: a tree of one leaf, whose members are compared directly."""
+    import numpy as np
+
+    spread = (1 - threshold) / (1 + threshold)
+    length = np.repeat(ends - starts, ends - starts)
+    stop = np.repeat(ends, ends - starts)
+    firsts, seconds = [], []
+    for o in range(1, LEAF):
+        i = np.flatnonzero((length <= LEAF) & (np.arange(len(nodes)) + o < stop))
+        j = i + o
+        n, m = sizes[i], sizes[j]
+        ok = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (nodes[i] != nodes[j])
+        firsts.append(i[ok])
+        seconds.append(j[ok])
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    if not len(i):
+        return
+    u, v = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+    order = np.lexsort((v, u))  # each pair once, however many shards it shares
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
+    pick = order[first]
+    for a, b, pair in zip(i[pick].tolist(), j[pick].tolist(), zip(u[pick].tolist(), v[pick].tolist(), strict=True), strict=True):
+        if pair not in seen:
+            seen.add(pair)
+            x, y = marks[a], marks[b]
+            if len(x) != len(y):
+                x, y = (fold(x, len(y)), y) if len(x) > len(y) else (x, fold(y, len(x)))
+            if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= spread * int(sizes[a] + sizes[b]) + 1e-9:
+                out.append(pair)
+
+
+def search_tree(nodes: list[int], sizes: list[int], marks: list[bytes], threshold: float, seen: set, out: list) -> None:
+    """Add a shard's pairs within the radius to `out`. `seen` holds pairs that were settled in other shards.
 
     Sketches fold: the halves' parities added are the sketch of half the width. A
     tree holds the nodes of its own width and wider ones folded down to it, and two
-    nodes meet in the tree of the narrower. Up to LEAF nodes are one leaf, whose
-    members are compared directly.
+    nodes meet in the tree of the narrower.
     """
     spread = (1 - threshold) / (1 + threshold)
-    if len(nodes) <= LEAF:
-        for j in range(1, len(nodes)):
-            v, m = nodes[j], sizes[j]
-            for i in range(j):
-                u, n = nodes[i], sizes[i]
-                if (n >= threshold * m - 1e-9 if n < m else m >= threshold * n - 1e-9) and u != v:
-                    pair = (u, v) if u < v else (v, u)
-                    if pair not in seen:
-                        seen.add(pair)
-                        x, y = marks[i], marks[j]
-                        if len(x) != len(y):
-                            x, y = (fold(x, len(y)), y) if len(x) > len(y) else (x, fold(y, len(x)))
-                        if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= spread * (n + m) + 1e-9:
-                            out.append(pair)
-        return
     trees: dict[int, BKTree] = {}
     there: set = set()
     for node, n, mark in zip(nodes, sizes, marks, strict=True):
@@ -282,55 +305,59 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set = set()  # copies within the task; the trees skip the others
         for b in batches:
-            keys, owners, sizes, marks = [], [], [], []
+            keys, owners, sizes, marks, rows = [], [], [], [], []
             for node, packed in zip(b["node"], b["shingles"], strict=True):
                 if node in done:
                     continue
                 done.add(node)
                 h = np.frombuffer(packed, np.uint32)
                 n = len(h)
-                one, two = buckets(h)
-                c = np.minimum(counts.value[one], counts.value[two]).astype(np.int64)
+                c = counts.value[h >> np.uint32(32 - SKETCH_BITS)].astype(np.int64)
                 if hot.value:
                     c[c == 255] = [hot.value.get(x, 255) for x in h[c == 255].tolist()]
-                first = np.lexsort((h, c))[: n - math.ceil(round(threshold * n, 9)) + 1]
-                first = first[c[first] > 1]  # a shingle of one set has no partner
+                # rare first, equally common ones by hash; a shingle of one set has no partner
+                rank = (c << 32) | h
+                rank.sort()
+                rank = rank[: n - math.ceil(round(threshold * n, 9)) + 1]
+                rank = rank[rank >= 2 << 32]
                 width = mark_bits(n)
-                mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
-                plain = h[first[c[first] <= shard_rows]].astype(np.int64) << 24
-                before = len(keys)
-                keys += plain.tolist()
-                for k in first[c[first] > shard_rows]:
-                    g = min(4095, int(-(-int(c[k]) // shard_rows)))
-                    row, block = node % g, int(h[k]) << 24
-                    keys += [block | min(row, j) << 12 | max(row, j) for j in range(g)]
-                more = len(keys) - before
-                owners += [node] * more
-                sizes += [n] * more
-                marks += [mark.tobytes()] * more
-            yield pd.DataFrame({"shard": pd.Series(keys, dtype="int64"), "node": owners, "n": sizes, "mark": marks})
+                mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8))
+                keys.append((rank & 0xFFFFFFFF) << 24)
+                if len(rank) and rank[-1] >> 32 > shard_rows:
+                    spread = rank[rank >> 32 > shard_rows]
+                    keys[-1] = keys[-1][: len(rank) - len(spread)]
+                    for c, x in zip((spread >> 32).tolist(), (spread & 0xFFFFFFFF).tolist(), strict=True):
+                        g = min(4095, -(-c // shard_rows))
+                        row = node % g
+                        cells = [x << 24 | min(row, j) << 12 | max(row, j) for j in range(g)]
+                        keys[-1] = np.concatenate([keys[-1], np.array(cells, np.int64)])
+                owners.append(node)
+                sizes.append(n)
+                marks.append(mark.tobytes())
+                rows.append(len(keys[-1]))
+            yield pd.DataFrame(
+                {
+                    "shard": np.concatenate([np.zeros(0, np.int64), *keys]),
+                    "node": np.repeat(np.array(owners, np.int64), rows),
+                    "n": np.repeat(np.array(sizes, np.int32), rows),
+                    "mark": np.repeat(np.array(marks, object), rows),
+                }
+            )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
-        held = None  # the last shard of a batch may go on in the next
-        for b in batches:
-            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
-            at = held["shard"].to_numpy(np.int64)
+        for chunk in whole_shards(batches):
+            at = chunk["shard"].to_numpy(np.int64)
+            nodes, sizes, marks = chunk["node"].to_numpy(np.int64), chunk["n"].to_numpy(np.int64), chunk["mark"].to_numpy()
             ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
             starts = np.concatenate([[0], ends[:-1]])
-            full = (ends - starts > 1) & (ends < len(at))
-            nodes, sizes, marks = held["node"].tolist(), held["n"].tolist(), held["mark"].tolist()
             out: list = []
-            for i, j in zip(starts[full].tolist(), ends[full].tolist(), strict=True):
-                search_shard(nodes[i:j], sizes[i:j], marks[i:j], threshold, seen, out)
-            held = held[starts[-1] :] if len(at) else held
+            search_leaves(starts, ends, nodes, sizes, marks, threshold, seen, out)
+            for i, j in zip(starts[ends - starts > LEAF].tolist(), ends[ends - starts > LEAF].tolist(), strict=True):
+                search_tree(nodes[i:j].tolist(), sizes[i:j].tolist(), marks[i:j].tolist(), threshold, seen, out)
             if len(seen) > 1_000_000:  # only spares repeats; they are removed below anyway
                 seen.clear()
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-        if held is not None:
-            out = []
-            search_shard(held["node"].tolist(), held["n"].tolist(), held["mark"].tolist(), threshold, seen, out)
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, node long, n int, mark binary")
     near = placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "u long, v long").distinct()

@@ -174,7 +174,7 @@ def spans_of(path) -> list[tuple[int, int, str]]:
 _WORD = re.compile(r"[^\W_]+")
 _MAIL = re.compile(r"[^\s@()<>,;:/]+(?:\s?@\s?|\s?[(\[]at[)\]]\s?|\s+at\s+)[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\s+dot\s+)[\w-]+)+", re.I)
 #: Titles and words that introduce a name or a place; they don't belong to a name.
-_TITLE = re.compile(r"(?:dr|prof|mr|mrs|ms|miss|herr|frau|sra?|attn|cc|met|contact|call|ring|bei|mit|con|en|in|at|for|near|lake|mount|saint|north)\b\.?:?\s+", re.I)
+_TITLE = re.compile(r"(?:dr|prof|mr|mrs|ms|miss|herr|frau|sra?|attn|cc|met|contact|call|ring|ask|bei|mit|con|en|in|at|for|near|lake|mount|saint|north)\b\.?:?\s+", re.I)
 _POSTCODE = re.compile(r" \d{5}\b")
 
 
@@ -205,6 +205,8 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
             ok = 5 <= sum(c.isdigit() for c in piece) <= 14
         elif kind == "address":
             ok = any(c.isdigit() for c in piece) and len(_WORD.findall(piece)) >= 2
+            if text[max(0, a - 3) : a] == "C/ ":
+                a -= 3
             if piece.endswith(".") and not re.search(r"(?:\bSt|str)\.$", piece):
                 b -= 1
             m = _POSTCODE.match(text, b)
@@ -219,7 +221,10 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
             elif piece.endswith(".") and not re.search(r"(?:^|[\s,])[^\W\d_]\.$", piece):
                 b -= 1
             piece = text[a:b]
-            ok = len(_WORD.findall(piece)) >= 2 or re.search(r"[a-z][A-Z]", piece) is not None
+            parts = _WORD.findall(piece)
+            # a name is written in one way: not one part capitalised and another in small letters
+            mixed = len({p[0].isupper() for p in parts}) > 1
+            ok = not mixed and (len(parts) >= 2 or re.search(r"[a-z][A-Z]", piece) is not None)
         if ok and b > a and (not out or a >= out[-1][1]):
             out.append((a, b, kind))
     return out

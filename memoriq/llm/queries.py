@@ -76,7 +76,7 @@ def _distinct_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(_distinct_memories(spark, sf_dir)).withColumnRenamed("id", "memory_id")
+    return find_personal(_memories(spark, sf_dir, "text")).withColumnRenamed("id", "memory_id").distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
