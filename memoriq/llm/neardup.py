@@ -36,7 +36,7 @@ from memoriq.session import written
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 22
 SHARD_ROWS = 2048
-LEAF = 8
+LEAF = 64
 
 
 def words_of(text: str) -> list[str]:
@@ -132,7 +132,7 @@ def shingle_sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
 
 
 def _gather(counted: DataFrame, bits: int):
-    """Add up (part, counts) rows, each a compressed uint8 slice of a table of 2**bits saturating counts."""
+    """Add up (part, counts) rows, each a compressed uint32 slice of a table of 2**bits counts, into a table of codes."""
     import zlib
 
     import numpy as np
@@ -140,10 +140,10 @@ def _gather(counted: DataFrame, bits: int):
     low = max(0, bits - 8)
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << low, np.uint32)
+        total = np.zeros(1 << low, np.uint64)
         for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint8)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(coded(total).tobytes(), 1)]})
 
     table = np.zeros(1 << bits, np.uint8)
     for r in counted.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():  # 256 rows at most
@@ -151,19 +151,31 @@ def _gather(counted: DataFrame, bits: int):
     return table
 
 
+def coded(count):
+    """A count as one byte, in order: itself up to 64, then eight steps for every doubling."""
+    import numpy as np
+
+    return np.minimum(255, np.where(count <= 64, count, 64 + np.ceil(8 * np.log2(np.maximum(count, 1) / 64)))).astype(np.uint8)
+
+
+def decoded(code: int) -> float:
+    """The largest count of a code."""
+    return float(code) if code <= 64 else 64 * 2 ** ((code - 64) / 8)
+
+
 def _slices(total, bits: int) -> pd.DataFrame:
     import zlib
 
     import numpy as np
 
     low = max(0, bits - 8)
-    parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, 1 << low)
+    parts = total.astype(np.uint32).reshape(-1, 1 << low)
     used = [p for p in range(len(parts)) if parts[p].any()]
     return pd.DataFrame({"part": pd.Series(used, dtype="int32"), "counts": [zlib.compress(parts[p].tobytes(), 1) for p in used]})
 
 
 def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
-    """In how many sets a shingle of each of 2**bits places stands, up to 255; never less than a shingle's own number."""
+    """In how many sets a shingle of each of 2**bits places stands, as codes; never less than a shingle's own number."""
     import numpy as np
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,30 +183,10 @@ def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
         for b in batches:
             for at in range(0, len(b), 1000):
                 place = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32) >> np.uint32(32 - bits)
-                place, n = np.unique(place, return_counts=True)
-                total[place] += n.astype(np.uint32)
+                np.add.at(total, place, np.uint32(1))
         yield _slices(total, bits)
 
-    return _gather(sets.mapInPandas(count, "part int, counts binary"), bits)
-
-
-def hot_shingles(sets: DataFrame, sketch, shard_rows: int, limit: int = 100_000) -> dict[int, int]:
-    """Exact numbers of the shingles in more than `shard_rows` sets. Beyond `limit` the least hot keep one shard: slower, not less."""
-    import numpy as np
-
-    full = sets.sparkSession.sparkContext.broadcast(sketch)
-    if not (sketch == 255).any():
-        return {}
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                h = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32)
-                h, n = np.unique(h[full.value[h >> np.uint32(32 - SKETCH_BITS)] == 255], return_counts=True)
-                yield pd.DataFrame({"s": h.astype(np.int64), "n": n})
-
-    got = sets.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows)
-    return {r["s"]: r["n"] for r in got.orderBy(F.desc("n")).limit(limit).collect()}
+    return _gather(sets.select("shingles").mapInPandas(count, "part int, counts binary"), bits)
 
 
 def mark_bits(n: int) -> int:
@@ -225,8 +217,10 @@ def search_leaves(starts, ends, nodes, sizes, marks, threshold: float, seen: set
     length = np.repeat(ends - starts, ends - starts)
     stop = np.repeat(ends, ends - starts)
     firsts, seconds = [], []
+    places = np.flatnonzero(length <= LEAF)
     for o in range(1, LEAF):
-        i = np.flatnonzero((length <= LEAF) & (np.arange(len(nodes)) + o < stop))
+        places = places[places + o < stop[places]]
+        i = places
         j = i + o
         n, m = sizes[i], sizes[j]
         ok = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (nodes[i] != nodes[j])
@@ -236,6 +230,10 @@ def search_leaves(starts, ends, nodes, sizes, marks, threshold: float, seen: set
     if not len(i):
         return
     u, v = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+    # all sketches folded to the least width: a first bound for all pairs at once
+    least = np.frombuffer(b"".join([m if len(m) == 32 else fold(m, 32) for m in marks]), np.uint64).reshape(-1, 4)
+    near = np.bitwise_count(least[i] ^ least[j]).sum(1) <= spread * (sizes[i] + sizes[j]) + 1e-9
+    i, j, u, v = i[near], j[near], u[near], v[near]
     order = np.lexsort((v, u))  # each pair once, however many shards it shares
     first = np.ones(len(order), bool)
     first[1:] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
@@ -300,7 +298,8 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
 
     context = sets.sparkSession.sparkContext
     sketch = frequency_sketch(sets)
-    counts, hot = context.broadcast(sketch), context.broadcast(hot_shingles(sets, sketch, shard_rows))
+    counts = context.broadcast(sketch)
+    hot = int(coded(np.array(shard_rows))) + 1  # codes from here on mean more than `shard_rows` sets
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set = set()  # copies within the task; the trees skip the others
@@ -313,8 +312,6 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
                 h = np.frombuffer(packed, np.uint32)
                 n = len(h)
                 c = counts.value[h >> np.uint32(32 - SKETCH_BITS)].astype(np.int64)
-                if hot.value:
-                    c[c == 255] = [hot.value.get(x, 255) for x in h[c == 255].tolist()]
                 # rare first, equally common ones by hash; a shingle of one set has no partner
                 rank = (c << 32) | h
                 rank.sort()
@@ -323,11 +320,11 @@ def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
                 width = mark_bits(n)
                 mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8))
                 keys.append((rank & 0xFFFFFFFF) << 24)
-                if len(rank) and rank[-1] >> 32 > shard_rows:
-                    spread = rank[rank >> 32 > shard_rows]
+                if len(rank) and rank[-1] >> 32 >= hot:
+                    spread = rank[rank >> 32 >= hot]
                     keys[-1] = keys[-1][: len(rank) - len(spread)]
                     for c, x in zip((spread >> 32).tolist(), (spread & 0xFFFFFFFF).tolist(), strict=True):
-                        g = min(4095, -(-c // shard_rows))
+                        g = min(4095, math.ceil(decoded(c) / shard_rows))
                         row = node % g
                         cells = [x << 24 | min(row, j) << 12 | max(row, j) for j in range(g)]
                         keys[-1] = np.concatenate([keys[-1], np.array(cells, np.int64)])
