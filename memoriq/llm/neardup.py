@@ -43,20 +43,23 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def shingle_hashes(words: list[str], width: int, held: dict):
+class WordHashes(dict):
+    """64-bit hashes of words, computed once."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingle_hashes(words: list[str], width: int, held: WordHashes):
     """Distinct 32-bit hashes of the runs of `width` words, as a sorted array. `held` caches words' hashes."""
     import numpy as np
-    import xxhash
 
     if len(held) > 1_000_000:
         held.clear()
-    codes = []
-    for w in words:
-        h = held.get(w)
-        if h is None:
-            h = held[w] = xxhash.xxh64_intdigest(w)
-        codes.append(h)
-    h = np.array(codes, dtype=np.uint64)
+    h = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
@@ -117,7 +120,7 @@ def shingle_sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        held: dict = {}
+        held = WordHashes()
         for b in batches:
             out = []
             for i, text in zip(b["id"], b["text"], strict=True):
