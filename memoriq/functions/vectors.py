@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,7 +55,7 @@ def padded(tokens: Column, length: int, fill: int = 0) -> tuple[Column, Column]:
     return ids, mask
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """Little-endian packed float32."""
     import numpy as np
@@ -62,7 +63,7 @@ def to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Inverse of to_blob; a tail shorter than a float is ignored."""
     import numpy as np

@@ -15,6 +15,7 @@ from memoriq.operators import filters as P
 from memoriq.operators import graph as G
 from memoriq.operators import merge as M
 from memoriq.operators import quality as Q
+from memoriq.plans import oracle
 from memoriq.plans import recall as R
 from memoriq.session import table
 from memoriq.sources import model as D
@@ -334,7 +335,7 @@ def outbox_stats(spark, d):
 
 
 def outbox_batch(spark, d):
-    return A.next_batch(table(spark, d, "outbox").dropDuplicates(["id"]).select("id", "created_at", "sent_at"), 100).select("id")
+    return A.next_batch(D.outbox(spark, d).select("id", "created_at", "sent_at"), 100).select("id")
 
 
 def outbox_routes(spark, d):
@@ -399,7 +400,7 @@ def entity_first_spelling(spark, d):
 
 def outbox_marks(spark, d):
     """Pending rows after a status log: the first half of each id's range is sent, the rest fails once."""
-    rows = table(spark, d, "outbox").dropDuplicates(["id"]).select("id", "sent_at", "last_attempt_at", "last_error", "attempt_count")
+    rows = D.outbox(spark, d).select("id", "sent_at", "last_attempt_at", "last_error", "attempt_count")
     at = F.timestamp_micros(F.lit(S.as_of_us(AS_OF)))
     log = rows.where("sent_at IS NULL").select("id", at.alias("at"), F.when(F.substring("id", 1, 1) >= "8", "refused").alias("error"))
     return M.with_status(rows.select("id", "sent_at", "last_attempt_at", "last_error", "attempt_count"), log).agg(
@@ -594,4 +595,4 @@ QUERIES = {
         language_profile,
     )
 }
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

@@ -8,26 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memoriq.session import table, uid
 
-MEMORY = T.StructType.fromDDL(
-    "id string, text string, created_at timestamp, occurred_at timestamp, source string, conversation_id string, language string, sentiment double,"
-    " embedding_backend string, embedding_profile string, embedding_dim int, metadata string, tombstoned boolean"
-)
-ENTITY = T.StructType.fromDDL("id string, canonical_name string, entity_type string, aliases array<string>")
-MENTION = T.StructType.fromDDL("id string, memory_id string, entity_id string, start_offset bigint, end_offset bigint, created_at timestamp")
-RELATION = T.StructType.fromDDL("id string, subject_entity_id string, predicate string, object_entity_id string, provenance_memory_id string, created_at timestamp")
-TAG = T.StructType.fromDDL("id string, name string")
-MEMORY_TAG = T.StructType.fromDDL("memory_id string, tag_id string")
-OUTBOX = T.StructType.fromDDL(
-    "id string, record_type string, record_id string, operation string, payload string, created_at timestamp, sent_at timestamp,"
-    " last_attempt_at timestamp, last_error string, attempt_count int"
-)
-EMBEDDING = T.StructType.fromDDL("profile_safe_id string, memory_id string, embedding array<float>, updated_at timestamp")
-EVAL_MEMORY = T.StructType.fromDDL("id string, text string, created_at string, occurred_at string, source string, tags array<string>, entities array<string>")
-EVAL_QUERY = T.StructType.fromDDL("id string, query string, grades map<string,int>")
+MEMORY = ("id string, text string, created_at timestamp, occurred_at timestamp, source string, conversation_id string, language string, sentiment double,"
+    " embedding_backend string, embedding_profile string, embedding_dim int, metadata string, tombstoned boolean")
+ENTITY = "id string, canonical_name string, entity_type string, aliases array<string>"
+MENTION = "id string, memory_id string, entity_id string, start_offset bigint, end_offset bigint, created_at timestamp"
+RELATION = "id string, subject_entity_id string, predicate string, object_entity_id string, provenance_memory_id string, created_at timestamp"
+TAG = "id string, name string"
+MEMORY_TAG = "memory_id string, tag_id string"
+OUTBOX = ("id string, record_type string, record_id string, operation string, payload string, created_at timestamp, sent_at timestamp,"
+    " last_attempt_at timestamp, last_error string, attempt_count int")
+EMBEDDING = "profile_safe_id string, memory_id string, embedding array<float>, updated_at timestamp"
+EVAL_MEMORY = "id string, text string, created_at string, occurred_at string, source string, tags array<string>, entities array<string>"
+EVAL_QUERY = "id string, query string, grades map<string,int>"
 
 
 def tags_column() -> Column:
@@ -55,6 +50,13 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(ids).dropDuplicates(["id"])
 
 
+def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per change: of its deliveries the one with the highest attempt_count, then the last to arrive."""
+    rows = table(spark, sf_dir, "outbox")
+    key = F.struct(F.coalesce("attempt_count", F.lit(-1)).alias("a"), F.col("arrival_no").alias("b"), F.struct(*rows.columns).alias("row"))
+    return rows.groupBy(uid("id").alias("_id")).agg(F.max(key).alias("k")).select("k.row.*")
+
+
 def vectors(spark: SparkSession, sf_dir: str, profile: str, dim: int = 64) -> DataFrame:
     """(memory_id, embedding) of one profile: the latest row of each memory, if it is a vector of `dim` with a length."""
     rows = table(spark, sf_dir, "memory_embeddings").where(F.col("profile_safe_id") == profile)

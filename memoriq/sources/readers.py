@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memoriq.functions.text import capitalised_entities, commit_tags, note_id, sections, title_of
 from memoriq.sources.model import EVAL_MEMORY, EVAL_QUERY
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record a line; blank lines are skipped, broken ones give nulls."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
