@@ -24,7 +24,7 @@ def as_of_us(as_of: datetime | str) -> int:
 def recency(at: Column, as_of: datetime | str, half_life_days: float = 30.0) -> Column:
     """0.5 ** (age / half-life); the future counts as now, a null time scores 0."""
     age = F.greatest(F.lit(0.0), (F.lit(as_of_us(as_of)) - F.unix_micros(at)) / F.lit(float(DAY_US)))
-    return F.coalesce(F.pow(F.lit(0.5), age / F.lit(max(0.001, half_life_days))), F.lit(0.0))
+    return F.when(at.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), age / F.lit(max(0.001, half_life_days))))
 
 
 def graph_score(is_seed: Column, shared: Column) -> Column:

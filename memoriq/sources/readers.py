@@ -46,15 +46,15 @@ def read_commits(spark: SparkSession, log_path: str, files_path: str | None = No
     A record holds sha, ISO date, subject and body, each on its own line (the body
     may go on). `files_path` is a dump of the shas, each before its file names.
     """
-    text = spark.read.option("wholetext", True).text(log_path)
-    records = text.select(F.explode(F.split("value", "\x00")).alias("r")).select(F.regexp_replace("r", r"^\s+", "").alias("r")).where("r != ''")
+    text = spark.read.text(log_path, lineSep="\x00")  # a record is a line here, so that a long log splits
+    records = text.select(F.regexp_replace("value", r"^\s+", "").alias("r")).where("r != ''")
     parts = F.split("r", "\n", 4)
     commits = records.select(
-        parts[0].alias("sha"), parts[1].alias("date"), parts[2].alias("subject"), F.trim(F.coalesce(F.get(parts, F.lit(3)), F.lit(""))).alias("body")
+        *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("sha", "date", "subject"))], F.trim(F.coalesce(F.get(parts, F.lit(3)), F.lit(""))).alias("body")
     )
     if files_path:
-        dump = spark.read.option("wholetext", True).text(files_path)
-        blocks = dump.select(F.explode(F.split("value", "\x00")).alias("b")).select(F.split(F.trim("b"), r"\n+").alias("l")).where(F.size("l") > 0)
+        dump = spark.read.text(files_path, lineSep="\x00")
+        blocks = dump.select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\n+").alias("l")).where(F.get("l", F.lit(0)) != "")
         files = blocks.select(F.col("l")[0].alias("sha"), F.filter(F.slice("l", 2, 1_000_000), lambda f: f != "").alias("files"))
         commits = commits.join(files, "sha", "left")
     else:
