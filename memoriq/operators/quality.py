@@ -12,9 +12,11 @@ def gain(grade: Column, place: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(place + F.lit(1.0))
 
 
-def metrics(ranked: DataFrame, grades: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+def metrics(ranked: DataFrame, grades: DataFrame, k: int = 5, by: tuple[str, ...] = (), runs: DataFrame | None = None) -> DataFrame:
     """Per query: rr, ndcg and success at k. `ranked` (by..., query_id, id, rank), `grades` (query_id, id, grade).
 
+    `runs` lists the values of `by`; by default those of `ranked`.
+
     The ideal is taken from all grades of a query. Queries without grades don't
     count; graded queries without hits score 0.
     """
@@ -24,7 +26,8 @@ def metrics(ranked: DataFrame, grades: DataFrame, k: int = 5, by: tuple[str, ...
     top = ranked.where(F.col("rank") <= k)
     hits = top.join(g, ["query_id", "id"]).where("grade >= 1")
     per = hits.groupBy(*by, "query_id").agg(F.min("rank").alias("first"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    runs = ranked.select(*by).distinct() if by else None
+    if by:
+        runs = (ranked if runs is None else runs).select(*by).distinct()
     frame = ideal if runs is None else ideal.crossJoin(F.broadcast(runs))  # one row for each run (ablation or weight set)
     rows = frame.join(per, [*by, "query_id"], "left")
     return rows.select(

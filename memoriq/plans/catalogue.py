@@ -17,7 +17,7 @@ from memoriq.operators import merge as M
 from memoriq.operators import quality as Q
 from memoriq.plans import oracle
 from memoriq.plans import recall as R
-from memoriq.session import table
+from memoriq.session import table, written
 from memoriq.sources import model as D
 from memoriq.streaming import mirror as Z
 
@@ -420,13 +420,14 @@ def _grades(spark, d):
     """Grades of the batch's memories: 2 where a title word is in the text, 1 where the source fits a term's length."""
     q = _batch(spark, d).select("query_id", F.explode("terms").alias("lexeme"))
     p = B.postings(P.alive(_mem(spark, d))).select("id", "lexeme", "weight")
-    return p.join(q, "lexeme").groupBy("query_id", "id").agg(F.when(F.sum("weight") >= 2, 2).otherwise(1).alias("grade"))
+    graded = p.join(q, "lexeme").groupBy("query_id", "id").agg(F.when(F.sum("weight") >= 2, 2).otherwise(1).alias("grade"))
+    return written(graded, "grades")  # read by every metric
 
 
 def _hits(spark, d):
     o = _options(k=25)
     rows = R.recall_many(_mem(spark, d), _vec(spark, d), _batch(spark, d), o)
-    return rows.select("query_id", "id", "rank", "semantic", "recency", F.lit(1.0).alias("graph"), "lexical")
+    return written(rows.select("query_id", "id", "rank", "semantic", "recency", F.lit(1.0).alias("graph"), "lexical"), "hits")
 
 
 def mrr_at_k(spark, d):
@@ -446,13 +447,13 @@ _RUN = "run string, a double, b double, g double, d double"
 
 
 def ablation_metrics(spark, d):
-    ranked = Q.weighted(_hits(spark, d), spark.createDataFrame(_ABLATIONS, _RUN), 5)
-    return Q.means(Q.metrics(ranked, _grades(spark, d), by=("run",)), ("run",))
+    runs = spark.createDataFrame(_ABLATIONS, _RUN)
+    return Q.means(Q.metrics(Q.weighted(_hits(spark, d), runs, 5), _grades(spark, d), by=("run",), runs=runs), ("run",))
 
 
 def weight_sweep(spark, d):
     grid = Q.coarse_grid(spark)
-    scored = Q.means(Q.metrics(Q.weighted(_hits(spark, d), grid, 5), _grades(spark, d), by=("run",)), ("run",)).join(F.broadcast(grid), "run")
+    scored = Q.means(Q.metrics(Q.weighted(_hits(spark, d), grid, 5), _grades(spark, d), by=("run",), runs=grid), ("run",)).join(F.broadcast(grid), "run")
     return Q.best_weights(scored).select("run", "mrr", "ndcg")
 
 

@@ -89,6 +89,22 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A result whose size the query itself bounds (a top-k, branch budgets): computed once and held as a local table."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least a partition for every core, for work that costs far more than moving its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def literal(spark: SparkSession, column: Column):
+    """The value of a column expression that reads no table."""
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
 def uid(col: str | Column) -> Column:
     """The canonical (lower-case) form of a uuid."""
     return F.lower(F.col(col) if isinstance(col, str) else col)
