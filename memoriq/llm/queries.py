@@ -13,7 +13,7 @@ from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from memoriq.llm.pack import assign_containers, packing_report
 from memoriq.llm.pii import find_personal, redact_personal
 from memoriq.llm.split import split_oversized
-from memoriq.session import table, uid
+from memoriq.session import spread, table, uid
 
 
 def _memories(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -70,13 +70,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distinct_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per memory with its text; the aggregate also spreads small files over the tasks."""
-    rows = _memories(spark, sf_dir, "text").where(F.col("text").isNotNull())
-    return rows.groupBy("id").agg(F.min("text").alias("text"))
+    """One row per memory with its text."""
+    return spread(_memories(spark, sf_dir, "text").where(F.col("text").isNotNull()).groupBy("id").agg(F.min("text").alias("text")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(_memories(spark, sf_dir, "text")).withColumnRenamed("id", "memory_id").distinct()
+    return find_personal(spread(_memories(spark, sf_dir, "text"))).withColumnRenamed("id", "memory_id").distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
