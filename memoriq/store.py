@@ -7,6 +7,7 @@ may be rebuilt from itself.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,36 @@ class SnapshotTable:
         if old and not keep_previous:
             remove_path(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+
+class Catalog:
+    """Several tables that change together: `_CURRENT` maps each to its folder and is replaced in one rename."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+
+    def _live(self) -> dict:
+        text = read_text(self.spark, f"{self.root}/_CURRENT")
+        return json.loads(text) if text else {"version": 0, "tables": {}}
+
+    def version(self) -> int:
+        return self._live()["version"]
+
+    def read(self, name: str) -> DataFrame:
+        folder = self._live()["tables"].get(name)
+        if folder is None:
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{folder}")
+
+    def commit(self, **changed: DataFrame) -> int:
+        """Write the changed tables whole, then make all of them live at once. Returns the new version."""
+        live = self._live()
+        version = live["version"] + 1
+        tables = dict(live["tables"])
+        for name, df in changed.items():
+            folder = f"{name}/v={version}-{uuid.uuid4().hex[:8]}"
+            shape = self.spark.createDataFrame([], self.schemas[name]).schema
+            df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in shape]).write.parquet(f"{self.root}/{folder}")
+            tables[name] = folder
+        write_text(self.spark, f"{self.root}/_CURRENT", json.dumps({"version": version, "tables": tables}))
+        return version
