@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
 from pyspark.sql import functions as F
 
 from memoriq.functions import scores as S
 from memoriq.functions import text as X
 from memoriq.functions import times as T
 from memoriq.functions import vectors as V
+from memoriq.functions.enrich import WordEnricher, enriched
+from memoriq.functions.stem import stem, stemmed
 from memoriq.operators import aggregates as A
 from memoriq.operators import branches as B
 from memoriq.operators import filters as P
@@ -17,7 +20,7 @@ from memoriq.operators import merge as M
 from memoriq.operators import quality as Q
 from memoriq.plans import oracle
 from memoriq.plans import recall as R
-from memoriq.session import table, written
+from memoriq.session import literal, shared_dir, table, written
 from memoriq.sources import model as D
 from memoriq.streaming import mirror as Z
 
@@ -245,6 +248,20 @@ def memory_tags(spark, d):
     return each.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("tag"))).alias("tags"))
 
 
+def lexical_stemmed(spark, d):
+    """Memories by stems of the question's words, each counted in the text."""
+    wanted = F.array(*[F.lit(stem(w)) for w in literal(spark, _terms())])
+    rows = P.alive(_mem(spark, d)).select("id", stemmed()(X.words(F.col("text"))).alias("stems"))
+    score = F.size(F.filter("stems", lambda s: F.array_contains(wanted, s)))
+    return rows.select("id", score.alias("lexical")).where("lexical > 0").orderBy(F.desc("lexical"), "id").limit(25)
+
+
+def enrich_memories(spark, d):
+    """Language, sentiment, entities and embedding of every memory by the built-in provider."""
+    rows = enriched(_mem(spark, d).select("id", "text"), WordEnricher())
+    return rows.select("id", "language", _r("sentiment").alias("sentiment"), F.size("found").alias("n_entities"), F.size("embedding").alias("dim"))
+
+
 def tag_ids(spark, d):
     each = _mem(spark, d).select(F.explode(D.tags_column()).alias("name")).distinct()
     return each.select("name", X.named_uuid(F.col("name")).alias("id"))
@@ -408,6 +425,14 @@ def outbox_marks(spark, d):
     )
 
 
+def mirror_stream(spark, d):
+    """The outbox streamed through the mirror; its records must be what the batch operator finds."""
+    mirror = Z.Mirror(spark, f"{shared_dir(spark)}/mirror-{uuid.uuid4().hex}")
+    schema = table(spark, d, "outbox").schema
+    mirror.run(f"{d}/outbox*.parquet", schema, max_files=10_000).awaitTermination()
+    return mirror.records()
+
+
 def event_windows(spark, d):
     rows = Z.windowed_counts(table(spark, d, "events"))
     return rows.select("start_us", "event_type", "n", _r("total", 2).alias("total"))
@@ -590,7 +615,7 @@ QUERIES = {
         prefilter_limit, recall_local, recall_around, recall_around_batch, seed_union_merge, branch_counts, graph_neighbors, expand_graph,
         recall_hybrid, recall_batch, relate_traverse_khop, outbox_stats, outbox_batch, outbox_routes, backlog_alarm, retry_backoff,
         upsert_latest_wins, upsert_memories, replace_mentions, insert_tags, delete_cascade, soft_delete, entity_first_spelling, outbox_marks,
-        event_windows, mrr_at_k, ndcg_at_k, success_at_k, ablation_metrics, weight_sweep, fine_grid, failure_labels, failure_table, parity_jaccard,
+        mirror_stream, lexical_stemmed, enrich_memories, event_windows, mrr_at_k, ndcg_at_k, success_at_k, ablation_metrics, weight_sweep, fine_grid, failure_labels, failure_table, parity_jaccard,
         parity_spearman, latency_stats, grade_overlap, grade_around_date, grade_cells, chunk_h2, chunk_packed, head_truncate, title_extract,
         note_ids, commit_tags, company_slugs, text_predicates, time_buckets, iso_times, now_fields, parse_dates, folder_survey, distinct_months,
         language_profile,

@@ -261,3 +261,11 @@ SQL = {
         SELECT DISTINCT round(a, 3) a, round(b, 3) b, round(g, 3) g, round(d, 3) d FROM d WHERE d BETWEEN 0 AND 1""",
 }
 SQL["failure_table"] = f"SELECT CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END stratum, label, count(*) n FROM ({SQL['failure_labels']}) GROUP BY ALL"
+SQL["mirror_stream"] = """
+    WITH d AS (SELECT lower(id) change_id, lower(record_id) record_id, lower(trim(operation)) op, created_at, payload,
+        row_number() OVER (PARTITION BY lower(id) ORDER BY coalesce(attempt_count, -1) DESC, arrival_no DESC) rn
+        FROM outbox WHERE record_type = 'memory' AND record_id IS NOT NULL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY created_at NULLS FIRST, change_id) pos FROM d WHERE rn = 1),
+    b AS (SELECT record_id, max(pos) base FROM c WHERE op <> 'update' GROUP BY record_id)
+    SELECT c.record_id, c.change_id, c.payload FROM b JOIN c k ON k.record_id = b.record_id AND k.pos = b.base AND k.op <> 'delete'
+    JOIN c ON c.record_id = b.record_id AND c.pos = (SELECT max(pos) FROM c x WHERE x.record_id = b.record_id)"""

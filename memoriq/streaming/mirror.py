@@ -32,7 +32,8 @@ class Mirror:
     changes, so applying a batch twice or batches out of order ends in the same
     state; each application is one atomic publication. Rows with a fault go to a
     quarantine table with their number of attempts and the next time to try; the
-    rest of the batch is applied.
+    rest of the batch is applied. Of deliveries of one change that differ the best
+    counts within a batch; across batches they are changes of the same id.
     """
 
     def __init__(self, spark: SparkSession, root: str, fault: Callable[[Column, Column], Column] = fault_of, max_attempts: int | None = None):
