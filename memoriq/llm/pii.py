@@ -1,7 +1,7 @@
 """Find personal information in free text and replace it with typed placeholders.
 
 A character-level bidirectional LSTM with CRF transitions labels every character
-(outside, or begin/inside of one of five kinds). It is trained in numpy by
+as outside or as part of one of five kinds (two places of one kind never touch). It is trained in numpy by
 `pii_train` from labelled spans; its weights are a file of this package. Texts of
 any length are decoded in overlapping windows; where two overlap, each place is
 labelled by the window that sees further on both sides, and a span that runs over
@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-HIDDEN = 32
+TAGS = 1 + len(KINDS)  # outside, then each kind
 WINDOW, MARGIN = 512, 48
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
@@ -70,26 +69,32 @@ def lstm(weights: dict, x, lengths):
     rows = np.arange(b)[:, None]
     both = np.stack([x, x[rows, turn]])  # (2, B, T)
     wx, wh = weights["wx"], weights["wh"]  # (2, V, 4H), (2, H, 4H), gates i f o g; sigmoid gates halved
-    h = np.zeros((2, b, HIDDEN), np.float32)
+    hidden = wh.shape[1]
+    h = np.zeros((2, b, hidden), np.float32)
     c = np.zeros_like(h)
-    out = np.empty((t, 2, b, HIDDEN), np.float32)
-    gates = np.empty((2, b, 4 * HIDDEN), np.float32)
+    out = np.empty((t, 2, b, hidden), np.float32)
+    gates = np.empty((2, b, 4 * hidden), np.float32)
+    inputs = np.empty((b, 4 * hidden), np.float32)
+    kept = np.empty_like(h)
+    sigmoid = gates[:, :, : 3 * hidden]
+    i, f, o, g = (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
     for k in range(t):
         np.matmul(h, wh, out=gates)
-        gates[0] += wx[0][both[0, :, k]]
-        gates[1] += wx[1][both[1, :, k]]
+        for d in (0, 1):
+            np.take(wx[d], both[d, :, k], axis=0, out=inputs, mode="clip")
+            gates[d] += inputs
         np.tanh(gates, out=gates)
-        s = gates[:, :, : 3 * HIDDEN]
-        s *= 0.5
-        s += 0.5
-        c *= s[:, :, HIDDEN : 2 * HIDDEN]
-        c += s[:, :, :HIDDEN] * gates[:, :, 3 * HIDDEN :]
-        h = np.tanh(c)
-        h *= s[:, :, 2 * HIDDEN :]
-        out[k] = h
+        sigmoid *= 0.5
+        sigmoid += 0.5
+        c *= f
+        np.multiply(i, g, out=kept)
+        c += kept
+        h = out[k]
+        np.tanh(c, out=h)
+        h *= o
     forward = out[:, 0].transpose(1, 0, 2)
     backward = out[:, 1].transpose(1, 0, 2)[rows, turn]
-    return forward @ weights["wo"][:HIDDEN] + backward @ weights["wo"][HIDDEN:] + weights["bo"]
+    return forward @ weights["wo"][:hidden] + backward @ weights["wo"][hidden:] + weights["bo"]
 
 
 def viterbi(scores, lengths, trans):
@@ -116,7 +121,7 @@ def viterbi(scores, lengths, trans):
     return path
 
 
-def label_texts(texts: list[str], weights: dict, window: int = WINDOW, margin: int = MARGIN, group: int = 384) -> list[list[tuple[int, int, str]]]:
+def label_texts(texts: list[str], weights: dict, window: int = WINDOW, margin: int = MARGIN, group: int = 512) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text. Windows are decoded singly; their paths, each up to the middle of an overlap, join to one."""
     import numpy as np
 
@@ -150,22 +155,18 @@ def label_texts(texts: list[str], weights: dict, window: int = WINDOW, margin: i
 
 
 def spans_of(path) -> list[tuple[int, int, str]]:
-    """Tag path -> spans; an inside tag without its begin opens a span too."""
+    """Tag path -> spans."""
     import numpy as np
 
-    spans: list[tuple[int, int, str]] = []
-    kind = (path.astype(np.int64) + 1) // 2
-    edges = np.flatnonzero((np.diff(kind, prepend=0) != 0) | ((path % 2 == 1) & (path > 0)))
-    for a, b in zip(edges, np.append(edges, len(path))[1:], strict=True):
-        if kind[a]:
-            spans.append((int(a), int(b), KINDS[kind[a] - 1]))
-    return spans
+    edges = np.flatnonzero(np.diff(path, prepend=0) != 0)
+    ends = np.append(edges, len(path))[1:]
+    return [(int(a), int(b), KINDS[path[a] - 1]) for a, b in zip(edges, ends, strict=True) if path[a]]
 
 
 _WORD = re.compile(r"[^\W_]+")
 _MAIL = re.compile(r"[^\s@()<>,;:/]+(?:\s?@\s?|\s?[(\[]at[)\]]\s?|\s+at\s+)[\w-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\s+dot\s+)[\w-]+)+", re.I)
 #: Titles and words that introduce a name or a place; they don't belong to a name.
-_TITLE = re.compile(r"(?:dr|prof|mr|mrs|ms|miss|herr|frau|sra?|attn|cc|met|contact|call|ring|ask|bei|mit|con|en|in|at|for|near|lake|mount|saint|north)\b\.?:?\s+", re.I)
+_TITLE = re.compile(r"(?:dr|prof|mr|mrs|ms|miss|herr|frau|sra?|attn|cc|met|contact|call|ring|ask|bei|mit|con|en|in|at|for|near|lake|mount|mt|saint|st|north)\b\.?:?\s+", re.I)
 _POSTCODE = re.compile(r" \d{5}\b")
 
 
@@ -233,8 +234,8 @@ def _runner(path: str):
 
     def run(texts: list) -> list[list[tuple[int, int, str]]]:
         found: list = []
-        for at in range(0, len(texts), 1000):
-            found += label_texts([t or "" for t in texts[at : at + 1000]], weights)
+        for at in range(0, len(texts), 4000):
+            found += label_texts([t or "" for t in texts[at : at + 4000]], weights)
         return found
 
     return run

@@ -19,7 +19,9 @@ from collections import Counter
 import numpy as np
 
 from memoriq.llm.names import distance, fold, parse
-from memoriq.llm.pii import CLASSES, HIDDEN, KINDS, TAGS, encode
+from memoriq.llm.pii import CLASSES, KINDS, TAGS, encode
+
+HIDDEN = 32
 
 _CAP = r"[A-ZÄÖÜ][\w'’-]+"
 _STREET = r"(?:Street|St\.?|Road|Rd|Avenue|Ave|Lane|Ln|Close|Way|Drive|Court|Place|Square)"
@@ -150,7 +152,8 @@ class Maker:
                 tail = re.search(r"(?:straße|strasse|str|weg|gasse|allee|platz)$", w)
                 keep = w[-rng.choice((3, 4, 5)) :] if not tail else w[-len(tail[0]) - 4 :]
                 return (self.stem(2) + keep).capitalize()
-            return re.sub(r"\d", lambda m: rng.choice("0123456789"), re.sub(r"[^\W\d_]+", swap, old))
+            new = re.sub(r"\d", lambda m: rng.choice("0123456789"), re.sub(r"[^\W\d_]+", swap, old))
+            return rng.choice((new.lower(), new.upper())) if rng.random() < 0.15 else new
         return re.sub(r"[a-z]{4,}", lambda m: m.group() if m.group() in ("example", "invalid", "test", "mail", "notes") or rng.random() < 0.3 else self.stem(max(2, len(m.group()) // 2)), old)
 
     def text(self, text: str, spans: list) -> tuple[str, list]:
@@ -170,15 +173,12 @@ class Maker:
 def tags_of(n: int, spans: list):
     y = np.zeros(n, np.int8)
     for a, b, kind in spans:
-        k = KINDS.index(kind)
-        y[a:b] = 2 + 2 * k
-        y[a] = 1 + 2 * k
+        y[a:b] = 1 + KINDS.index(kind)
     return y
 
 
-def initial(seed: int) -> dict:
+def initial(seed: int, h: int = HIDDEN) -> dict:
     g = np.random.default_rng(seed)
-    h = HIDDEN
     bias = np.zeros(4 * h)
     bias[h : 2 * h] = 1.0
     return {
@@ -193,7 +193,7 @@ def initial(seed: int) -> dict:
 def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     """Mean CRF loss per character of full windows x, y (B, T), and its gradients. Gate inputs of sigmoids are halved in `pii`; here they are plain."""
     b, t = x.shape
-    h = HIDDEN
+    h = p["wh"].shape[1]
     both = np.stack([x, x[:, ::-1]])
     H = np.zeros((t + 1, 2, b, h), np.float32)
     C = np.zeros((t + 1, 2, b, h), np.float32)
@@ -277,24 +277,26 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     return loss, g
 
 
-def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128, rate: float = 6e-3, seed: int = 5, maker: Maker | None = None, log=print) -> dict:
+def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128, rate: float = 6e-3, seed: int = 5, maker: Maker | None = None, hidden: int = HIDDEN, log=print) -> dict:
     """Weights for `pii` from (text, spans) examples."""
     rng = random.Random(seed)
-    p = initial(seed)
+    p = initial(seed, hidden)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
-    with_spans = [e for e in examples if e[1]]
+    by_kind = {k: found for k in KINDS if (found := [e for e in examples if any(s[2] == k for s in e[1])])}
+    kinds = [k for k in by_kind for _ in range(2 if k == "name" else 1)]
     running = 0.0
     for step in range(1, steps + 1):
         x, y = np.zeros((batch, window), np.uint8), np.zeros((batch, window), np.int8)
         for r in range(batch):
-            text, spans = rng.choice(with_spans if rng.random() < 0.7 and with_spans else examples)
+            kind = rng.choice(kinds) if kinds and rng.random() < 0.75 else None
+            text, spans = rng.choice(by_kind[kind] if kind else examples)
             if maker:
                 text, spans = maker.text(text, spans)
             code, tags = encode(text), tags_of(len(text), spans)
             at = rng.randrange(-window // 4, max(1, len(text) - window // 2))
-            if spans and rng.random() < 0.7:
-                a, b, _ = rng.choice(spans)
+            if kind and rng.random() < 0.9:
+                a, b, _ = rng.choice([s for s in spans if s[2] == kind])
                 at = (a + b) // 2 - rng.randrange(window // 8, window - window // 8)
             at = max(0, min(at, len(text) - window))
             n = min(window, len(text) - at)
@@ -311,7 +313,7 @@ def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128,
         running = loss if step == 1 else 0.98 * running + 0.02 * loss
         if step % 100 == 0:
             log(step, round(running, 5), flush=True)
-    h = 3 * HIDDEN  # `pii.lstm` takes tanh of half the sigmoids' inputs
+    h = 3 * hidden  # `pii.lstm` takes tanh of half the sigmoids' inputs
     p["wx"][:, :, :h] *= 0.5
     p["wh"][:, :, :h] *= 0.5
     return p
@@ -333,10 +335,10 @@ def labelled(tables: str, sample: int = 12_000, seed: int = 3) -> tuple[list, Na
     return out, names
 
 
-def main(tables: str, out: str, steps: str = "2500") -> None:
+def main(tables: str, out: str, steps: str = "2500", hidden: str = str(HIDDEN)) -> None:
     examples, names = labelled(tables)
     held, used = examples[:800], examples[800:]
-    w = train(used, steps=int(steps), maker=Maker(names, random.Random(11)))
+    w = train(used, steps=int(steps), hidden=int(hidden), maker=Maker(names, random.Random(11)))
     np.savez_compressed(out, **{k: v.astype(np.float16 if k in ("wx", "wh") else np.float32) for k, v in w.items()})
     print(score(held, w))
 
