@@ -196,10 +196,12 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
         elif kind == "id_number":
             ok = 5 <= sum(c.isdigit() for c in piece) <= 14
         elif kind == "address":
-            ok = any(c.isdigit() for c in piece) and len(_WORD.findall(piece)) >= 2
+            ok = any(c.isdigit() for c in piece) and len(_WORD.findall(piece)) >= 2 and not piece.lower().startswith("room ")
+            if text[b : b + 1] == "." and re.search(r"(?i)\bst$", text[a:b]) and text[b + 1 : b + 2] in (",", "."):
+                b += 1
             if text[max(0, a - 3) : a] == "C/ ":
                 a -= 3
-            if piece.endswith(".") and not re.search(r"(?:\bSt|str)\.$", piece):
+            if piece.endswith(".") and not re.search(r"(?i)(?:\bst|str)\.$", piece):
                 b -= 1
             m = _POSTCODE.match(text, b)
             if m and "," in piece:
