@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,15 @@ def latency_stats(samples: DataFrame, value: str = "ms", by: tuple[str, ...] = (
     )
 
 
+def sampled_days(rows: DataFrame, day: Column, n: int = 6) -> DataFrame:
+    """(place, day): up to n of the distinct days, every (number of days // n)-th from the first."""
+    days = rows.where(day.isNotNull()).select(day.alias("day")).distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy("day")  # distinct days: a few thousand for any span of texts
+    placed = days.select("day", (F.row_number().over(order) - 1).alias("at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("whole"))
+    stride = F.greatest(F.lit(1), F.floor(F.col("whole") / n))
+    return placed.where((F.col("at") % stride == 0) & (F.col("at") / stride < n)).select((F.col("at") / stride).cast("int").alias("place"), "day")
+
+
 def folder_survey(notes: DataFrame, folder: str = "source", at: str = "created_at") -> DataFrame:
     """Rows, first and last time of each folder."""
     return notes.groupBy(F.lower(F.trim(folder)).alias("folder")).agg(

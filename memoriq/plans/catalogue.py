@@ -601,6 +601,10 @@ def distinct_months(spark, d):
     return _mem(spark, d).agg(F.countDistinct(day).alias("n_days"), F.countDistinct(F.date_format(day, "yyyy-MM")).alias("n_months"))
 
 
+def sampled_days(spark, d):
+    return A.sampled_days(_mem(spark, d), F.date_format(T.utc_date(F.col("created_at")), "yyyy-MM-dd"))
+
+
 def language_profile(spark, d):
     return _mem(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("sentiment")).alias("sentiment"))
 
@@ -618,7 +622,7 @@ QUERIES = {
         mirror_stream, lexical_stemmed, enrich_memories, event_windows, mrr_at_k, ndcg_at_k, success_at_k, ablation_metrics, weight_sweep, fine_grid, failure_labels, failure_table, parity_jaccard,
         parity_spearman, latency_stats, grade_overlap, grade_around_date, grade_cells, chunk_h2, chunk_packed, head_truncate, title_extract,
         note_ids, commit_tags, company_slugs, text_predicates, time_buckets, iso_times, now_fields, parse_dates, folder_survey, distinct_months,
-        language_profile,
+        language_profile, sampled_days,
     )
 }
 SQL = oracle.SQL

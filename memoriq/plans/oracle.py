@@ -269,3 +269,6 @@ SQL["mirror_stream"] = """
     b AS (SELECT record_id, max(pos) base FROM c WHERE op <> 'update' GROUP BY record_id)
     SELECT c.record_id, c.change_id, c.payload FROM b JOIN c k ON k.record_id = b.record_id AND k.pos = b.base AND k.op <> 'delete'
     JOIN c ON c.record_id = b.record_id AND c.pos = (SELECT max(pos) FROM c x WHERE x.record_id = b.record_id)"""
+SQL["sampled_days"] = _sql("""WITH $M$, d AS (SELECT DISTINCT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM m),
+    p AS (SELECT day, row_number() OVER (ORDER BY day) - 1 a, greatest(1, count(*) OVER () // 6) s FROM d)
+    SELECT (a // s)::INTEGER AS place, day FROM p WHERE a % s = 0 AND a // s < 6""")
