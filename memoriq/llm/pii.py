@@ -72,7 +72,8 @@ def lstm(weights: dict, x, lengths):
     hidden = wh.shape[1]
     h = np.zeros((2, b, hidden), np.float32)
     c = np.zeros_like(h)
-    out = np.empty((t, 2, b, hidden), np.float32)
+    wo = weights["wo"].reshape(2, hidden, TAGS)
+    out = np.empty((t, 2, b, TAGS), np.float32)  # scores only: states would not stay in the cache
     gates = np.empty((2, b, 4 * hidden), np.float32)
     inputs = np.empty((b, 4 * hidden), np.float32)
     kept = np.empty_like(h)
@@ -89,12 +90,13 @@ def lstm(weights: dict, x, lengths):
         c *= f
         np.multiply(i, g, out=kept)
         c += kept
-        h = out[k]
         np.tanh(c, out=h)
         h *= o
-    forward = out[:, 0].transpose(1, 0, 2)
-    backward = out[:, 1].transpose(1, 0, 2)[rows, turn]
-    return forward @ weights["wo"][:hidden] + backward @ weights["wo"][hidden:] + weights["bo"]
+        np.matmul(h, wo, out=out[k])
+    scores = out[turn.T, 1, np.arange(b)]  # (T, B, TAGS), time in the text's order again
+    scores += out[:, 0]
+    scores += weights["bo"]
+    return scores.transpose(1, 0, 2)
 
 
 def viterbi(scores, lengths, trans):
