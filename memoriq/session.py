@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -89,6 +90,16 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which after a large written
+    step may be long after the next one has filled the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """A result whose size the query itself bounds (a top-k, branch budgets): computed once and held as a local table."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
