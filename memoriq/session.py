@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +70,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Shuffle files of what runs here go when it has ended, not when the driver collects its garbage: nothing reads them again."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
@@ -78,7 +90,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,16 +103,6 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that nothing refers to any more.
-
-    It does so when the driver's garbage is collected, which after a large written
-    step may be long after the next one has filled the disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """A result whose size the query itself bounds (a top-k, branch budgets): computed once and held as a local table."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
