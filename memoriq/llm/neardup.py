@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoriq.llm.components import components
-from memoriq.session import written
+from memoriq.session import shuffles_end, written
 
 #: Longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -149,7 +149,9 @@ def _gather(counted: DataFrame, bits: int):
         return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(coded(total).tobytes(), 1)]})
 
     table = np.zeros(1 << bits, np.uint8)
-    for r in counted.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():  # 256 rows at most
+    with shuffles_end(counted.sparkSession):
+        parts = counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # 256 slices of a table of fixed size
+    for r in parts:
         table[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return table
 
