@@ -82,11 +82,19 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(_distinct_memories(spark, sf_dir)).withColumnRenamed("id", "memory_id")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "memory_embeddings")
+    return rows.select(F.col("profile_safe_id").alias("profile"), uid("memory_id").alias("id"), "embedding", "updated_at")
+
+
+def p7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar memories of every usable vector, however similar."""
+    return similar_vectors(_vectors(spark, sf_dir), k=5, dim=64)
+
+
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar memories of each vector, of those with a cosine of 0.9 or more."""
-    rows = table(spark, sf_dir, "memory_embeddings")
-    rows = rows.select(F.col("profile_safe_id").alias("profile"), uid("memory_id").alias("id"), "embedding", "updated_at")
-    return similar_vectors(rows, k=5, least=0.9, dim=64)
+    return similar_vectors(_vectors(spark, sf_dir), k=5, least=0.9, dim=64)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +120,7 @@ QUERIES = {
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p7_nearest": p7_nearest,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
@@ -144,5 +153,6 @@ SQL = {
     "p1_found": _P1 + "SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE 2 * k >= a.n + b.n - k",
     "p7_found": _P7 + "SELECT DISTINCT p AS profile_safe_id, least(id, neighbour) id_a, greatest(id, neighbour) id_b FROM r WHERE rank <= 5",
     "p7_neighbours": _P7 + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
+    "p7_nearest": _P7.replace(" WHERE cosine >= 0.9", "") + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
     "p4_found": "SELECT DISTINCT lower(id) AS memory_id FROM memories WHERE length(text) > 1800",
 }

@@ -47,6 +47,17 @@ def test_small_windows_join_over_partition_edges(spark):
     assert len(few & want) >= 0.9 * len(want)
 
 
+def test_every_vector_has_its_neighbours(spark):
+    g = np.random.default_rng(5)
+    rows = [("p" if i % 10 else "q", f"v{i:04d}", [float(v) for v in g.normal(size=64)], NOW, None) for i in range(5000)]
+    got = {}
+    for r in K.similar_vectors(spark.createDataFrame(rows, SCHEMA).repartition(5), k=5).collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert len(got) == 5000 and all(len(set(v)) == 5 for v in got.values())
+    want = brute(rows, 5, -1)
+    assert len({(i, j) for i, v in got.items() for j in v} & want) >= 0.95 * len(want)
+
+
 def test_copies_and_dirt(spark):
     v = [1.0] + [0.0] * 15
     later = NOW + datetime.timedelta(days=1)
