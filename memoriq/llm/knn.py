@@ -6,7 +6,8 @@ range-partitions and sorts every ordering; a window slides over it and every
 vector keeps the best of those that stand within `window` places of it, by
 16-bit copies and matrix products. The last rows of a partition meet the first
 of the next in a second pass over those edges only, so that no neighbourhood is
-cut by a partition bound. Curves are run a few at a time, and the lists of a
+cut by a partition bound. Keys are fine enough (two words) to order the members
+of dense groups too, by another curve each time. Curves are run a few at a time, and the lists of a
 vector merged; what remains is reranked on the full vectors.
 
 Equal vectors are one point of the curves, whatever their number.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from memoriq.session import remove_path, written
 
-CURVES, DIRECTIONS, BITS, WINDOW = 20, 8, 5, 1024
+CURVES, DIRECTIONS, BITS, WINDOW = 20, 8, 14, 1024
 #: Curves run at once: bounds what is shuffled at a time.
 ROUND = 5
 #: 16-bit copies choose so many places more than asked for; the full vectors then decide.
@@ -31,8 +32,11 @@ SPARE = 3
 ROUNDING = 5e-4
 
 
-def hilbert_keys(grid, bits: int):
-    """Hilbert indices of integer points (n, m) with coordinates below 2**bits, by Skilling's transform."""
+def hilbert_keys(grid, bits: int, split: int = 0):
+    """Hilbert indices of integer points (n, m) with coordinates below 2**bits, by Skilling's transform.
+
+    With `split`, two arrays: the index by all but the lowest `split` bits of each coordinate, and what these add.
+    """
     import numpy as np
 
     x = grid.astype(np.int64).copy()
@@ -53,11 +57,14 @@ def hilbert_keys(grid, bits: int):
         turn ^= np.where((x[:, m - 1] & q) > 0, q - 1, 0)
         q >>= 1
     x ^= turn[:, None]
-    key = np.zeros(n, np.int64)
-    for bit in range(bits - 1, -1, -1):
-        for i in range(m):
-            key = key << 1 | (x[:, i] >> bit) & 1
-    return key
+    keys = []
+    for high, low in ((bits, split), (split, 0)):
+        key = np.zeros(n, np.int64)
+        for bit in range(high - 1, low - 1, -1):
+            for i in range(m):
+                key = key << 1 | (x[:, i] >> bit) & 1
+        keys.append(key)
+    return tuple(keys) if split else keys[0]
 
 
 def curve_points(vectors, curve: int, directions: int, bits: int):
@@ -68,7 +75,7 @@ def curve_points(vectors, curve: int, directions: int, bits: int):
     d = vectors.shape[1]
     basis = np.linalg.qr(rng.standard_normal((d, d)))[0][:, : min(directions, d)]
     z = vectors @ basis * np.sqrt(d)  # about standard normal
-    shift = rng.random(basis.shape[1])
+    shift = rng.random(basis.shape[1]) * (1 << max(0, bits - 5))  # within a coarse cell
     return np.clip((z / 6 + 0.5) * (1 << bits) + shift, 0, (1 << bits) - 1).astype(np.int64)
 
 
@@ -89,7 +96,7 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 _LIST = "node long, others binary, cosines binary"
-_EDGE = _LIST + ", kind string, part int, profile string, curve int, key long, code binary, scale float"
+_EDGE = _LIST + ", kind string, part int, profile string, curve int, key long, fine long, code binary, scale float"
 
 
 def _lists(runs, nodes, codes, scales, window: int, places: int, least: float | None, block: int = 512):
@@ -194,8 +201,8 @@ def near_lists(
                 codes = [c.tobytes() for c in code]
                 scale = (1 / np.linalg.norm(code.astype(np.float64), axis=1)).astype(np.float32)
                 for c in some:
-                    key = hilbert_keys(curve_points(x, c, directions, bits), bits)
-                    yield pd.DataFrame({"profile": b["profile"], "curve": c, "key": key, "node": b["node"], "code": codes, "scale": scale})
+                    key, fine = hilbert_keys(curve_points(x, c, directions, bits), bits, bits // 2)
+                    yield pd.DataFrame({"profile": b["profile"], "curve": c, "key": key, "fine": fine, "node": b["node"], "code": codes, "scale": scale})
 
         return place
 
@@ -207,7 +214,7 @@ def near_lists(
         return run, b["node"].to_numpy(np.int64), codes, b["scale"].to_numpy(np.float32)
 
     names = [c.split()[0] for c in _EDGE.split(", ")]
-    blank = {"kind": "list", "part": -1, "profile": None, "curve": -1, "key": 0, "code": None, "scale": 0.0}
+    blank = {"kind": "list", "part": -1, "profile": None, "curve": -1, "key": 0, "fine": 0, "code": None, "scale": 0.0}
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -229,11 +236,11 @@ def near_lists(
             yield edge(head, "head")
             yield edge(tail, "tail")
 
-    order = ["profile", "curve", "key", "node"]
+    order = ["profile", "curve", "key", "fine", "node"]
 
     def join_edges(rows: pd.DataFrame) -> pd.DataFrame:
         # tail of the earlier partition first
-        rows = rows.sort_values(["kind", *order], ascending=[False, True, True, True, True])
+        rows = rows.sort_values(["kind", *order], ascending=[False] + [True] * len(order))
         if rows["kind"].nunique() < 2:
             return pd.DataFrame({"node": [], "others": [], "cosines": []}).astype({"node": "int64"})
         return _best(*_lists(*arrays(rows), window, places, bound), places)
@@ -242,7 +249,7 @@ def near_lists(
     for first in range(0, curves, ROUND):
         some = range(first, min(first + ROUND, curves))
         placed = reps.select("node", "profile", "embedding").mapInPandas(
-            placing(some), "profile string, curve int, key long, node long, code binary, scale float"
+            placing(some), "profile string, curve int, key long, fine long, node long, code binary, scale float"
         )
         ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
         slid = written(ordered.mapInPandas(slide, _EDGE), "curve-windows")

@@ -58,6 +58,18 @@ def test_every_vector_has_its_neighbours(spark):
     assert len({(i, j) for i, v in got.items() for j in v} & want) >= 0.95 * len(want)
 
 
+def test_dense_group_of_a_third_of_the_rows(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + x[::3] * 0.01  # cosines of 0.9999
+    rows = [("p", f"v{i:05d}", v.tolist(), NOW, None) for i, v in enumerate(x)]
+    near = K.similar_vectors(spark.createDataFrame(rows, SCHEMA).repartition(5), k=5, least=0.9).select("id", "neighbour").collect()
+    got = {(r["id"], r["neighbour"]) for r in near}
+    want = brute(rows[::3], 5, 0.9)
+    assert len(want) == 20_000 and len(got & want) >= 0.95 * len(want)
+
+
 def test_copies_and_dirt(spark):
     v = [1.0] + [0.0] * 15
     later = NOW + datetime.timedelta(days=1)
@@ -82,6 +94,23 @@ def test_hilbert_order_visits_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_keys_order_a_dense_group():
+    g = np.random.default_rng(1)
+    x = g.normal(size=64)
+    x = x / np.linalg.norm(x) + g.normal(size=(20_000, 64)) * np.sqrt(1e-4 / 64)  # cosines of 0.9999
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    some, least = np.arange(0, 20_000, 200), None
+    apart = np.stack([((x - x[i]) ** 2).sum(1) for i in some])
+    apart[np.arange(len(some)), some] = np.inf
+    near = np.argpartition(apart, 5, axis=1)[:, :5]
+    for c in range(K.CURVES):
+        keys = K.hilbert_keys(K.curve_points(x, c, K.DIRECTIONS, K.BITS), K.BITS, K.BITS // 2)
+        place = np.argsort(np.lexsort(keys[::-1]))
+        steps = np.abs(place[some][:, None] - place[near])
+        least = steps if least is None else np.minimum(least, steps)
+    assert (least <= K.WINDOW).mean() > 0.95
+
+
 RATING = "doc_id long, rater string, reading_level int, rated_at timestamp"
 
 
