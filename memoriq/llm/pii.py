@@ -1,12 +1,15 @@
 """Find personal information in free text and replace it with typed placeholders.
 
 A character-level bidirectional LSTM with CRF transitions labels every character
-as outside or as part of one of five kinds (two places of one kind never touch). It is trained in numpy by
-`pii_train` from labelled spans; its weights are a file of this package. Texts of
-any length are decoded in overlapping windows; where two overlap, each place is
-labelled by the window that sees further on both sides, and a span that runs over
-the seam is one span of the joined path. An exact check then trims the spans to whole words and
-drops those that can't be of their kind.
+as outside or as part of one of five kinds. It is trained in numpy by `pii_train`
+from labelled spans; its weights are a file of this package. A step of the LSTM
+takes STRIDE characters, each with its own input weights, and gives each its own
+scores. Texts of any length are scored in overlapping windows; where two overlap,
+each character's scores come from the window in which it stands further inside,
+and one best path is then decoded over the scores of the whole text, seams
+included. An exact check trims the spans to whole words and drops those that
+can't be of their kind. Two places of one kind have at least one character
+between them, a blank or a sign, which is outside.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 TAGS = 1 + len(KINDS)  # outside, then each kind
-WINDOW, MARGIN = 512, 48
+STRIDE = 2  # characters a step
+WINDOW, MARGIN = 1024, 48
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
 
@@ -37,7 +41,7 @@ def char_table():
         c = chr(p)
         base = unicodedata.normalize("NFKD", c)[:1] if p > 126 else c
         if c == "\n":
-            table[p] = 96
+            table[p] = NEWLINE
         elif " " <= base <= "~":
             table[p] = ord(base) - 31
         elif c.isupper():
@@ -50,6 +54,7 @@ def char_table():
 
 
 CLASSES = 101
+NEWLINE = 96
 
 
 def encode(text: str):
@@ -59,110 +64,163 @@ def encode(text: str):
     return char_table()[np.minimum(points, 65_535)]
 
 
-def lstm(weights: dict, x, lengths):
-    """Emission scores (B, T, TAGS) of class ids x (B, T); both directions run together, each over its own length."""
+def prepared(weights: dict) -> dict:
+    """Weights laid out for `lstm`: each gate by itself, and the inputs of a step's characters added up for every pair of classes.
+
+    Sigmoids are computed as (tanh(x / 2) + 1) / 2, and a state as twice its value.
+    """
     import numpy as np
 
-    b, t = x.shape
-    steps = np.arange(t)
-    turn = np.where(steps < lengths[:, None], lengths[:, None] - 1 - steps, steps)
-    rows = np.arange(b)[:, None]
-    both = np.stack([x, x[rows, turn]])  # (2, B, T)
-    wx, wh = weights["wx"], weights["wh"]  # (2, V, 4H), (2, H, 4H), gates i f o g; sigmoid gates halved
+    wx, wh = weights["wx"].astype(np.float32), weights["wh"].astype(np.float32)  # (2, STRIDE, V, 4H), (2, H, 4H), gates i f o g
     hidden = wh.shape[1]
+    half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), hidden)
+    pairs = wx[:, 0, :, None] + wx[:, 1, None]  # (2, V, V, 4H)
+    gates = lambda w: np.ascontiguousarray(np.moveaxis((w * half).reshape(*w.shape[:-1], 4, hidden), -2, 0))
+    return {
+        "inputs": gates(pairs.reshape(2, -1, 4 * hidden)),  # (4, 2, V * V, H)
+        "wh": gates(wh) * np.float32(0.5),  # (4, 2, H, H)
+        "wo": weights["wo"].astype(np.float32).reshape(2, hidden, STRIDE * TAGS) * np.float32(0.5),
+        "bo": weights["bo"].astype(np.float32),
+        "trans": weights["trans"].astype(np.float32),
+    }
+
+
+def lstm(ready: dict, x, lengths):
+    """Scores (steps, 2, B, STRIDE * TAGS) of class ids x (B, T), T a multiple of STRIDE.
+
+    Both directions run together, each over its own length; the second's steps are counted from the end.
+    """
+    import numpy as np
+
+    b, t = x.shape
+    n = t // STRIDE
+    codes = x[:, ::STRIDE].astype(np.int64) * CLASSES + x[:, 1::STRIDE]
+    length = -(-lengths // STRIDE)
+    steps = np.arange(n)
+    turn = np.where(steps < length[:, None], length[:, None] - 1 - steps, steps)
+    both = np.ascontiguousarray(np.stack([codes, np.take_along_axis(codes, turn, 1)]).transpose(2, 0, 1))  # (N, 2, B)
+    inputs, wh, wo = ready["inputs"], ready["wh"], ready["wo"]
+    hidden = wh.shape[-1]
     h = np.zeros((2, b, hidden), np.float32)
-    c = np.zeros_like(h)
-    wo = weights["wo"].reshape(2, hidden, TAGS)
-    out = np.empty((t, 2, b, TAGS), np.float32)  # scores only: states would not stay in the cache
-    gates = np.empty((2, b, 4 * hidden), np.float32)
-    inputs = np.empty((b, 4 * hidden), np.float32)
-    kept = np.empty_like(h)
-    sigmoid = gates[:, :, : 3 * hidden]
-    i, f, o, g = (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
-    for k in range(t):
+    c, kept = np.zeros_like(h), np.empty_like(h)
+    gates, read = np.empty((4, 2, b, hidden), np.float32), np.empty((4, 2, b, hidden), np.float32)
+    i, f, o, g = gates
+    out = np.empty((n, 2, b, STRIDE * TAGS), np.float32)  # scores only: states would not stay in the cache
+    for k in range(n):
         np.matmul(h, wh, out=gates)
         for d in (0, 1):
-            np.take(wx[d], both[d, :, k], axis=0, out=inputs, mode="clip")
-            gates[d] += inputs
+            for gate in range(4):
+                inputs[gate, d].take(both[k, d], axis=0, out=read[gate, d], mode="clip")
+        gates += read
         np.tanh(gates, out=gates)
-        sigmoid *= 0.5
-        sigmoid += 0.5
-        c *= f
-        np.multiply(i, g, out=kept)
+        np.multiply(f, c, out=kept)
         c += kept
-        np.tanh(c, out=h)
-        h *= o
+        np.multiply(i, g, out=kept)
+        g += kept
+        c += g
+        c *= 0.5
+        np.tanh(c, out=kept)
+        np.multiply(o, kept, out=h)
+        h += kept
         np.matmul(h, wo, out=out[k])
-    scores = out[turn.T, 1, np.arange(b)]  # (T, B, TAGS), time in the text's order again
-    scores += out[:, 0]
-    scores += weights["bo"]
-    return scores.transpose(1, 0, 2)
+    out[:, 0] += ready["bo"]
+    return out
 
 
-def viterbi(scores, lengths, trans):
-    """Best tag paths of (B, T, TAGS) scores."""
+def best_path(scores, starts, trans):
+    """The best tag path of each text; `scores` (TAGS, N) holds the texts one after the other, `starts` where each begins, then N.
+
+    Exact for any text. Of a run of tags that aren't outside, each character adds
+    at most `gain` to what outside would have scored, and its two ends add
+    `entry` and `leave`. Where no run that contains a character can end above
+    zero, every best path is outside; the stretches between such characters are
+    decoded, each with outside on both sides (or the text's end).
+    """
     import numpy as np
 
-    b, t, k = scores.shape
-    best, back = scores[:, 0].copy(), np.zeros((t, b, k), np.int8)
-    rows, tags = np.arange(b), np.arange(k)[None]
-    for s in range(1, t):
-        n = int((lengths > s).sum())  # rows are in falling order of length
-        step = best[:n, :, None] + trans
-        arg = step.argmax(1)
-        back[s, :n] = arg
-        best[:n] = step[rows[:n, None], arg, tags]
-        best[:n] += scores[:n, s]
-    path = np.zeros((b, t), np.int8)
-    tag = best.argmax(1)
-    for s in range(t - 1, -1, -1):
-        n = int((lengths > s).sum())
-        path[:n, s] = tag[:n]
-        if s:
-            tag[:n] = back[s, rows[:n], tag[:n]]
+    total = scores.shape[1]
+    path = np.zeros(total, np.int8)
+    if not total:
+        return path
+    stay = float((trans[1:, 1:]).max() - trans[0, 0])
+    entry, leave = float(trans[0, 1:].max() - trans[0, 0]), float(trans[1:, 0].max() - trans[0, 0])
+    gain = (scores[1:].max(0) - scores[0]).astype(np.float64) + stay
+    first = np.zeros(total + 1, bool)
+    first[starts] = True
+    text = np.cumsum(first[:-1])  # number of the text
+    sums = np.cumsum(gain)
+    step = 4 * (np.abs(sums).max() + abs(entry) + abs(leave) + 1)  # parts the running maxima of different texts
+    before = np.maximum.accumulate(np.where(first[:-1], max(entry, 0), entry) - (sums - gain) + step * text) - step * text
+    last = (text[-1] - text) * step
+    after = np.maximum.accumulate((np.where(first[1:], max(leave, 0), leave) + sums + last)[::-1])[::-1] - last
+    sure = before + after < stay - 1e-3 - 1e-14 * step * text[-1]  # less what rounding may take
+    begins = np.flatnonzero(~sure & (first[:-1] | np.r_[True, sure[:-1]]))
+    if not len(begins):
+        return path
+    ends = np.flatnonzero(~sure & (first[1:] | np.r_[sure[1:], True])) + 1
+    order = np.argsort(begins - ends, kind="stable")
+    begins, ends = begins[order], ends[order]
+    lengths = ends - begins
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # stretches longer than each step
+    best = scores[:, begins] + np.where(first[begins], 0, trans[0][:, None])
+    held = [best]
+    for s in range(1, lengths[0]):
+        n = active[s]
+        best = (held[-1][:, None, :n] + trans[:, :, None]).max(0)
+        best += scores[:, begins[:n] + s]
+        held.append(best)
+    tag = np.zeros(len(begins), np.int64)
+    final = np.where(first[ends], 0, trans[:, :1])
+    for s in range(lengths[0] - 1, -1, -1):
+        n, m = active[s], active[s + 1] if s + 1 < lengths[0] else 0
+        tag[m:n] = (held[s][:, m:n] + final[:, m:n]).argmax(0)  # stretches that end here
+        if m:
+            tag[:m] = (held[s][:, :m] + trans[:, tag[:m]]).argmax(0)
+        path[begins[:n] + s] = tag[:n]
     return path
 
 
-def label_texts(texts: list[str], weights: dict, window: int = WINDOW, margin: int = MARGIN, group: int = 512) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) of each text. Windows are decoded singly; their paths, each up to the middle of an overlap, join to one."""
+def label_texts(texts: list[str], ready: dict, window: int = WINDOW, margin: int = MARGIN, group: int = 384, check: bool = True) -> list[list[tuple[int, int, str]]]:
+    """Spans (start, end, kind) of each text: windows are scored in groups of like length, whole texts are decoded."""
     import numpy as np
 
-    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
-    codes = {i: encode(texts[i]) for i in order}
-    cuts = []  # (length, text, start): windows of all texts
-    for i in order:
-        n, start = len(codes[i]), 0
-        while True:
+    codes = [encode(t) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    scores = np.empty((TAGS, starts[-1]), np.float32)
+    cuts = []  # (length, text, start): windows of all texts, each beginning at a whole step
+    for i, code in enumerate(codes):
+        n, start = len(code), 0
+        while n:
             cuts.append((min(window, n - start), i, start))
             if start + window >= n:
                 break
             start += window - 2 * margin
     cuts.sort(key=lambda c: -c[0])
-    paths = {i: np.zeros(len(codes[i]), np.int8) for i in order}
     for g in range(0, len(cuts), group):
         part = cuts[g : g + group]
         lengths = np.array([c[0] for c in part])
-        x = np.zeros((len(part), lengths[0]), np.uint8)
+        x = np.full((len(part), -(-lengths[0] // STRIDE) * STRIDE), NEWLINE, np.uint8)
         for r, (n, i, start) in enumerate(part):
             x[r, :n] = codes[i][start : start + n]
-        tags = viterbi(lstm(weights, x, lengths), lengths, weights["trans"])
+        found = lstm(ready, x, lengths)
         for r, (n, i, start) in enumerate(part):
             lo = margin if start else 0  # each place from the window in which it lies further inside
             hi = n if start + n == len(codes[i]) else n - margin
-            paths[i][start + lo : start + hi] = tags[r, lo:hi]
-    found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i in order:
-        found[i] = checked(texts[i], spans_of(paths[i]))
-    return found
-
-
-def spans_of(path) -> list[tuple[int, int, str]]:
-    """Tag path -> spans."""
-    import numpy as np
-
-    edges = np.flatnonzero(np.diff(path, prepend=0) != 0)
+            steps = -(-n // STRIDE)
+            both = found[:steps, 0, r] + found[:steps, 1, r][::-1]
+            scores[:, starts[i] + start + lo : starts[i] + start + hi] = both.reshape(-1, TAGS)[lo:hi].T
+    path = best_path(scores, starts, ready["trans"])
+    # spans of all texts at once: a span ends where the tag changes or the text does
+    change = np.diff(path, prepend=0) != 0
+    change[starts[:-1][starts[:-1] < len(path)]] = True
+    edges = np.flatnonzero(change)
     ends = np.append(edges, len(path))[1:]
-    return [(int(a), int(b), KINDS[path[a] - 1]) for a, b in zip(edges, ends, strict=True) if path[a]]
+    inside = path[edges] > 0
+    edges, ends = edges[inside], ends[inside]
+    found = [[] for _ in texts]
+    for i, a, b in zip((np.searchsorted(starts, edges, side="right") - 1).tolist(), edges.tolist(), ends.tolist(), strict=True):
+        found[i].append((a - int(starts[i]), b - int(starts[i]), KINDS[path[a] - 1]))
+    return [checked(t, s) if s and check else s for t, s in zip(texts, found, strict=True)]
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -235,11 +293,14 @@ def load_weights(path: str = WEIGHTS) -> dict:
 
 def _runner(path: str):
     weights = load_weights(path)  # some 200 kB, shipped with the task
+    held: list = []
 
     def run(texts: list) -> list[list[tuple[int, int, str]]]:
+        if not held:  # once per Python worker
+            held.append(prepared(weights))
         found: list = []
-        for at in range(0, len(texts), 4000):
-            found += label_texts([t or "" for t in texts[at : at + 4000]], weights)
+        for at in range(0, len(texts), 2000):
+            found += label_texts([t or "" for t in texts[at : at + 2000]], held[0])
         return found
 
     return run

@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 
 from memoriq.llm.names import distance, fold, parse
-from memoriq.llm.pii import CLASSES, KINDS, TAGS, encode
+from memoriq.llm.pii import CLASSES, KINDS, NEWLINE, STRIDE, TAGS, encode
 
 HIDDEN = 32
 
@@ -182,27 +182,30 @@ def initial(seed: int, h: int = HIDDEN) -> dict:
     bias = np.zeros(4 * h)
     bias[h : 2 * h] = 1.0
     return {
-        "wx": (g.normal(0, 0.3, (2, CLASSES, 4 * h)) + bias).astype(np.float32),
+        "wx": (g.normal(0, 0.3, (2, STRIDE, CLASSES, 4 * h)) + bias / STRIDE).astype(np.float32),
         "wh": g.normal(0, h**-0.5, (2, h, 4 * h)).astype(np.float32),
-        "wo": g.normal(0, h**-0.5, (2 * h, TAGS)).astype(np.float32),
-        "bo": np.zeros(TAGS, np.float32),
+        "wo": g.normal(0, h**-0.5, (2 * h, STRIDE * TAGS)).astype(np.float32),
+        "bo": np.zeros(STRIDE * TAGS, np.float32),
         "trans": np.zeros((TAGS, TAGS), np.float32),
     }
 
 
 def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
-    """Mean CRF loss per character of full windows x, y (B, T), and its gradients. Gate inputs of sigmoids are halved in `pii`; here they are plain."""
+    """Mean CRF loss per character of full windows x, y (B, T), T a multiple of STRIDE, and its gradients."""
     b, t = x.shape
+    n = t // STRIDE
     h = p["wh"].shape[1]
-    both = np.stack([x, x[:, ::-1]])
-    H = np.zeros((t + 1, 2, b, h), np.float32)
-    C = np.zeros((t + 1, 2, b, h), np.float32)
-    G = np.empty((t, 2, b, 4 * h), np.float32)
-    TC = np.empty((t, 2, b, h), np.float32)
-    for k in range(t):
+    cells = x.reshape(b, n, STRIDE)
+    both = np.stack([cells, cells[:, ::-1]])  # (2, B, N, STRIDE)
+    H = np.zeros((n + 1, 2, b, h), np.float32)
+    C = np.zeros((n + 1, 2, b, h), np.float32)
+    G = np.empty((n, 2, b, 4 * h), np.float32)
+    TC = np.empty((n, 2, b, h), np.float32)
+    for k in range(n):
         z = np.matmul(H[k], p["wh"])
-        z[0] += p["wx"][0][both[0, :, k]]
-        z[1] += p["wx"][1][both[1, :, k]]
+        for d in (0, 1):
+            for q in range(STRIDE):
+                z[d] += p["wx"][d, q][both[d, :, k, q]]
         z[:, :, : 3 * h] *= 0.5
         np.tanh(z, out=z)
         z[:, :, : 3 * h] = z[:, :, : 3 * h] * 0.5 + 0.5
@@ -210,8 +213,8 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
         C[k + 1] = z[:, :, h : 2 * h] * C[k] + z[:, :, :h] * z[:, :, 3 * h :]
         TC[k] = np.tanh(C[k + 1])
         H[k + 1] = z[:, :, 2 * h : 3 * h] * TC[k]
-    hidden = np.concatenate([H[1:, 0], H[1:, 1][::-1]], axis=2)  # (T, B, 2H)
-    s = hidden @ p["wo"] + p["bo"]
+    hidden = np.concatenate([H[1:, 0], H[1:, 1][::-1]], axis=2)  # (N, B, 2H)
+    s = (hidden @ p["wo"] + p["bo"]).reshape(n, b, STRIDE, TAGS).transpose(0, 2, 1, 3).reshape(t, b, TAGS)
     # CRF: forward and backward sums
     tr = p["trans"]
     et = np.exp(tr)
@@ -234,7 +237,7 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     marg[t - 1] = alpha[t - 1] / alpha[t - 1].sum(1, keepdims=True)
     for k in range(t - 2, -1, -1):
         eb = es[k + 1] * beta
-        scale = 1 / np.einsum("bi,ij,bj->b", alpha[k], et, eb, optimize=True)
+        scale = 1 / ((alpha[k] @ et) * eb).sum(1)
         gt += et * (alpha[k].T @ (eb * scale[:, None]))
         beta = eb @ et.T
         beta /= beta.max(1, keepdims=True)
@@ -242,20 +245,20 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
         marg[k] = q / q.sum(1, keepdims=True)
     yt = y.T
     gold = np.take_along_axis(s, yt[:, :, None].astype(np.int64), 2).sum((0, 2)) + tr[yt[:-1], yt[1:]].sum(0)
-    n = b * t
-    loss = float((logz - gold).sum() / n)
+    loss = float((logz - gold).sum() / (b * t))
     ds = marg
     np.put_along_axis(ds, yt[:, :, None].astype(np.int64), np.take_along_axis(ds, yt[:, :, None].astype(np.int64), 2) - 1, 2)
-    ds /= n
+    ds /= b * t
     np.add.at(gt, (yt[:-1].ravel(), yt[1:].ravel()), -1)
-    g = {"trans": (gt / n).astype(np.float32), "bo": ds.sum((0, 1)), "wo": np.tensordot(hidden, ds, ([0, 1], [0, 1]))}
+    ds = ds.reshape(n, STRIDE, b, TAGS).transpose(0, 2, 1, 3).reshape(n, b, STRIDE * TAGS)
+    g = {"trans": (gt / (b * t)).astype(np.float32), "bo": ds.sum((0, 1)), "wo": np.tensordot(hidden, ds, ([0, 1], [0, 1]))}
     dh = ds @ p["wo"].T
     dH = np.stack([dh[:, :, :h], dh[::-1, :, h:]], axis=1)
     dz = np.empty_like(G)
     nh = np.zeros((2, b, h), np.float32)
     nc = np.zeros((2, b, h), np.float32)
     wt = p["wh"].transpose(0, 2, 1)
-    for k in range(t - 1, -1, -1):
+    for k in range(n - 1, -1, -1):
         i, f, o, c = (G[k][:, :, j * h : (j + 1) * h] for j in range(4))
         d = dH[k] + nh
         dc = nc + d * o * (1 - TC[k] ** 2)
@@ -269,11 +272,12 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     g["wh"] = np.stack([np.tensordot(H[:-1, k], dz[:, k], ([0, 1], [0, 1])) for k in (0, 1)])
     g["wx"] = np.zeros_like(p["wx"])
     for k in (0, 1):
-        ids = both[k].T.ravel()
-        order = np.argsort(ids, kind="stable")
-        flat = dz[:, k].reshape(-1, 4 * h)[order]
-        at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["wx"][k][ids[order][at]] = np.add.reduceat(flat, at, axis=0)
+        for q in range(STRIDE):
+            ids = both[k, :, :, q].T.ravel()
+            order = np.argsort(ids, kind="stable")
+            flat = dz[:, k].reshape(-1, 4 * h)[order]
+            at = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            g["wx"][k, q][ids[order][at]] = np.add.reduceat(flat, at, axis=0)
     return loss, g
 
 
@@ -301,7 +305,7 @@ def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128,
             at = max(0, min(at, len(text) - window))
             n = min(window, len(text) - at)
             x[r, :n], y[r, :n] = code[at : at + n], tags[at : at + n]
-            x[r, n:] = 96
+            x[r, n:] = NEWLINE
         loss, g = loss_and_grads(p, x, y)
         norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
         lr = rate * min(1, step / 100) * (1 - 0.97 * step / steps)
@@ -313,9 +317,6 @@ def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128,
         running = loss if step == 1 else 0.98 * running + 0.02 * loss
         if step % 100 == 0:
             log(step, round(running, 5), flush=True)
-    h = 3 * hidden  # `pii.lstm` takes tanh of half the sigmoids' inputs
-    p["wx"][:, :, :h] *= 0.5
-    p["wh"][:, :, :h] *= 0.5
     return p
 
 
@@ -335,19 +336,19 @@ def labelled(tables: str, sample: int = 12_000, seed: int = 3) -> tuple[list, Na
     return out, names
 
 
-def main(tables: str, out: str, steps: str = "2500", hidden: str = str(HIDDEN)) -> None:
+def main(tables: str, out: str, steps: str = "5000", hidden: str = str(HIDDEN)) -> None:
     examples, names = labelled(tables)
     held, used = examples[:800], examples[800:]
     w = train(used, steps=int(steps), hidden=int(hidden), maker=Maker(names, random.Random(11)))
     np.savez_compressed(out, **{k: v.astype(np.float16 if k in ("wx", "wh") else np.float32) for k, v in w.items()})
-    print(score(held, w))
+    print(score(held, w), "network alone:", score(held, w, check=False))
 
 
-def score(examples: list, weights: dict) -> dict:
-    """Exact-span precision and recall per kind."""
-    from memoriq.llm.pii import label_texts
+def score(examples: list, weights: dict, check: bool = True) -> dict:
+    """Spans wanted, exact-span precision and recall per kind; without `check` those of the network alone."""
+    from memoriq.llm.pii import label_texts, prepared
 
-    found = label_texts([t for t, _ in examples], {k: v.astype(np.float32) for k, v in weights.items()})
+    found = label_texts([t for t, _ in examples], prepared(weights), check=check)
     out = {}
     for kind in KINDS:
         want = {(i, a, b) for i, (_, s) in enumerate(examples) for a, b, k in s if k == kind}

@@ -69,17 +69,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-def _distinct_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per memory with its text."""
-    return spread(_memories(spark, sf_dir, "text").where(F.col("text").isNotNull()).groupBy("id").agg(F.min("text").alias("text")))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(spread(_memories(spark, sf_dir, "text"))).withColumnRenamed("id", "memory_id").distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact_personal(_distinct_memories(spark, sf_dir)).withColumnRenamed("id", "memory_id")
+    """One row per memory, its text with placeholders; texts are read once and repeated rows leave after the network."""
+    rows = _memories(spark, sf_dir, "text").where(F.col("text").isNotNull())
+    return redact_personal(spread(rows)).dropDuplicates(["id"]).withColumnRenamed("id", "memory_id")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ TEXT = "Spoke to Dr. Quilla Bigipaheim about the form.\nCall +44 20 7946 0313 an
 
 
 def spans(*texts):
-    return pii.label_texts(list(texts), pii.load_weights())
+    return pii.label_texts(list(texts), pii.prepared(pii.load_weights()))
 
 
 def test_finds_each_kind_and_leaves_the_rest():
@@ -23,7 +23,7 @@ def test_offsets_are_code_points_and_windows_join():
     assert [(a - shift, b - shift, k) for a, b, k in spans(far)[0] if a >= shift] == spans(TEXT)[0]
     for cut in range(300, 420, 17):  # a seam anywhere
         text = "x " * (cut // 2) + TEXT
-        assert len(pii.label_texts([text], pii.load_weights())[0]) >= 5
+        assert len(pii.label_texts([text], pii.prepared(pii.load_weights()))[0]) >= 5
 
 
 def test_empty_and_odd_texts():
@@ -47,7 +47,7 @@ def test_gradients():
     x, y = g.integers(1, 90, (3, 10)).astype(np.uint8), g.integers(0, pii.TAGS, (3, 10)).astype(np.int8)
     p = initial(1)
     _, grads = loss_and_grads(p, x, y)
-    for k, at in {"wx": (0, int(x[0, 3]), 5), "wh": (1, 2, 7), "wo": (3, 4), "bo": (2,), "trans": (1, 2)}.items():
+    for k, at in {"wx": (0, 1, int(x[0, 3]), 5), "wh": (1, 2, 7), "wo": (3, 4), "bo": (2,), "trans": (1, 2)}.items():
         up, down = ({a: v.copy() for a, v in p.items()} for _ in "ab")
         up[k][at] += 1e-2
         down[k][at] -= 1e-2
@@ -66,3 +66,23 @@ def test_training_learns():
     held = [("call me on 123456789 soon", [(11, 20, "phone")])]
     w = train(examples, steps=300, batch=16, window=32, log=lambda *a, **k: None)
     assert score(held, w)["phone"] == (1, 1.0, 1.0)
+
+
+def test_whole_texts_are_decoded_exactly():
+    g = np.random.default_rng(4)
+    for case in range(60):
+        trans = g.normal(0, 2, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        lengths = g.integers(0, 30, 5)
+        scores = g.normal(0, 3, (lengths.sum(), pii.TAGS)).astype(np.float32)
+        scores[:, 0] += g.choice([0, 3, 25], len(scores), p=[0.3, 0.4, 0.3])
+        trans[0, 1:] -= 3 * (case % 2)
+        starts = np.r_[0, np.cumsum(lengths)]
+        path = pii.best_path(np.ascontiguousarray(scores.T), starts, trans)
+        worth = lambda p, e: sum(e[k, t] for k, t in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))  # noqa: E731,B023
+        for a, b in zip(starts, starts[1:]):
+            e = scores[a:b]
+            best = e[:1].T if len(e) else np.zeros((1, 1))
+            for row in e[1:]:
+                best = (best + trans).max(0)[:, None] + row[:, None]
+            if len(e):
+                assert worth(path[a:b], e) == pytest.approx(best.max(), abs=1e-3)
