@@ -96,6 +96,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove_path(spark, path)
