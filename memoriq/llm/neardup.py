@@ -1,27 +1,30 @@
 """Near-duplicate texts: Jaccard similarity of word shingles, by BK-trees, without loss.
 
 Texts with the same shingle set are one node. A node's shingles are ordered from
-rare to common (by a count sketch over the whole collection; any order is
-correct, a better one is faster). Two sets of similarity t or more share one of
-the first n - ceil(t n) + 1, so every such shingle names a shard, and each shard
-holds a BK-tree of its nodes.
-
-The tree's metric is the Hamming distance of 256-bit parity sketches: bit j is
-the parity of the number of shingles hashed to j. One shingle in only one of two
-sets flips one bit, so the distance is at most the size of their symmetric
-difference, which for a similarity of t is at most (1 - t) / (1 + t) of the sum
-of the set sizes. That is the search radius: edges of the tree outside
-[d - radius, d + radius] cannot lead to a partner. Survivors are verified on the
-shingle sets themselves.
-
-A shingle that the sketch shows in more than `shard_rows` sets is spread over a
-triangular grid of shards, each of bounded size, which together compare every
-two of its members.
+rare to common, by their exact numbers over the whole collection. Two sets of
+similarity t or more share one of the first n - ceil(t n) + 1, so every such
+shingle that stands in a second set names a shard, and each shard holds BK-trees
+of its nodes.
+
+The trees' metric is the Hamming distance of parity sketches (256 to 4,096 bits,
+by the size of the set): bit j is the parity of the number of shingles hashed to
+j. One shingle in only one of two sets flips one bit, so the distance is at most
+the size of their symmetric difference, which for a similarity of t is at most
+(1 - t) / (1 + t) of the sum of the set sizes. That is the search radius: a
+child hangs on its distance to its parent, and edges outside
+[d - radius, d + radius] cannot lead to a partner. The trees of many shards are
+built and walked together, level by level, in arrays. Survivors are verified on
+the shingle sets themselves.
+
+Numbers of shingles: sets are written in chunks; each chunk asks for its distinct
+shingles by hash range, every range adds up who asks for what, and the answers (a
+byte for each) go back to the chunk. A shingle of more than `shard_rows` sets is
+spread over a triangular grid of shards, each of bounded size, which together
+compare every two of its members.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -30,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoriq.llm.components import components
-from memoriq.session import shuffles_end, written
+from memoriq.session import dropped, written
 
 #: Longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-SKETCH_BITS = 22
 SHARD_ROWS = 2048
-LEAF = 64
-
+#: Shingles in a chunk, and asked for in a hash range, about.
+CHUNK, RANGE = 1 << 17, 1 << 22
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -54,14 +56,15 @@ class WordHashes(dict):
 
 
 def shingle_hashes(words: list[str], width: int, held: WordHashes):
-    """Distinct 32-bit hashes of the runs of `width` words, as a sorted array. `held` caches words' hashes."""
+    """Distinct 32-bit hashes of the runs of `width` words, as a sorted array; fewer words are one run. `held` caches words' hashes."""
     import numpy as np
 
     if len(held) > 1_000_000:
         held.clear()
     h = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(h))
     n = len(h) - width + 1
-    if n <= 0:
+    if not width:
         return np.zeros(0, np.uint32)
     s = h[:n].copy()
     for k in range(1, width):
@@ -71,89 +74,131 @@ def shingle_hashes(words: list[str], width: int, held: WordHashes):
     return np.unique((s >> np.uint64(32)).astype(np.uint32))
 
 
-class BKTree:
-    """Integers under Hamming distance; a child hangs on its distance to the parent."""
-
-    def __init__(self):
-        self.keys: list[int] = []
-        self.items: list = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, key: int, item) -> None:
-        self.keys.append(key)
-        self.items.append([item])
-        self.edges.append({})
-        new, at = len(self.keys) - 1, 0
-        while new:
-            d = (self.keys[at] ^ key).bit_count()
-            if d == 0:  # equal keys share a place, so that no chain grows
-                self.items[at].append(item)
-                self.keys.pop()
-                self.items.pop()
-                self.edges.pop()
-                return
-            down = self.edges[at].get(d)
-            if down is None:
-                self.edges[at][d] = new
-                return
-            at = down
-
-    def within(self, key: int, radius: int) -> Iterator[tuple[int, object]]:
-        todo = [0] if self.keys else []
-        while todo:
-            at = todo.pop()
-            d = (self.keys[at] ^ key).bit_count()
-            if d <= radius:
-                for item in self.items[at]:
-                    yield d, item
-            lo, hi = d - radius, d + radius
-            todo += [c for e, c in self.edges[at].items() if lo <= e <= hi]
-
-
-def shingle_sets(texts: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(id, node, shingles): the set as packed 32-bit hashes in order, node its 64-bit hash.
-
-    Null texts and texts below `min_words` words are left out. Two different
+class Trees:
+    """The BK-trees of several groups of keys under Hamming distance, one tree a group.
+
+    `keys` is (n, words) of 64 bits, rows of a group adjacent. A group's first row
+    is its root; a child hangs on its distance to the parent. Equal keys share a
+    place, so that no chain grows.
+    """
+
+    def __init__(self, group, keys):
+        import numpy as np
+
+        n = len(group)
+        self.keys, self.span = keys, keys.shape[1] * 64 + 1
+        first = np.r_[True, group[1:] != group[:-1]] if n else np.zeros(0, bool)
+        self.root = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
+        place = np.arange(n)
+        row = np.flatnonzero(~first)
+        at = self.root[row]
+        parents, edges, children = [], [], []
+        while len(row):
+            d = self.distance(row, at)
+            same = d == 0
+            place[row[same]] = at[same]
+            row, at, d = row[~same], at[~same], d[~same]
+            order = np.argsort(at * self.span + d, kind="stable")
+            row, at, d = row[order], at[order], d[order]
+            new = np.r_[True, (at[1:] != at[:-1]) | (d[1:] != d[:-1])] if len(row) else np.zeros(0, bool)
+            parents.append(at[new])
+            edges.append(d[new])
+            children.append(row[new])
+            at = row[new][np.cumsum(new) - 1]
+            row, at = row[~new], at[~new]
+        parents, edges, children = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (parents, edges, children))
+        order = np.argsort(parents * self.span + edges, kind="stable")
+        self.ways, self.child = (parents * self.span + edges)[order], children[order]
+        self.held = np.argsort(place, kind="stable")  # rows by the place that holds them
+        self.held_from = np.searchsorted(place[self.held], np.arange(n + 1))
+
+    def distance(self, a, b):
+        import numpy as np
+
+        return np.bitwise_count(self.keys[a] ^ self.keys[b]).sum(1, dtype=np.int64)
+
+    def pairs(self, radius):
+        """Arrays (earlier row, later row, distance): of each row the earlier rows of its group within its radius."""
+        import numpy as np
+
+        found = []
+        row = np.arange(len(self.root))
+        at = self.root
+        while True:
+            ahead = at < row  # a subtree holds later rows than its root
+            row, at = row[ahead], at[ahead]
+            if not len(row):
+                break
+            d = self.distance(row, at)
+            hit = d <= radius[row]
+            who, spot = _ranges(self.held_from[at[hit]], self.held_from[at[hit] + 1])
+            other = self.held[spot]
+            later = row[hit][who]
+            found.append((other[other < later], later[other < later], d[hit][who][other < later]))
+            low = np.searchsorted(self.ways, at * self.span + np.maximum(d - radius[row], 0))
+            high = np.searchsorted(self.ways, at * self.span + np.minimum(d + radius[row], self.span - 1), side="right")
+            who, spot = _ranges(low, high)
+            row, at = row[who], self.child[spot]
+        return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *found, strict=True))
+
+
+def _ranges(low, high):
+    """(number of the range, element) of all elements of the ranges [low, high)."""
+    import numpy as np
+
+    n = high - low
+    who = np.repeat(np.arange(len(n)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def shingle_chunks(texts: DataFrame, width: int, min_words: int, chunk: int = CHUNK) -> DataFrame:
+    """Chunks of texts: ids and their nodes; nodes new to the task with the sizes and the shingles of their sets, one after the other.
+
+    A node is the 64-bit hash of its set, the set its distinct 32-bit hashes in
+    order. Null texts, texts without words and those below `min_words` words are
+    left out; a text shorter than `width` words is one shingle. Two different
     shingles of one pair of texts share a hash with a chance of about n * m / 2**32.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
         import xxhash
+        from pyspark import TaskContext
 
-        held = WordHashes()
+        held, done = WordHashes(), set()
+        number = TaskContext.get().partitionId() << 32
+        ids, nodes, own, sets = [], [], [], []
+
+        def row() -> pd.DataFrame:
+            out = {"chunk": number, "ids": [list(ids)], "nodes": [list(nodes)], "own": [list(own)], "sizes": [[len(x) for x in sets]]}
+            out |= {"shingles": [np.concatenate([np.zeros(0, np.uint32), *sets]).tobytes()], "n": sum(map(len, sets))}
+            for x in (ids, nodes, own, sets):
+                x.clear()
+            return pd.DataFrame(out)
+
+        size = 0
         for b in batches:
-            out = []
             for i, text in zip(b["id"], b["text"], strict=True):
                 words = words_of(text)
-                if len(words) >= max(min_words, width):
-                    packed = shingle_hashes(words, width, held).tobytes()
-                    out.append((i, xxhash.xxh64_intdigest(packed) - (1 << 63), packed))
-            yield pd.DataFrame(out, columns=["id", "node", "shingles"])
+                if len(words) >= max(min_words, 1):
+                    x = shingle_hashes(words, width, held)
+                    node = xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63)
+                    ids.append(i)
+                    nodes.append(node)
+                    if node not in done:
+                        done.add(node)
+                        own.append(node)
+                        sets.append(x)
+                        size += len(x)
+                    if size >= chunk or len(ids) >= chunk:
+                        yield row()
+                        number, size = number + 1, 0
+        if ids:
+            yield row()
 
     rows = texts.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, node long, shingles binary")
-
-
-def _gather(counted: DataFrame, bits: int):
-    """Add up (part, counts) rows, each a compressed uint32 slice of a table of 2**bits counts, into a table of codes."""
-    import zlib
-
-    import numpy as np
-
-    low = max(0, bits - 8)
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << low, np.uint64)
-        for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(coded(total).tobytes(), 1)]})
-
-    table = np.zeros(1 << bits, np.uint8)
-    with shuffles_end(counted.sparkSession):
-        parts = counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # 256 slices of a table of fixed size
-    for r in parts:
-        table[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
-    return table
+    kind = texts.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"chunk long, ids array<{kind}>, nodes array<long>, own array<long>, sizes array<int>, shingles binary, n long")
 
 
 def coded(count):
@@ -168,30 +213,64 @@ def decoded(code: int) -> float:
     return float(code) if code <= 64 else 64 * 2 ** ((code - 64) / 8)
 
 
-def _slices(total, bits: int) -> pd.DataFrame:
-    import zlib
+def counted(chunks: DataFrame, range_size: int = RANGE) -> DataFrame:
+    """The chunks with `codes`: for each of their shingles the number of sets that have it, as a byte. The chunks must be a written table.
 
-    import numpy as np
-
-    low = max(0, bits - 8)
-    parts = total.astype(np.uint32).reshape(-1, 1 << low)
-    used = [p for p in range(len(parts)) if parts[p].any()]
-    return pd.DataFrame({"part": pd.Series(used, dtype="int32"), "counts": [zlib.compress(parts[p].tobytes(), 1) for p in used]})
+    Numbers are exact, but a set in several tasks counts once for each.
+    """
+    spark = chunks.sparkSession
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    bits = max(6, (-(-total // range_size) - 1).bit_length())
+    parts = max(spark.sparkContext.defaultParallelism, min(1 << bits, -(-4 * total // range_size)))
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS):
-    """In how many sets a shingle of each of 2**bits places stands, as codes; never less than a shingle's own number."""
-    import numpy as np
+        for b in batches:
+            for chunk, packed in zip(b["chunk"], b["shingles"], strict=True):
+                asked, times = np.unique(np.frombuffer(packed, np.uint32), return_counts=True)
+                at = np.searchsorted(asked >> np.uint32(32 - bits), np.arange((1 << bits) + 1)).tolist()
+                used = [k for k in range(1 << bits) if at[k] < at[k + 1]]
+                times = times.astype(np.uint32)
+                yield pd.DataFrame(
+                    {
+                        "part": pd.Series(used, dtype="int32"),
+                        "chunk": chunk,
+                        "asked": [asked[at[k] : at[k + 1]].tobytes() for k in used],
+                        "times": [times[at[k] : at[k + 1]].tobytes() for k in used],
+                    }
+                )
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            asked = np.frombuffer(b"".join(rows["asked"]), np.uint32)
+            _, which = np.unique(asked, return_inverse=True)
+            code = coded(np.bincount(which, np.frombuffer(b"".join(rows["times"]), np.uint32)))[which].tobytes()
+            ends = np.cumsum([len(x) // 4 for x in rows["asked"]]).tolist()
+            return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "codes": [code[a:e] for a, e in zip([0, *ends], ends, strict=False)]})
+
+        for chunk in whole_groups(batches, "part", 0):
+            for _, rows in chunk.groupby("part", sort=False):
+                yield solve(rows)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                place = np.frombuffer(b"".join(b["shingles"][at : at + 1000]), np.uint32) >> np.uint32(32 - bits)
-                np.add.at(total, place, np.uint32(1))
-        yield _slices(total, bits)
+            codes = []
+            for packed, answers in zip(b["shingles"], b["answers"], strict=True):
+                _, which = np.unique(np.frombuffer(packed, np.uint32), return_inverse=True)
+                answers = answers if answers is not None else []
+                codes.append(np.frombuffer(b"".join(a["codes"] for a in answers), np.uint8)[which].tobytes())
+            yield b.drop(columns=["answers"]).assign(codes=codes)
 
-    return _gather(sets.select("shingles").mapInPandas(count, "part int, counts binary"), bits)
+    asked = chunks.select("chunk", "shingles").mapInPandas(ask, "part int, chunk long, asked binary, times binary")
+    codes = asked.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(answer, "chunk long, part int, codes binary")
+    answers = codes.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("answers"))  # as many bytes as the chunk has shingles
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema) + ", codes binary"
+    return chunks.join(answers, "chunk", "left").mapInPandas(merge, schema)
 
 
 def mark_bits(n: int) -> int:
@@ -199,194 +278,133 @@ def mark_bits(n: int) -> int:
     return min(4096, max(256, 1 << (2 * n - 1).bit_length()))
 
 
-def whole_shards(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard, in chunks of about `rows` that cut no shard."""
+def whole_groups(batches: Iterator[pd.DataFrame], by: str, rows: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by `by`, in pieces of at least `rows` that cut no group."""
     held: list[pd.DataFrame] = []
     for b in batches:
+        if not len(b):
+            continue
         held.append(b)
-        if sum(map(len, held)) >= rows:
-            chunk = pd.concat(held, ignore_index=True)
-            at = int(chunk["shard"].searchsorted(chunk["shard"].iloc[-1]))
-            held = [chunk[at:]]
-            if at:
-                yield chunk[:at]
-    if held and sum(map(len, held)):
+        if sum(map(len, held)) >= rows and held[0][by].iloc[0] != b[by].iloc[-1]:
+            piece = pd.concat(held, ignore_index=True)
+            at = int(piece[by].searchsorted(piece[by].iloc[-1]))
+            held = [piece[at:]]
+            yield piece[:at]
+    if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def search_leaves(starts, ends, nodes, sizes, marks, threshold: float, seen: set, out: list) -> None:
-    """Pairs within the radius in shards of up to LEAF nodes: a tree of one leaf, whose members are compared directly."""
-    import numpy as np
-
-    spread = (1 - threshold) / (1 + threshold)
-    length = np.repeat(ends - starts, ends - starts)
-    stop = np.repeat(ends, ends - starts)
-    firsts, seconds = [], []
-    places = np.flatnonzero(length <= LEAF)
-    for o in range(1, LEAF):
-        places = places[places + o < stop[places]]
-        i = places
-        j = i + o
-        n, m = sizes[i], sizes[j]
-        ok = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (nodes[i] != nodes[j])
-        firsts.append(i[ok])
-        seconds.append(j[ok])
-    i, j = np.concatenate(firsts), np.concatenate(seconds)
-    if not len(i):
-        return
-    u, v = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-    # all sketches folded to the least width: a first bound for all pairs at once
-    least = np.frombuffer(b"".join([m if len(m) == 32 else fold(m, 32) for m in marks]), np.uint64).reshape(-1, 4)
-    near = np.bitwise_count(least[i] ^ least[j]).sum(1) <= spread * (sizes[i] + sizes[j]) + 1e-9
-    i, j, u, v = i[near], j[near], u[near], v[near]
-    order = np.lexsort((v, u))  # each pair once, however many shards it shares
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
-    pick = order[first]
-    for a, b, pair in zip(i[pick].tolist(), j[pick].tolist(), zip(u[pick].tolist(), v[pick].tolist(), strict=True), strict=True):
-        if pair not in seen:
-            seen.add(pair)
-            x, y = marks[a], marks[b]
-            if len(x) != len(y):
-                x, y = (fold(x, len(y)), y) if len(x) > len(y) else (x, fold(y, len(x)))
-            if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= spread * int(sizes[a] + sizes[b]) + 1e-9:
-                out.append(pair)
-
-
-def search_tree(nodes: list[int], sizes: list[int], marks: list[bytes], threshold: float, seen: set, out: list) -> None:
-    """Add a shard's pairs within the radius to `out`. `seen` holds pairs that were settled in other shards.
+def near_rows(shard, nodes, sizes, marks, threshold: float):
+    """Pairs (u, v) of nodes that meet in a shard within the radius, each once; rows of a shard are adjacent.
 
     Sketches fold: the halves' parities added are the sketch of half the width. A
     tree holds the nodes of its own width and wider ones folded down to it, and two
     nodes meet in the tree of the narrower.
     """
-    spread = (1 - threshold) / (1 + threshold)
-    trees: dict[int, BKTree] = {}
-    there: set = set()
-    for node, n, mark in zip(nodes, sizes, marks, strict=True):
-        if node in there:
-            continue
-        there.add(node)
-        own = width = len(mark)
-        radius, least = int(spread * (n + n / threshold) + 1e-9), mark_bits(max(1, math.floor(threshold * n))) // 8
-        while True:
-            key = int.from_bytes(mark)
-            tree = trees.get(width)
-            if tree is None:
-                tree = trees[width] = BKTree()
-            else:
-                for d, (other, m) in tree.within(key, radius):
-                    # a wider partner was met in the tree of this node's own width
-                    if d <= spread * (n + m) + 1e-9 and threshold * n - 1e-9 <= m <= n / threshold + 1e-9 and (width == own or mark_bits(m) == width * 8):
-                        pair = (node, other) if node < other else (other, node)
-                        if pair not in seen:
-                            seen.add(pair)
-                            out.append(pair)
-            tree.add(key, (node, n))
-            if width <= least:
-                break
-            width >>= 1
-            mark = fold(mark, width)
+    import numpy as np
 
+    spread = (1 - threshold) / (1 + threshold)
+    width = np.fromiter(map(len, marks), np.int64, len(marks))  # in bytes
+    least = np.fromiter((mark_bits(max(1, n)) // 8 for n in np.floor(threshold * sizes).astype(int).tolist()), np.int64, len(sizes))
+    rows, keys = np.zeros(0, np.int64), None
+    found = []
+    w = int(width.max(initial=32))
+    while w >= 32:
+        own = np.flatnonzero(width == w)
+        fresh = np.frombuffer(b"".join(marks[own]), np.uint64).reshape(len(own), w // 8)
+        if keys is not None:
+            stay = least[rows] <= w
+            rows, keys = rows[stay], keys[stay]
+            fresh = np.concatenate([fresh, keys[:, : w // 8] ^ keys[:, w // 8 :]])
+            own = np.concatenate([own, rows])
+            order = np.argsort(own, kind="stable")
+            own, fresh = own[order], fresh[order]
+        rows, keys = own, fresh
+        if (width[rows] == w).any():
+            n = sizes[rows]
+            i, j, d = Trees(shard[rows], keys).pairs(np.floor(spread * (n + n / threshold) + 1e-9).astype(np.int64))
+            a, b = n[i], n[j]
+            ok = (d <= spread * (a + b) + 1e-9) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+            i, j = rows[i[ok]], rows[j[ok]]
+            ok = (nodes[i] != nodes[j]) & ((width[i] == w) | (width[j] == w))
+            found.append(np.stack([np.minimum(nodes[i[ok]], nodes[j[ok]]), np.maximum(nodes[i[ok]], nodes[j[ok]])]))
+        w //= 2
+    u, v = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, bool)
+    return u[new], v[new]
+
+
+def placed_rows(nodes, sizes, shingles, codes, threshold: float, shard_rows: int):
+    """(shard, set, marks): the shards of each set of a chunk, and every set's parity sketch."""
+    import numpy as np
 
-def fold(mark: bytes, size: int) -> bytes:
-    """The parity sketch of `size` bytes of a wider one."""
-    while len(mark) > size:
-        half = len(mark) // 2
-        mark = (int.from_bytes(mark[:half]) ^ int.from_bytes(mark[half:])).to_bytes(half)
-    return mark
+    n = len(sizes)
+    which = np.repeat(np.arange(n), sizes)
+    # rare first, equally common ones by hash
+    order = np.argsort(which << 40 | codes.astype(np.int64) << 32 | shingles)
+    starts = np.cumsum(sizes) - sizes
+    prefix = sizes - np.ceil(np.round(threshold * sizes, 9)).astype(np.int64) + 1
+    order = order[np.arange(len(order)) - starts[which] < prefix[which]]
+    order = order[codes[order] > 1]  # a shingle of one set has no partner
+    hot = codes[order] > coded(np.array(shard_rows))
+    cold, hot = order[~hot], order[hot]
+    shard, owner = [shingles[cold].astype(np.int64) << 31], [which[cold]]
+    for c in np.unique(codes[hot]).tolist():
+        some = hot[codes[hot] == c]
+        g = -(-int(decoded(c)) // shard_rows)
+        row = (nodes[which[some]] % g)[:, None]
+        cell = np.arange(g)[None]
+        low, high = np.minimum(row, cell), np.maximum(row, cell)
+        shard.append((shingles[some].astype(np.int64)[:, None] << 31 | high * (high + 1) // 2 + low + 1).ravel())
+        owner.append(np.repeat(which[some], g))
+    width = np.fromiter(map(mark_bits, sizes.tolist()), np.int64, n)
+    marks = np.empty(n, object)
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w)
+        mine = width[which] == w
+        local = np.searchsorted(some, which[mine])
+        bits = np.bincount(local * w + (shingles[mine] & np.uint32(w - 1)), minlength=len(some) * w) & 1
+        packed = np.packbits(bits.astype(np.uint8)).tobytes()
+        marks[some] = [packed[k : k + w // 8] for k in range(0, len(packed), w // 8)]
+    shard, owner = np.concatenate(shard), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")  # rows of a set beside each other compress well
+    return shard[order], owner[order], marks
 
 
 def similar_sets(sets: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """All pairs of nodes (u < v, similarity) of `sets` (node, shingles) at or above the threshold."""
+    """All pairs of nodes (u < v, similarity) of counted chunks at or above the threshold."""
     import numpy as np
 
-    context = sets.sparkSession.sparkContext
-    sketch = frequency_sketch(sets)
-    counts = context.broadcast(sketch)
-    hot = int(coded(np.array(shard_rows))) + 1  # codes from here on mean more than `shard_rows` sets
-
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set = set()  # copies within the task; the trees skip the others
         for b in batches:
-            keys, owners, sizes, marks, rows = [], [], [], [], []
-            for node, packed in zip(b["node"], b["shingles"], strict=True):
-                if node in done:
-                    continue
-                done.add(node)
-                h = np.frombuffer(packed, np.uint32)
-                n = len(h)
-                c = counts.value[h >> np.uint32(32 - SKETCH_BITS)].astype(np.int64)
-                # rare first, equally common ones by hash; a shingle of one set has no partner
-                rank = (c << 32) | h
-                rank.sort()
-                rank = rank[: n - math.ceil(round(threshold * n, 9)) + 1]
-                rank = rank[rank >= 2 << 32]
-                width = mark_bits(n)
-                mark = np.packbits((np.bincount(h & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8))
-                keys.append((rank & 0xFFFFFFFF) << 24)
-                if len(rank) and rank[-1] >> 32 >= hot:
-                    spread = rank[rank >> 32 >= hot]
-                    keys[-1] = keys[-1][: len(rank) - len(spread)]
-                    for c, x in zip((spread >> 32).tolist(), (spread & 0xFFFFFFFF).tolist(), strict=True):
-                        g = min(4095, math.ceil(decoded(c) / shard_rows))
-                        row = node % g
-                        cells = [x << 24 | min(row, j) << 12 | max(row, j) for j in range(g)]
-                        keys[-1] = np.concatenate([keys[-1], np.array(cells, np.int64)])
-                owners.append(node)
-                sizes.append(n)
-                marks.append(mark.tobytes())
-                rows.append(len(keys[-1]))
-            yield pd.DataFrame(
-                {
-                    "shard": np.concatenate([np.zeros(0, np.int64), *keys]),
-                    "node": np.repeat(np.array(owners, np.int64), rows),
-                    "n": np.repeat(np.array(sizes, np.int32), rows),
-                    "mark": np.repeat(np.array(marks, object), rows),
-                }
-            )
+            for own, sizes, packed, codes in zip(b["own"], b["sizes"], b["shingles"], b["codes"], strict=True):
+                nodes, sizes = np.asarray(own, np.int64), np.asarray(sizes, np.int64)
+                shard, owner, marks = placed_rows(nodes, sizes, np.frombuffer(packed, np.uint32), np.frombuffer(codes, np.uint8), threshold, shard_rows)
+                for at in range(0, len(shard), 200_000):
+                    some = owner[at : at + 200_000]
+                    yield pd.DataFrame({"shard": shard[at : at + 200_000], "node": nodes[some], "n": sizes[some].astype(np.int32), "mark": marks[some]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
-        for chunk in whole_shards(batches):
-            at = chunk["shard"].to_numpy(np.int64)
-            nodes, sizes, marks = chunk["node"].to_numpy(np.int64), chunk["n"].to_numpy(np.int64), chunk["mark"].to_numpy()
-            ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
-            starts = np.concatenate([[0], ends[:-1]])
-            out: list = []
-            search_leaves(starts, ends, nodes, sizes, marks, threshold, seen, out)
-            for i, j in zip(starts[ends - starts > LEAF].tolist(), ends[ends - starts > LEAF].tolist(), strict=True):
-                search_tree(nodes[i:j].tolist(), sizes[i:j].tolist(), marks[i:j].tolist(), threshold, seen, out)
-            if len(seen) > 1_000_000:  # only spares repeats; they are removed below anyway
-                seen.clear()
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    placed = sets.select("node", "shingles").mapInPandas(shards, "shard long, node long, n int, mark binary")
+        for b in whole_groups(batches, "shard", 200_000):
+            u, v = near_rows(b["shard"].to_numpy(np.int64), b["node"].to_numpy(np.int64), b["n"].to_numpy(np.int64), b["mark"].to_numpy(), threshold)
+            yield pd.DataFrame({"u": u, "v": v})
+
+    placed = sets.select("own", "sizes", "shingles", "codes").mapInPandas(shards, "shard long, node long, n int, mark binary")
     near = placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "u long, v long").distinct()
     return verified(written(near, "near-candidates"), sets, threshold)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold. Only sets of the pairs' nodes are shuffled: a bit table picks them."""
+    """The pairs (u, v) whose sets reach the threshold."""
     import numpy as np
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint8)
-        for b in batches:
-            for c in ("u", "v"):
-                total[b[c].to_numpy(np.int64) & ((1 << SKETCH_BITS) - 1)] = 1
-        yield _slices(total, SKETCH_BITS)
-
-    wanted = sets.sparkSession.sparkContext.broadcast(np.packbits(_gather(pairs.mapInPandas(mark, "part int, counts binary"), SKETCH_BITS) > 0))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set = set()
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = b["node"].to_numpy(np.int64) & ((1 << SKETCH_BITS) - 1)
-            b = b[(wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
-            b = b[~b["node"].isin(done)].drop_duplicates("node")
-            done.update(b["node"].tolist())
-            yield b
+            for own, sizes, packed in zip(b["own"], b["sizes"], b["shingles"], strict=True):
+                ends = (np.cumsum(sizes) * 4).astype(int).tolist()
+                yield pd.DataFrame({"node": np.asarray(own, np.int64), "shingles": [packed[a:e] for a, e in zip([0, *ends], ends, strict=False)]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -398,7 +416,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     out.append((u, v, k / (len(x) + len(y) - k)))
             yield pd.DataFrame(out, columns=["u", "v", "similarity"])
 
-    one = sets.select("node", "shingles").mapInPandas(pick, "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    rows = sets.select("own", "sizes", "shingles").mapInPandas(unpack, "node long, shingles binary")
+    one = rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])  # one shuffle by node for both
     both = pairs.join(one.toDF("u", "a"), "u").join(one.toDF("v", "b"), "v")
     return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long, similarity double")
 
@@ -408,10 +428,13 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
 
     Texts of one node have the same shingles. `texts` needs id and text; further
     columns are not read. A repeated (id, text) row counts once; null ids and
-    texts are left out, as are texts with fewer words than `width` or `min_words`.
+    texts are left out, as are texts without words or with fewer than `min_words`.
     """
-    sets = written(shingle_sets(texts, width, min_words), "shingles")
-    return sets.select("id", "node").distinct(), similar_sets(sets, threshold)
+    chunks = written(shingle_chunks(texts, width, min_words), "shingle-chunks")
+    sets = written(counted(chunks), "shingles")
+    dropped(chunks)
+    members = sets.select(F.explode(F.arrays_zip("ids", "nodes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.nodes").alias("node"))
+    return members.distinct(), similar_sets(sets, threshold)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -50,28 +50,57 @@ def test_nulls_short_long_and_repeated(spark):
     assert pairs(spark, [], 3, 0.5) == set()
 
 
-def test_hot_shingles_are_spread_and_lose_nothing(spark, monkeypatch):
+def found_pairs(spark, rows, chunk=N.CHUNK, range_size=N.RANGE, **k):
+    df = spark.createDataFrame(rows, "id string, text string")
+    sets = N.written(N.counted(N.written(N.shingle_chunks(df, 3, 0, chunk), "c"), range_size), "s")
+    ids = {n: i for r in sets.collect() for i, n in zip(r["ids"], r["nodes"])}
+    return {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in N.similar_sets(sets, 0.5, **k).collect()}
+
+
+def test_hot_shingles_are_spread_and_lose_nothing(spark):
     rows = [(f"h{i:03d}", " ".join(["same words in every one of the rows here"] * 2 + [f"tail{i % 7}", f"z{i}"])) for i in range(90)]
     want = {(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y, 3) >= 0.5}
-    df = spark.createDataFrame(rows, "id string, text string")
-    sets = N.shingle_sets(df, 3, 0)
-    ids = {r["node"]: r["id"] for r in sets.collect()}
-    got = {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in N.similar_sets(sets, 0.5, shard_rows=10).collect()}
-    assert got == want
-    monkeypatch.setattr(N, "LEAF", 2)  # trees instead of leaves
-    got = {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in N.similar_sets(sets, 0.5, shard_rows=30).collect()}
-    assert got == want
-
-
-def test_tree_finds_all_within_radius():
-    rng = random.Random(3)
-    keys = [rng.getrandbits(64) & rng.getrandbits(64) for _ in range(400)] + [5, 5]
-    tree = N.BKTree()
-    for i, k in enumerate(keys):
-        tree.add(k, i)
-    for q in keys[:20]:
-        for radius in (0, 5, 18):
-            assert sorted(i for _, i in tree.within(q, radius)) == [i for i, k in enumerate(keys) if (k ^ q).bit_count() <= radius]
+    for shard_rows in (5, 10, 2048):
+        assert found_pairs(spark, rows, shard_rows=shard_rows) == want
+
+
+def test_small_chunks_and_ranges_change_nothing(spark):
+    import numpy as np
+
+    rows = corpus(40)
+    want = found_pairs(spark, rows)
+    assert want and found_pairs(spark, rows, chunk=50, range_size=64) == want
+    df = spark.createDataFrame(rows, "id string, text string").coalesce(1)
+    placed = []
+    for chunk, range_size in ((N.CHUNK, N.RANGE), (60, 100)):
+        got = {}
+        for r in N.counted(N.written(N.shingle_chunks(df, 3, 0, chunk), "c"), range_size).collect():
+            h, c = np.frombuffer(r["shingles"], np.uint32), np.frombuffer(r["codes"], np.uint8)
+            ends = np.cumsum(r["sizes"])
+            got |= {n: (h[e - k : e].tolist(), c[e - k : e].tolist()) for n, k, e in zip(r["own"], r["sizes"], ends)}
+        placed.append(got)
+    assert placed[0] == placed[1]  # the same sets, shingles and numbers, so the same rows are sent
+    from collections import Counter
+
+    times = Counter(x for h, _ in placed[0].values() for x in h)
+    assert all(times[x] == k for h, c in placed[0].values() for x, k in zip(h, c) if times[x] <= 64)
+
+
+def test_trees_find_all_within_radius():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    base = g.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    keys = np.concatenate([base, base[:20] ^ (np.uint64(1) << g.integers(0, 63, (20, 4)).astype(np.uint64)), base[:10]])
+    group = np.sort(g.integers(0, 5, len(keys)))
+    radius = g.integers(0, 140, len(keys))
+    trees = N.Trees(group, keys)
+    assert len(trees.child)  # nodes hang below roots
+    i, j, d = trees.pairs(radius)
+    dist = np.bitwise_count(keys[:, None] ^ keys[None]).sum(2)
+    want = {(a, b) for b in range(len(keys)) for a in range(b) if group[a] == group[b] and dist[a, b] <= radius[b]}
+    assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want and (dist[i, j] == d).all()
+    assert N.Trees(group[:0], keys[:0]).pairs(radius[:0])[0].size == 0
 
 
 def test_parity_bounds_the_difference():
@@ -86,9 +115,9 @@ def test_parity_bounds_the_difference():
 
 
 def test_groups(spark):
-    rows = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "one two three four five six seven eight nine ten eleven"), ("c", "zero one two three four five six seven eight nine ten eleven"), ("d", "x")]
+    rows = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "one two three four five six seven eight nine ten eleven"), ("c", "zero one two three four five six seven eight nine ten eleven"), ("d", "x"), ("e", "x."), ("f", "y")]
     got = {r["id"]: (r["group_id"], r["n_members"], r["n_links"]) for r in N.duplicate_groups(spark.createDataFrame(rows, "id string, text string")).collect()}
-    assert got == {"a": ("a", 3, 1), "b": ("a", 3, 1), "c": ("a", 3, 1), "d": ("d", 1, 0)}
+    assert got == {"a": ("a", 3, 1), "b": ("a", 3, 1), "c": ("a", 3, 1), "d": ("d", 2, 0), "e": ("d", 2, 0), "f": ("f", 1, 0)}
 
 
 def test_components(spark):
