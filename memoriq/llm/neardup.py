@@ -214,9 +214,9 @@ def decoded(code: int) -> float:
 
 
 def counted(chunks: DataFrame, range_size: int = RANGE) -> DataFrame:
-    """The chunks with `codes`: for each of their shingles the number of sets that have it, as a byte. The chunks must be a written table.
+    """The chunks with `codes`: for each of their shingles the number of sets that have it, as a byte; a written table.
 
-    Numbers are exact, but a set in several tasks counts once for each.
+    The chunks must be a written table and are deleted. Numbers are exact, but a set in several tasks counts once for each.
     """
     spark = chunks.sparkSession
     total = chunks.agg(F.sum("n")).first()[0] or 0
@@ -268,9 +268,13 @@ def counted(chunks: DataFrame, range_size: int = RANGE) -> DataFrame:
 
     asked = chunks.select("chunk", "shingles").mapInPandas(ask, "part int, chunk long, asked binary, times binary")
     codes = asked.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(answer, "chunk long, part int, codes binary")
+    codes = written(codes, "shingle-codes")  # ends the shuffle of what was asked
     answers = codes.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "codes"))).alias("answers"))  # as many bytes as the chunk has shingles
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema) + ", codes binary"
-    return chunks.join(answers, "chunk", "left").mapInPandas(merge, schema)
+    sets = written(chunks.join(answers, "chunk", "left").mapInPandas(merge, schema), "shingles")
+    dropped(chunks)
+    dropped(codes)
+    return sets
 
 
 def mark_bits(n: int) -> int:
@@ -431,8 +435,7 @@ def near_duplicates(texts: DataFrame, width: int = 5, threshold: float = 0.8, mi
     texts are left out, as are texts without words or with fewer than `min_words`.
     """
     chunks = written(shingle_chunks(texts, width, min_words), "shingle-chunks")
-    sets = written(counted(chunks), "shingles")
-    dropped(chunks)
+    sets = counted(chunks)
     members = sets.select(F.explode(F.arrays_zip("ids", "nodes")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.nodes").alias("node"))
     return members.distinct(), similar_sets(sets, threshold)
 

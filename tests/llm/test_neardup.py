@@ -52,7 +52,7 @@ def test_nulls_short_long_and_repeated(spark):
 
 def found_pairs(spark, rows, chunk=N.CHUNK, range_size=N.RANGE, **k):
     df = spark.createDataFrame(rows, "id string, text string")
-    sets = N.written(N.counted(N.written(N.shingle_chunks(df, 3, 0, chunk), "c"), range_size), "s")
+    sets = N.counted(N.written(N.shingle_chunks(df, 3, 0, chunk), "c"), range_size)
     ids = {n: i for r in sets.collect() for i, n in zip(r["ids"], r["nodes"])}
     return {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in N.similar_sets(sets, 0.5, **k).collect()}
 
