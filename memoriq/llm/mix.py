@@ -4,7 +4,7 @@ Every target source gets a token budget: the largest total at which no source
 needs a document more often than allowed, times its share. A budget takes the
 whole source as often as it fits; for the remainder documents are counted by
 exact token length, each length gives its proportional number, and a bounded
-knapsack over the lengths (subset sums as bits) closes the gap that is left.
+knapsack over the lengths (sums as bits) comes as near to the budget as any choice.
 Within a length the documents are chosen by seeded hash.
 """
 
@@ -17,56 +17,78 @@ from pyspark.sql import functions as F
 from memoriq.llm.tokens import DEFAULT_RANKS, token_count
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, slack: int = 1 << 16) -> list[int]:
-    """How many of each length to take: the sum is at most `budget` and as near to it as the sums allow.
+def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many of each length to take: the sum is at most `budget` and as near to it as any choice comes.
 
-    Proportional numbers first; then the last items are released until `slack`
-    tokens are open (or nothing is left to release) and a bounded knapsack over
-    all free items fills them exactly or as far as subset sums reach.
+    Proportional numbers come first and are filled up from the longest on. What is
+    then missing is less than the longest length L (all divided by their common
+    divisor), and some best choice differs in at most 2 L items: put its additions
+    and removals in an order that keeps the running sum within L of zero; if a sum
+    came twice, what lies between could be left out. So a bounded knapsack over
+    additions and removals (each length in powers of two) within 2 L * L of the
+    start is exact. It ends at once where the budget is met, and first tries two
+    items a length.
     """
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    import math
+
+    import numpy as np
+
+    at = [i for i, (n, c) in enumerate(zip(lengths, counts, strict=True)) if n > 0 and c > 0]
+    total = sum(lengths[i] * counts[i] for i in at)
     if budget >= total:
         return list(counts)
+    take = [0] * len(counts)
     if budget <= 0:
-        return [0] * len(counts)
-    take = [c * budget // total for c in counts]
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    rest = budget - sum(lengths[i] * t for i, t in enumerate(take))
-    for i in order:  # one more of each while it fits: rounding lost less than one of each length
-        if lengths[i] and rest >= lengths[i] and take[i] < counts[i]:
-            more = min(counts[i] - take[i], max(1, rest // lengths[i]) if rest < 4 * lengths[i] else 1)
-            take[i] += more
-            rest -= more * lengths[i]
-    for i in order:
-        while rest > slack and lengths[i] and take[i] < counts[i] and rest >= lengths[i]:
-            k = min(counts[i] - take[i], (rest - slack) // lengths[i] + 1, rest // lengths[i])
-            take[i] += k
-            rest -= k * lengths[i]
-    for i in order:  # open up a little, so that the knapsack has room to move
-        if take[i] and rest < slack // 4:
-            take[i] -= 1
-            rest += lengths[i]
-    mask, reach, steps, pieces = (1 << (rest + 1)) - 1, 1, [1], []
-    for i in order:
-        free, k = min(counts[i] - take[i], rest // lengths[i] if lengths[i] else 0), 1
-        while free > 0:  # bounded numbers as powers of two
-            k = min(k, free)
-            reach |= (reach << (k * lengths[i])) & mask
-            steps.append(reach)
-            pieces.append((i, k))
-            free -= k
-            k *= 2
-        if reach == mask or reach >> rest & 1:
+        return take
+    unit = math.gcd(*(lengths[i] for i in at))
+    size = {i: lengths[i] // unit for i in at}
+    rest, total = budget // unit, total // unit
+    share = rest
+    for i in at:
+        take[i] = counts[i] * share // total
+        rest -= size[i] * take[i]
+    at.sort(key=lambda i: -size[i])
+    for i in at:
+        more = min(counts[i] - take[i], rest // size[i])
+        take[i] += more
+        rest -= more * size[i]
+    longest = size[at[0]]
+    for most in (2, 2 * longest):
+        if not rest:
+            break
+        span = min(2 * longest * longest, most * sum(size.values()))
+        mask, reach, pieces = (1 << (2 * span + 1)) - 1, 1 << span, []
+        by = np.full(2 * span + 1, -1, np.int32)  # the piece that first reached a sum
+        goal = 1 << (span + rest)
+        for i in reversed(at):
+            for sign, free in ((1, counts[i] - take[i]), (-1, take[i])):
+                free, k = min(free, most), 1
+                while free > 0 and not reach & goal:
+                    k = min(k, free)
+                    move = k * size[i]
+                    new = ((reach << move if sign > 0 else reach >> move) & mask) & ~reach
+                    if new:
+                        bits = np.frombuffer(new.to_bytes((2 * span + 8) // 8, "little"), np.uint8)
+                        by[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(pieces)
+                        reach |= new
+                    pieces.append((i, sign * k))
+                    free -= k
+                    k *= 2
+        if reach & goal or most > 2:
+            s = (reach & ((goal << 1) - 1)).bit_length() - 1
+            rest -= s - span
+            while by[s] >= 0:
+                i, k = pieces[by[s]]
+                take[i] += k
+                s -= k * size[i]
             break
-    at = reach.bit_length() - 1
-    for s in range(len(pieces) - 1, -1, -1):
-        i, k = pieces[s]
-        if not steps[s] >> at & 1:
-            take[i] += k
-            at -= k * lengths[i]
     return take
 
 
+#: Sources a mixture may have: their targets and sums are held by the driver.
+MOST_SOURCES = 10_000
+
+
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_RANKS) -> DataFrame:
     """The documents taken: doc_id, source, n_tokens, copies (at most max_repeats).
 
@@ -75,12 +97,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     that all target shares allow; a larger wish is cut to it. A target source
     without any token is left out of that bound (its share can't be reached).
     Documents without tokens are never taken. Repeated rows count as documents of
-    their own. The targets table must be small (one row per source).
+    their own. More than MOST_SOURCES target sources are an error.
     """
     spark = docs.sparkSession
     goal = targets.select(
         F.lower(F.trim("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("long").alias("cap")
     ).where((F.col("share") > 0) & (F.col("cap") > 0))
+    wanted = {r["source"]: (r["share"], r["cap"]) for r in goal.limit(MOST_SOURCES + 1).collect()}
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
     sized = (
         docs.select(F.col(id_col).alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.col(text_col).alias("text"))
         .join(F.broadcast(goal.select("source")), "source", "left_semi")
@@ -93,7 +118,6 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     sized = written(sized, "mix-sizes")  # tokens are counted once
     histogram = sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
     sums = {r["source"]: r["t"] for r in histogram.groupBy("source").agg(F.sum(F.col("c") * F.col("n_tokens")).alias("t")).collect()}
-    wanted = {r["source"]: (r["share"], r["cap"]) for r in goal.collect()}
     most = min((sums[s] * cap / share for s, (share, cap) in wanted.items() if sums.get(s)), default=0.0)
     total = most if total_tokens is None else min(float(total_tokens), most)
     budgets = {s: int(total * share) for s, (share, _) in wanted.items()}

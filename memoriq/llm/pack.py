@@ -11,6 +11,7 @@ spreads evenly; each shard is solved by itself.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -24,17 +25,20 @@ from memoriq.llm.tokens import DEFAULT_RANKS, token_count
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
     """Martello and Toth's bound L2: the volume bound, improved by items that can't share."""
-    total = -(-sum(sizes) // capacity)
-    best, ordered = total, sorted(sizes, reverse=True)
-    for k in sorted({s for s in ordered if 2 * s <= capacity} | {0}):
-        big = sum(1 for s in ordered if s > capacity - k)
-        mid = [s for s in ordered if capacity - k >= s and 2 * s > capacity]
-        small = sum(s for s in ordered if k <= s and 2 * s <= capacity)
-        room = len(mid) * capacity - sum(mid)
-        best = max(best, big + len(mid) + max(0, -(-(small - room) // capacity)))
-        if len(ordered) > 400:  # the volume bound nearly always decides for many items
-            break
-    return best
+    import numpy as np
+
+    if not sizes:
+        return 0
+    s = np.sort(np.asarray(sizes, np.int64))
+    sums = np.r_[0, np.cumsum(s)]
+    half = np.searchsorted(s, capacity // 2, side="right")  # items from here on exceed half a container
+    k = np.unique(np.r_[0, s[:half]])
+    big = np.searchsorted(s, capacity - k, side="right")  # items from here on exceed capacity - k
+    big = np.maximum(big, half)
+    mid = big - half
+    small = sums[half] - sums[np.searchsorted(s, k)]
+    room = mid * capacity - (sums[big] - sums[half])
+    return int(max(-(-sums[-1] // capacity), (len(s) - big + mid + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -54,11 +58,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(left: Counter, values: list[int], room: int, least: int) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of the remaining sizes whose sum is within [least, room], the fullest first, lazily.
+    """All undominated sets of the remaining sizes whose sum is within [least, room], the fullest first, lazily.
 
-    One set for each sum, of large members where there is a choice. A set is
-    dominated if an unused size could replace a smaller member, or two members
-    together, and still fit.
+    Of equal sums those of large members come first. A set is dominated if an
+    unused size could replace a smaller member, or two members together, and still
+    fit.
     """
     reach, mask = 1, (1 << (room + 1)) - 1  # subset sums as bits
     steps = [reach]
@@ -67,26 +71,33 @@ def fillings(left: Counter, values: list[int], room: int, least: int) -> Iterato
             reach |= (reach << v) & mask
         steps.append(reach)
     reach &= ~((1 << max(least, 0)) - 1)
+
+    def sets(k: int, rest: int) -> Iterator[tuple[int, ...]]:
+        """Sets of the first k values with this sum."""
+        if not rest:
+            yield ()
+            return
+        v = values[k - 1]
+        for n in range(min(left[v], rest // v) + 1):
+            if steps[k - 1] >> (rest - n * v) & 1:
+                for more in sets(k - 1, rest - n * v):
+                    yield (*more, *(v,) * n)
+
     while reach:
         target = reach.bit_length() - 1
         reach ^= 1 << target
-        chosen, rest, used = [], target, Counter()
-        for k in range(len(values) - 1, -1, -1):  # walk back through the sums
-            v = values[k]
-            while not steps[k] >> rest & 1:
-                chosen.append(v)
-                used[v] += 1
-                rest -= v
         slack = room - target
-        if slack:
-            low = set(chosen) | {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
-            if any(y < x <= y + slack for x in values if left[x] > used[x] for y in low):
-                continue
-        yield tuple(chosen)
+        for chosen in sets(len(values), target):
+            if slack:
+                used = Counter(chosen)
+                low = set(chosen) | {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
+                if any(y < x <= y + slack for x in values if left[x] > used[x] for y in low):
+                    continue
+            yield chosen
 
 
-def _search(sizes: list[int], capacity: int, incumbent: list[list[int]], bound: int, budget: int) -> list[list[int]]:
-    """Depth-first bin completion from the largest item on; ends at `bound` or after `budget` containers."""
+def _search(sizes: list[int], capacity: int, incumbent: list[list[int]], bound: int, budget: float) -> list[list[int]]:
+    """Depth-first bin completion from the largest item on; ends at `bound`, after `budget` containers or when no branch is left."""
     total = sum(sizes)
     left, placed, waste = Counter(sizes), [], 0
     stack: list = []  # of (lazy alternatives, items left, number placed, waste) at each open container
@@ -121,20 +132,31 @@ def _search(sizes: list[int], capacity: int, incumbent: list[list[int]], bound:
     return incumbent
 
 
-def complete(sizes: list[int], capacity: int, core: int = 64, budget: int = 400) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, core: int = 64, budget: int | None = 400) -> list[list[int]]:
     """Pack positive sizes of at most `capacity`.
 
-    Best fit decreasing is the incumbent. If it misses the lower bound, its `core`
-    emptiest containers are opened and bin completion packs their items anew.
-    `budget` bounds the containers tried in that search, never the result.
+    Best fit decreasing is the incumbent. While it misses the lower bound, groups of
+    `core` containers are opened, the emptiest first, and bin completion packs the
+    items of each anew, until all were opened without gain. `budget` bounds the
+    containers tried in a group: what it leaves out can cost containers, never
+    items. With `budget=None` all containers are one group and the search goes on
+    to the end, so that the result is optimal, in time that may grow exponentially.
     """
-    bins = best_fit(sizes, capacity)
-    spare = len(bins) - lower_bound(sizes, capacity)
-    if spare <= 0:
-        return bins
+    bins, at = best_fit(sizes, capacity), 0
+    bound = lower_bound(sizes, capacity)
+    core, tries = (max(1, len(bins)), math.inf) if budget is None else (core, budget)
     bins.sort(key=sum)
-    opened, kept = bins[:core], bins[core:]
-    return kept + _search([s for b in opened for s in b], capacity, opened, len(opened) - spare, budget)
+    while len(bins) > bound and at < len(bins):
+        opened = bins[at : at + core]
+        items = [s for b in opened for s in b]
+        least = max(lower_bound(items, capacity), len(opened) - (len(bins) - bound))
+        better = _search(items, capacity, opened, least, tries) if least < len(opened) else opened
+        if len(better) < len(opened):
+            bins = sorted(bins[:at] + better + bins[at + core :], key=sum)
+            at = 0
+        else:
+            at += core
+    return bins
 
 
 ASSIGNED = "doc_id long, piece_no int, token_start long, n_tokens long, container_id string"
@@ -192,7 +214,9 @@ def assign_containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    by_shard = pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "row_no", "piece_no")
+    # small in bytes, heavy in time: a number of partitions of its own, so that they aren't merged
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    by_shard = pieces.repartition(min(shards, max(4 * cores, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard").sortWithinPartitions("shard", "doc_id", "row_no", "piece_no")
     schema = ASSIGNED.replace("doc_id long", f"doc_id {docs.schema[id_col].dataType.simpleString()}")
     return by_shard.mapInPandas(run, schema)
 

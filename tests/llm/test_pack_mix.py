@@ -41,6 +41,35 @@ def test_bins_are_valid_and_optimal(sizes):
     assert P.lower_bound(sizes, 100) <= len(bins) == optimum(sizes, 100)
 
 
+def test_bound_as_written():
+    rng = random.Random(6)
+    for _ in range(100):
+        sizes, c = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 700))], 100
+        best = -(-sum(sizes) // c)
+        for k in {0, *(s for s in sizes if 2 * s <= c)}:
+            big, mid = [s for s in sizes if s > c - k], [s for s in sizes if c - k >= s and 2 * s > c]
+            small = sum(s for s in sizes if k <= s and 2 * s <= c)
+            best = max(best, len(big) + len(mid) + max(0, -(-(small - (len(mid) * c - sum(mid))) // c)))
+        assert P.lower_bound(sizes, c) == best
+    assert P.lower_bound([], 100) == 0
+
+
+def test_all_undominated_fillings_and_exact_mode():
+    got = set(P.fillings(Counter([6, 5, 4, 3, 2, 1]), [6, 5, 4, 3, 2, 1], 7, 7))
+    assert got == {(6, 1), (5, 2), (4, 3), (4, 2, 1)}
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes = [rng.randint(18, 60) for _ in range(11)]
+        assert len(P.complete(sizes, 100, budget=None)) == optimum(sizes, 100)
+
+
+def test_later_groups_are_opened():
+    rng = random.Random(3)
+    sizes = [rng.randint(500, 1100) for _ in range(600)]
+    few, many = len(P.complete(sizes, 2048)), len(P.best_fit(sizes, 2048))
+    assert few < many - 1
+
+
 def test_search_improves_best_fit():
     rng, better = random.Random(1), 0
     for _ in range(200):
@@ -60,8 +89,27 @@ def test_budget_is_met_as_far_as_possible(items, budget):
     got = sum(n * t for n, t in zip(lengths, take, strict=True))
     assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
     assert got <= budget
-    if sum(n * c for n, c in items) > budget:
-        assert got == max(r for r in reach if r <= budget) or budget - got < min(lengths) * 4
+    assert got == max(r for r in reach if r <= budget)
+
+
+def test_budget_of_many_and_awkward_items():
+    assert fit_budget([2, 59], [5, 5], 297) == [1, 5]
+    lengths = [14 * k for k in range(3, 90)]  # only multiples of 14 can be met
+    for budget in (1, 41, 42, 5_000_011, 123_456_789):
+        counts = [40_000] * len(lengths)
+        got = sum(n * t for n, t in zip(lengths, fit_budget(lengths, counts, budget), strict=True))
+        assert got == (0 if budget < 42 else budget // 14 * 14)
+    rng = random.Random(5)
+    for _ in range(40):  # few items, so that many sums can't be met
+        lengths = rng.sample(range(1, 90), rng.randrange(1, 5))
+        counts = [rng.randrange(1, 30) for _ in lengths]
+        budget = rng.randrange(sum(n * c for n, c in zip(lengths, counts)) + 1)
+        reach = {0}
+        for n, c in zip(lengths, counts):
+            reach = {r + k * n for r in reach for k in range(c + 1)}
+        take = fit_budget(lengths, counts, budget)
+        assert sum(n * t for n, t in zip(lengths, take)) == max(r for r in reach if r <= budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
 
 
 def docs(spark, n=400):
