@@ -9,10 +9,12 @@ deciding change creates; its content is the later of the two registers, because
 an update after the deciding change found the record and an earlier one was
 replaced by it.
 
-The fold runs in an embedded DuckDB, one per bucket: Arrow batches are upserted
-with a conditional ON CONFLICT update that compares stored sequences. A first
-fold happens where the deliveries were deduplicated (before the shuffle by
-record), so a record holding a third of the feed arrives as one row per task.
+The fold runs in an embedded DuckDB, one per bucket of records: Arrow batches are
+upserted with a conditional ON CONFLICT update that compares stored sequences. A
+first fold happens where the deliveries were deduplicated (before the shuffle by
+bucket), so a record holding a third of the feed arrives as one row per task. The
+number of buckets follows the number of rows, which bounds each one's table, since
+its primary key has to stay in memory.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoriq.session import uid
-from memoriq.store import SnapshotTable
+from memoriq.session import uid, written
+from memoriq.store import BucketStore
 
 STATE_SCHEMA = (
     "record_id string, base_seq string, base_deletes boolean, base_change string, base_payload string,"
@@ -52,63 +54,95 @@ WHERE coalesce(excluded.base_seq > base_seq, excluded.base_seq IS NOT NULL)
 """
 
 
-def _fold_bucket(batches: Iterator, memory_mb: int = 512, rows: int = 65_536) -> Iterator:
-    """Upsert the bucket's Arrow batches into an embedded table and export it."""
-    import tempfile
-
-    import duckdb
-    import pyarrow as pa
-
-    with tempfile.TemporaryDirectory() as spill:  # only overflow of this task, never shared
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill})
-        con.execute(_DDL)
-        held, n = [], 0
-
-        def flush():
-            con.register("batch", pa.Table.from_batches(held))
-            con.execute(_UPSERT)
-            con.unregister("batch")
-            held.clear()
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                n += b.num_rows
-                if n >= rows:
-                    flush()
-                    n = 0
-        if held:
-            flush()
-        reader = con.sql(f"SELECT {', '.join(STATE_COLUMNS)} FROM state").to_arrow_reader(10_000)
-        yield from reader
-        con.close()
-
-
-def as_registers(feed: DataFrame, record_type: str = "memory", payload: bool = True) -> DataFrame:
-    """Deduplicate deliveries and turn each change into one half-filled state row.
+DELIVERY = "change_id string, attempt_count int, arrival_no long, record_id string, op string, created_at timestamp, payload string"
+
+
+def _folder(by_bucket: bool, memory_mb: int = 512, rows: int = 65_536, most: int = 500_000):
+    """A function that upserts Arrow batches into an embedded table and exports it: at the end of each bucket, or after every `most` rows."""
+
+    def fold(batches: Iterator) -> Iterator:
+        import tempfile
+
+        import duckdb
+        import numpy as np
+        import pyarrow as pa
+
+        with tempfile.TemporaryDirectory() as spill:  # only overflow of this task, never shared
+            con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill})
+            con.execute(_DDL)
+            held, waiting, inside, here = [], 0, 0, None
+
+            def flush():
+                nonlocal waiting
+                if held:
+                    con.register("batch", pa.Table.from_batches(held))
+                    con.execute(_UPSERT)
+                    con.unregister("batch")
+                    held.clear()
+                waiting = 0
+
+            def export():
+                nonlocal inside
+                flush()
+                if inside:
+                    yield from con.sql(f"SELECT {', '.join(STATE_COLUMNS)} FROM state").to_arrow_reader(10_000)
+                    con.execute("DROP TABLE state")
+                    con.execute(_DDL)
+                inside = 0
+
+            for b in batches:
+                parts = [(None, b)] if b.num_rows else []
+                if by_bucket and b.num_rows:
+                    k = b.column("bucket").to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist()
+                    parts = [(int(k[i]), b.slice(i, j - i)) for i, j in zip(at, [*at[1:], b.num_rows], strict=True)]
+                for bucket, part in parts:
+                    if inside and (bucket != here if by_bucket else inside >= most):
+                        yield from export()
+                    here = bucket
+                    held.append(part)
+                    waiting += part.num_rows
+                    inside += part.num_rows
+                    if waiting >= rows:
+                        flush()
+            yield from export()
+            con.close()
+
+    return fold
+
+
+def best_deliveries(feed: DataFrame, record_type: str = "memory") -> DataFrame:
+    """One row per change (DELIVERY): the delivery that counts.
 
     Rows of other record types or without a record_id are left out first. Of the
     deliveries of one change the highest attempt_count counts (null is lowest),
     among equals the last to arrive. Letter case and outer blanks of `operation`
-    mean nothing; unknown operations are no changes. A null created_at sorts first.
+    mean nothing.
     """
-    op = F.lower(F.trim("operation"))
     rows = feed.where((F.col("record_type") == record_type) & F.col("record_id").isNotNull() & F.col("id").isNotNull()).select(
         uid("id").alias("change_id"),
-        F.struct(
-            F.coalesce("attempt_count", F.lit(-1)).alias("attempt_count"),
-            "arrival_no",
-            uid("record_id").alias("record_id"),
-            op.alias("op"),
-            "created_at",
-            *([F.col("payload")] if payload else [F.lit(None).cast("string").alias("payload")]),
-        ).alias("d"),
+        F.coalesce("attempt_count", F.lit(-1)).alias("attempt_count"),
+        "arrival_no",
+        uid("record_id").alias("record_id"),
+        F.lower(F.trim("operation")).alias("op"),
+        "created_at",
+        "payload",
     )
-    one = rows.groupBy("change_id").agg(F.max("d").alias("d")).select("change_id", "d.*")
+    return better(rows)
+
+
+def better(deliveries: DataFrame) -> DataFrame:
+    """Of several deliveries (DELIVERY) of a change the one that counts."""
+    rest = [c.split()[0] for c in DELIVERY.split(", ")][1:]
+    return deliveries.groupBy("change_id").agg(F.max(F.struct(*rest)).alias("d")).select("change_id", "d.*")
+
+
+def registers_of(deliveries: DataFrame) -> DataFrame:
+    """Each change as a half-filled state row. Unknown operations are no changes; a null created_at sorts first."""
     micros = F.coalesce(F.unix_micros("created_at") + F.lit(1 << 61), F.lit(0))
     seq = F.concat(F.lpad(micros.cast("string"), 20, "0"), F.col("change_id"))
     base, upd = F.col("op").isin("insert", "upsert", "delete"), F.col("op") == "update"
-    return one.where(base | upd).select(
+    return deliveries.where(base | upd).select(
         "record_id",
         F.when(base, seq).alias("base_seq"),
         F.when(base, F.col("op") == "delete").alias("base_deletes"),
@@ -120,11 +154,16 @@ def as_registers(feed: DataFrame, record_type: str = "memory", payload: bool = T
     )
 
 
-def fold_changes(registers: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def as_registers(feed: DataFrame, record_type: str = "memory") -> DataFrame:
+    return registers_of(best_deliveries(feed, record_type))
+
+
+def fold_changes(registers: DataFrame, state: DataFrame | None = None, buckets: int = 64) -> DataFrame:
     """Fold register rows, and an earlier state if there is one, to one row per record."""
-    part = registers.mapInArrow(_fold_bucket, STATE_SCHEMA)
+    part = registers.mapInArrow(_folder(False), STATE_SCHEMA)
     rows = part if state is None else part.unionByName(state.select(*STATE_COLUMNS))
-    return rows.repartition("record_id").mapInArrow(_fold_bucket, STATE_SCHEMA)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_folder(True), STATE_SCHEMA)
 
 
 def visible(state: DataFrame) -> DataFrame:
@@ -137,17 +176,21 @@ def visible(state: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(
-    feed: DataFrame, target: SnapshotTable | None = None, record_type: str = "memory", payload: bool = True
-) -> DataFrame:
-    """Apply a change feed and return the state (registers, tombstones included).
+STATE_TABLES = {"state": ("record_id", STATE_SCHEMA)}
+
+
+def apply_changes(feed: DataFrame, target: BucketStore, record_type: str = "memory") -> DataFrame:
+    """Apply a change feed to the table `state` of `target` and return the state (registers, tombstones included).
 
-    With a `target` the buckets are folded over its live snapshot and all of them
-    are published in one pointer swap; a failure leaves the old snapshot live. An
-    empty feed gives an empty (or the unchanged) state. Further columns of the
-    feed are not read.
+    The buckets that the feed touches are folded over their live rows and all of
+    them are published in one pointer swap; a failure leaves the old state live. An
+    empty feed leaves it unchanged. Further columns of the feed are not read. Of
+    deliveries of one change the best counts within a feed; feeds that may repeat
+    changes of earlier ones go through `streaming.mirror`, which keeps them.
     """
-    registers = as_registers(feed, record_type, payload)
-    if target is None:
-        return fold_changes(registers)
-    return target.publish(fold_changes(registers, target.read()), keep_previous=False)
+    target.fit("state", feed.count())
+    registers = written(as_registers(feed, record_type).mapInArrow(_folder(False), STATE_SCHEMA), "feed-registers")
+    touched = target.touched("state", registers)
+    folded = fold_changes(registers, target.read("state", touched), target.buckets())
+    target.commit({"state": (folded, touched)})
+    return target.read("state")

@@ -426,10 +426,12 @@ def outbox_marks(spark, d):
 
 
 def mirror_stream(spark, d):
-    """The outbox streamed through the mirror; its records must be what the batch operator finds."""
-    mirror = Z.Mirror(spark, f"{shared_dir(spark)}/mirror-{uuid.uuid4().hex}")
-    schema = table(spark, d, "outbox").schema
-    mirror.run(f"{d}/outbox*.parquet", schema, max_files=10_000).awaitTermination()
+    """The outbox as four files in order of arrival, streamed through the mirror one a batch; its records must be what the batch operator finds."""
+    root = f"{shared_dir(spark)}/mirror-{uuid.uuid4().hex}"
+    feed = table(spark, d, "outbox")
+    feed.repartitionByRange(4, "arrival_no").write.parquet(f"{root}/outbox")
+    mirror = Z.Mirror(spark, root)
+    mirror.run(f"{root}/outbox", feed.schema, max_files=1).awaitTermination()
     return mirror.records()
 
 

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from memoriq.operators.changefeed import apply_changes, visible
+from memoriq.operators.changefeed import STATE_TABLES, apply_changes, visible
 from memoriq.operators.references import Reference, orphan_references, orphan_report
 from memoriq.session import shared_dir, table
-from memoriq.store import SnapshotTable
-
+from memoriq.store import BucketStore
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
 
-    target = SnapshotTable(spark, f"{shared_dir(spark)}/feed-state-{uuid.uuid4().hex}")
-    state = apply_changes(table(spark, sf_dir, "outbox"), target, payload=False)
-    return visible(state).select("record_id", "change_id")
+def p2_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mirrored memories with the change and the payload of their present content, after one publication."""
+    target = BucketStore(spark, f"{shared_dir(spark)}/feed-state-{uuid.uuid4().hex}", STATE_TABLES)
+    return visible(apply_changes(table(spark, sf_dir, "outbox"), target))
 
 
-def p2_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mirrored memories with the payload of their present content."""
-    return visible(apply_changes(table(spark, sf_dir, "outbox")))
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_state(spark, sf_dir).select("record_id", "change_id")
 
 
 def _references(spark: SparkSession, sf_dir: str):

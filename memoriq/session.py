@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset (tests, a
-    single machine) a temporary folder is made once per application.
+    The cluster names it in spark.checkpoint.dir. Where that is unset and Spark
+    runs in this one process (tests) a temporary folder is made once per
+    application; on a cluster it is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own_dir.get(sc.applicationId)
         if path is None:
             path = _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="memoriq-")
@@ -45,6 +48,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no folder."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file and move it into place, so that readers see the old or the new one."""
     tmp = f"{path}.{uuid.uuid4().hex}"

@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memoriq.session import read_text, remove_path, write_text
+from memoriq.session import list_names, read_text, remove_path, write_text
 
 
 class SnapshotTable:
@@ -49,6 +50,85 @@ class SnapshotTable:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
+class BucketStore:
+    """Keyed tables in hash buckets that change together.
+
+    `_CURRENT` maps every bucket of every table to its folder. A commit writes only
+    the buckets it touches and replaces the pointer in one rename, so readers see
+    all of it or nothing. Folders of the last `keep` versions stay for readers that
+    resolved the pointer earlier; `vacuum` deletes older ones. Where buckets grow
+    over `most_rows` (see `fit`), all tables are rewritten with more of them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[str, str]], buckets: int = 16, most_rows: int = 500_000):
+        self.spark, self.root, self.tables, self.least, self.most_rows = spark, root.rstrip("/"), tables, buckets, most_rows
+
+    def _live(self) -> dict:
+        text = read_text(self.spark, f"{self.root}/_CURRENT")
+        return json.loads(text) if text else {"version": 0, "buckets": self.least, "tables": {}, "before": [], "note": {}}
+
+    def version(self) -> int:
+        return self._live()["version"]
+
+    def note(self) -> dict:
+        return self._live()["note"]
+
+    def buckets(self) -> int:
+        return self._live()["buckets"]
+
+    def bucket(self, name: str, n: int | None = None) -> Column:
+        """The bucket of a row of `name`."""
+        return F.pmod(F.xxhash64(self.tables[name][0]), F.lit(n or self._live()["buckets"])).cast("int")
+
+    def touched(self, name: str, rows: DataFrame) -> list[int]:
+        """Buckets of `name` in which `rows` have a key: at most as many as there are buckets."""
+        return sorted(r["b"] for r in rows.select(self.bucket(name).alias("b")).distinct().collect())
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        folders = self._live()["tables"].get(name, {})
+        paths = [f"{self.root}/{f}" for b, f in folders.items() if buckets is None or int(b) in buckets]
+        schema = self.tables[name][1]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def commit(self, changed: dict[str, tuple[DataFrame, list[int] | None]], note: dict | None = None, keep: int = 2, buckets: int | None = None) -> int:
+        """Write the touched buckets (all if None) of each table from its rows, then make them live at once."""
+        live = self._live()
+        version, n = live["version"] + 1, buckets or live["buckets"]
+        tables = {k: dict(v) for k, v in live["tables"].items()}
+        for name, (rows, touched) in changed.items():
+            folder = f"{name}/v={version}-{uuid.uuid4().hex[:8]}"
+            rows.withColumn("_bucket", self.bucket(name, n)).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            old = {} if touched is None else {b: f for b, f in tables.get(name, {}).items() if int(b) not in touched}
+            found = [x.split("=")[1] for x in list_names(self.spark, f"{self.root}/{folder}") if x.startswith("_bucket=")]
+            tables[name] = old | {b: f"{folder}/_bucket={b}" for b in found}
+        before = [live["tables"], *live["before"]][:keep]
+        text = {"version": version, "buckets": n, "tables": tables, "before": before, "note": live["note"] | (note or {})}
+        write_text(self.spark, f"{self.root}/_CURRENT", json.dumps(text))
+        return version
+
+    def fit(self, name: str, more: int) -> None:
+        """Enough buckets for the live rows of `name` and `more`."""
+        n = live = self._live()["buckets"]
+        rows = self.read(name).count() + more  # from the files' footers
+        while n * self.most_rows < rows:
+            n *= 2
+        if n > live:
+            self.commit({k: (self.read(k), None) for k in self.tables if k in self._live()["tables"]}, buckets=n)
+
+    def vacuum(self) -> None:
+        """Delete folders that neither the live version nor the kept ones use."""
+        live = self._live()
+        used = {f for tables in (live["tables"], *live["before"]) for folders in tables.values() for f in folders.values()}
+        for name in self.tables:
+            for folder in list_names(self.spark, f"{self.root}/{name}"):
+                inner = [f"{name}/{folder}/{b}" for b in list_names(self.spark, f"{self.root}/{name}/{folder}") if b.startswith("_bucket=")]
+                if not used.intersection(inner):
+                    remove_path(self.spark, f"{self.root}/{name}/{folder}")
+                else:
+                    for f in set(inner) - used:
+                        remove_path(self.spark, f"{self.root}/{f}")
+
+
 class Catalog:
     """Several tables that change together: `_CURRENT` maps each to its folder and is replaced in one rename."""
 

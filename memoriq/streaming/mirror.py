@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoriq.operators.changefeed import STATE_SCHEMA, as_registers, fold_changes, visible
+from memoriq.operators.changefeed import DELIVERY, STATE_SCHEMA, best_deliveries, better, fold_changes, registers_of, visible
 from memoriq.operators.merge import backoff_seconds
-from memoriq.store import SnapshotTable
+from memoriq.session import written
+from memoriq.store import BucketStore
 
 
 def routed(batch: DataFrame) -> DataFrame:
@@ -25,35 +26,68 @@ def fault_of(row_payload: Column, operation: Column) -> Column:
     return F.when(bad, F.lit("payload is not JSON"))
 
 
+FEED = "arrival_no bigint, id string, record_type string, record_id string, operation string, payload string, created_at timestamp, attempt_count int"
+QUARANTINE = FEED + ", fault string, attempts int"
+TABLES = {"changes": ("change_id", DELIVERY), "state": ("record_id", STATE_SCHEMA), "quarantine": ("id", QUARANTINE)}
+
+
 class Mirror:
-    """Applies outbox files to a snapshot table.
+    """Applies outbox files to bucketed tables: `changes` (the delivery that counts of each change), `state` and `quarantine`.
 
     A micro-batch is folded into registers that are maxima over the sequence of
-    changes, so applying a batch twice or batches out of order ends in the same
-    state; each application is one atomic publication. Rows with a fault go to a
-    quarantine table with their number of attempts and the next time to try; the
-    rest of the batch is applied. Of deliveries of one change that differ the best
-    counts within a batch; across batches they are changes of the same id.
+    changes, so late batches and batches out of order end in the same state. Where a
+    delivery takes the place of one from an earlier batch, the records of both are
+    folded anew from their changes. Rows with a fault go to quarantine and are tried
+    again with every later batch, `max_attempts` times; the rest of the batch is
+    applied. Each batch touches only its buckets and is one publication, which also
+    holds the batch's number: a batch delivered again is known and left out.
     """
 
-    def __init__(self, spark: SparkSession, root: str, fault: Callable[[Column, Column], Column] = fault_of, max_attempts: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, fault: Callable[[Column, Column], Column] = fault_of, max_attempts: int | None = None, buckets: int = 16):
         self.spark, self.fault, self.max_attempts = spark, fault, max_attempts
-        self.state = SnapshotTable(spark, f"{root}/state")
-        self.quarantine = SnapshotTable(spark, f"{root}/quarantine")
+        self.store = BucketStore(spark, f"{root}/tables", TABLES, buckets)
         self.root = root
 
-    def apply(self, batch: DataFrame, batch_id: int = 0) -> None:
-        rows = routed(batch).withColumn("fault", self.fault(F.col("payload"), F.col("operation")))
-        rows = rows.persist()
-        try:
-            old = self.state.read(STATE_SCHEMA)
-            self.state.publish(fold_changes(as_registers(rows.where(F.col("fault").isNull() & (F.col("route") != "ack"))), old), keep_previous=True)
-            failed = rows.where(F.col("fault").isNotNull() & (F.col("route") != "ack")).select("id", "fault", F.lit(batch_id).cast("long").alias("batch_id")).distinct()
-            before = self.quarantine.read("id string, fault string, batch_id long")
-            # a replayed batch writes the rows it wrote before
-            self.quarantine.publish(before.where(F.col("batch_id") != batch_id).unionByName(failed), keep_previous=True)
-        finally:
-            rows.unpersist()
+    def _gave_up(self) -> Column:
+        return F.lit(False) if self.max_attempts is None else F.col("attempts") >= self.max_attempts
+
+    def apply(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        store = self.store
+        last = store.note().get("batch", -1)
+        if batch_id is not None and batch_id <= last:
+            return
+        feed = [c.split()[0] for c in FEED.split(", ")]
+        held = store.read("quarantine")
+        rows = routed(batch).where(F.col("route") != "ack").select(*feed, F.lit(0).alias("attempts"))
+        rows = rows.unionByName(held.where(~self._gave_up()).select(*feed, "attempts"))
+        rows = written(rows.withColumn("fault", self.fault(F.col("payload"), F.col("operation"))), "mirror-batch")
+        store.fit("changes", rows.count())
+        new = written(best_deliveries(rows.where(F.col("fault").isNull())), "mirror-deliveries")
+        changed = store.touched("changes", new)
+        old = store.read("changes", changed)
+        merged = written(better(old.unionByName(new)), "mirror-changes")
+        place = ["change_id", "attempt_count", "arrival_no"]
+        lost = old.join(merged.select(*place), place, "left_anti")
+        wins = new.join(merged.select(*place), place, "left_semi")
+        replaced = lost.select("change_id", "record_id").unionByName(wins.join(lost.select("change_id"), "change_id", "left_semi").select("change_id", "record_id"))
+        again = written(replaced.select("record_id").distinct(), "mirror-again")
+        touched = store.touched("state", wins.select("record_id").unionByName(again))
+        state = store.read("state", touched)
+        if not again.isEmpty():
+            rest = [b for b in range(store.buckets()) if b not in changed]
+            state = state.join(again, "record_id", "left_anti")
+            every = merged.unionByName(store.read("changes", rest))
+            wins = wins.join(again, "record_id", "left_anti").unionByName(every.join(again, "record_id", "left_semi").select(*wins.columns))
+        folded = fold_changes(registers_of(wins), state, store.buckets())
+        failed = rows.where(F.col("fault").isNotNull()).withColumn("attempts", F.col("attempts") + 1).unionByName(held.where(self._gave_up()))
+        failed = failed.groupBy("id").agg(F.max(F.struct(F.coalesce("attempt_count", F.lit(-1)), "arrival_no", F.struct(*failed.columns).alias("row"))).alias("m"), F.max("attempts").alias("n"))
+        failed = failed.select("m.row.*", "n").withColumn("attempts", F.col("n")).drop("n")
+        # a later good delivery settles a failed one
+        settled = merged.select(F.col("change_id").alias("key"), F.col("attempt_count").alias("good"))
+        failed = failed.join(settled, (F.lower("id") == F.col("key")) & (F.col("good") >= F.coalesce("attempt_count", F.lit(-1))), "left_anti")
+        tables = {"changes": (merged, changed), "state": (folded, touched), "quarantine": (failed, None)}
+        store.commit(tables, {"batch": last + 1 if batch_id is None else batch_id})
+        store.vacuum()
 
     def run(self, source: str, schema, max_files: int = 100, once: bool = True):
         """Stream the outbox files of a folder; `once` handles what is there and ends."""
@@ -62,13 +96,11 @@ class Mirror:
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
     def records(self) -> DataFrame:
-        return visible(self.state.read(STATE_SCHEMA))
+        return visible(self.store.read("state"))
 
     def failures(self) -> DataFrame:
         """(id, fault, attempts, wait_seconds, gave_up)."""
-        per = self.quarantine.read("id string, fault string, batch_id long").groupBy("id").agg(F.max("fault").alias("fault"), F.count(F.lit(1)).alias("attempts"))
-        over = F.lit(False) if self.max_attempts is None else F.col("attempts") >= self.max_attempts
-        return per.select("id", "fault", "attempts", backoff_seconds(F.col("attempts")).alias("wait_seconds"), over.alias("gave_up"))
+        return self.store.read("quarantine").select("id", "fault", "attempts", backoff_seconds(F.col("attempts")).alias("wait_seconds"), self._gave_up().alias("gave_up"))
 
 
 def alarms(stats: DataFrame, now_us: int, most_pending: int = 1000, oldest_seconds: int = 3600) -> DataFrame:
