@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from memoriq.llm import names as N
@@ -42,16 +43,78 @@ def test_nulls_empty_and_clashing_rows(spark):
     assert N.link_names(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bound", [0, 1, 2])
-def test_automaton_lists_all_neighbours(bound):
-    rng = random.Random(7)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(300)}
-    trie = N.Trie()
-    for w in words:
-        trie.add(w)
-    for q in sorted(words)[:40]:
-        assert dict(trie.neighbours(q, bound)) == {w: N.distance(q, w, bound) for w in words if N.distance(q, w, bound) <= bound}
-    assert sorted(trie.beginning("ab")) == sorted(w for w in words if w.startswith("ab"))
+def osa(a, b):
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def typos(rng, word, k):
+    w = list(word)
+    for _ in range(k):
+        at = rng.randrange(len(w))
+        kind = rng.randrange(4)
+        if kind == 0:
+            w[at] = rng.choice("abc")
+        elif kind == 1:
+            w.insert(at, rng.choice("abc"))
+        elif kind == 2 and len(w) > 2:
+            del w[at]
+        elif at + 1 < len(w):
+            w[at], w[at + 1] = w[at + 1], w[at]
+    return "".join(w)
+
+
+def some_words(seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 14))) for _ in range(60)] + ["abc" * 13, "abc" * 14]
+    return sorted({typos(rng, w, k) for w in base for k in (0, 1, 2, 2)})
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_automata_list_all_neighbours(seed):
+    words = some_words(seed)
+    shard = np.sort(np.random.default_rng(seed).integers(0, 3, len(words)))
+    got = {frozenset((i, j)) for i, j in N.neighbours(shard, words)}
+    want = {
+        frozenset((i, j)) for i in range(len(words)) for j in range(i)
+        if shard[i] == shard[j] and osa(words[i], words[j]) <= N.bound_for(min(len(words[i]), len(words[j])))
+    }
+    assert got == want and want
+
+
+def test_trie_join_finds_every_pair(spark):
+    words = sorted({w for seed in (1, 2, 3) for w in some_words(seed)} | {"wolf", "wofl", "klein", "klin", "johanna", "ojhanna", "kolibrandt", "oklibrandth"})
+    short = {"abc": True, "bca": True}
+    df = spark.createDataFrame([(w, short.get(w, False)) for w in {*words, *short}], "word string, abbreviated boolean")
+    got = {(r["a"], r["b"]) for r in N.trie_join(df).collect()}
+    full = [w for w in words if w not in short]
+    want = {(x, y) for x in full for y in full if x == y or (abs(len(x) - len(y)) < 3 and osa(x, y) <= N.bound_for(min(len(x), len(y))))}
+    want |= {p for s in short for x in full if x.startswith(s) for p in ((s, x), (x, s))} | {(s, s) for s in short}
+    assert got == want
+
+
+def test_any_number_of_tokens(spark):
+    seven = "Alfa Bravol Charlie Deltan Echona Foxtrot Golfar"
+    rows = [seven, "Golfar Foxtrot Echona Deltan Charlie Bravol Alfa", seven.replace("Charlie", "Chralie"), "Alfa Bravol Charlie Deltan Echona Foxtrot Hotel"]
+    assert groups(spark, rows) == {frozenset(rows[:3]), frozenset(rows[3:])}
+    twenty = [(f"t{i}x", "i" if i % 3 else "w", []) for i in range(20)]
+    assert N.agree(twenty, twenty[::-1]) == 2
+
+
+def test_size_of_the_table_changes_no_link(spark):
+    rng = random.Random(4)
+    pairs = [("Johanna Wolf", "Johanna Wofl"), ("Ojhanna Bergmann", "Johanna Bergmann"), ("Peter Kolibrandt", "Peter Kloibrantd")]
+    small = [n for p in pairs for n in p]
+    crowd = [f"Johanna {''.join(rng.choice('bdgklmnprst') + rng.choice('aeiou') for _ in range(5)).capitalize()}" for _ in range(60)]
+    crowd += [f"{g} {s}" for g in ("Ulrike", "Dominik", "Valentin", "Susanne") for s in ("Wolf", "Bergmann")]
+    for rows in (small, small + crowd):
+        got = groups(spark, rows)
+        assert all(any(set(p) <= g for g in got) for p in pairs)
 
 
 def test_parse():
