@@ -32,8 +32,13 @@ def effective_time() -> Column:
 
 
 def time_bounds(f: Filters) -> list[Column]:
-    at = effective_time()
-    return ([at >= moment(f.since)] if f.since is not None else []) + ([at <= moment(f.until)] if f.until is not None else [])
+    """Bounds of the effective time, written on the stored columns so that they reach the scan."""
+    o, c, out = F.col("occurred_at"), F.col("created_at"), []
+    if f.since is not None:
+        out.append((o >= moment(f.since)) | (o.isNull() & (c >= moment(f.since))))
+    if f.until is not None:
+        out.append((o <= moment(f.until)) | (o.isNull() & (c <= moment(f.until))))
+    return out
 
 
 def lax_time_bounds(f: Filters) -> list[Column]:
@@ -65,7 +70,7 @@ def apply(rows: DataFrame, predicates: list[Column]) -> DataFrame:
 
 
 def alive(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.coalesce("tombstoned", F.lit(False)))
+    return rows.where(F.col("tombstoned").isNull() | ~F.col("tombstoned"))
 
 
 def filtered(memories: DataFrame, f: Filters, tags: Column | None = None, lax: bool = False) -> DataFrame:

@@ -34,8 +34,21 @@ DAY = 86_400.0
 # the stored tables ---------------------------------------------------------------------------------------------
 
 
-def _mem(spark, d):
-    return D.memories(spark, d)
+def _rows(spark, d):
+    """Rows as scanned, for what filters and scores them; repeated ones leave in `_once`."""
+    return D.memory_rows(spark, d)
+
+
+def _texts(spark, d):
+    return D.memory_rows(spark, d, text=True)
+
+
+def _mem(spark, d, *columns):
+    """One row per memory of these columns."""
+    return D.once(D.memory_rows(spark, d), *columns)
+
+
+_once = D.once
 
 
 def _vec(spark, d):
@@ -72,35 +85,37 @@ def _r(c, n=6):
 
 
 def scan_memories(spark, d):
-    return _mem(spark, d).select(
-        "id", F.char_length("text").alias("n_chars"), _us("created_at").alias("created_us"), _us("occurred_at").alias("occurred_us"),
+    return _once(
+        _texts(spark, d), F.char_length("text").alias("n_chars"), _us("created_at").alias("created_us"), _us("occurred_at").alias("occurred_us"),
         "source", "conversation_id", "language", "sentiment", "embedding_profile", "embedding_dim", "tombstoned",
     )
 
 
 def point_lookup(spark, d):
-    return _mem(spark, d).where(F.col("id").startswith("0")).select("id", "source").orderBy("id").limit(1)
+    """One memory by its id, here the least of all."""
+    least = _rows(spark, d).agg(F.min("id")).first()[0]
+    return D.memory(spark, d, least or "").select("id", "source")
 
 
 def filter_effective_time(spark, d):
-    return P.filtered(_mem(spark, d), FILTERS).select("id")
+    return _once(P.filtered(_rows(spark, d), FILTERS).select("id"))
 
 
 def filter_lax_time(spark, d):
-    return P.filtered(_mem(spark, d), FILTERS, lax=True).select("id")
+    return _once(P.filtered(_rows(spark, d), FILTERS, lax=True).select("id"))
 
 
 def filter_tags(spark, d):
-    return P.filtered(_mem(spark, d), P.Filters(tags=("git", "de")), D.tags_column()).select("id", F.concat_ws(",", D.tags_column()).alias("tags"))
+    return _once(P.filtered(_rows(spark, d), P.Filters(tags=("git", "de")), D.tags_column()), F.concat_ws(",", D.tags_column()).alias("tags"))
 
 
 def filter_source_conv(spark, d):
-    return P.filtered(_mem(spark, d), P.Filters(source="slack", conversation_id="c00-000001")).select("id")
+    return _once(P.filtered(_rows(spark, d), P.Filters(source="slack", conversation_id="c00-000001")).select("id"))
 
 
 def tombstone_antijoin(spark, d):
-    m = _mem(spark, d)
-    return m.join(m.where("tombstoned").select("id"), "id", "left_anti").select("id")
+    m = _rows(spark, d).select("id", "tombstoned")
+    return _once(m.select("id")).join(m.where("tombstoned").select("id"), "id", "left_anti")
 
 
 def malformed_rows(spark, d):
@@ -112,24 +127,24 @@ def malformed_rows(spark, d):
 
 
 def null_defaults(spark, d):
-    return _mem(spark, d).select("id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"))
+    return _mem(spark, d, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"))
 
 
 def hit_json(spark, d):
-    m = P.alive(_mem(spark, d)).where("conversation_id = 'c00-000002'")
-    return m.select("id", F.to_json(F.struct("id", "language", "source")).alias("json"))
+    m = P.alive(_rows(spark, d)).where("conversation_id = 'c00-000002'")
+    return _once(m, F.to_json(F.struct("id", "language", "source")).alias("json"))
 
 
 def date_window(spark, d):
     day = F.date_format(T.utc_date(F.col("created_at")), "yyyy-MM-dd")
-    return _mem(spark, d).select("id", day.alias("day")).where(F.col("day").between("2024-03-01", "2024-03-31"))
+    return _once(_rows(spark, d).where((F.col("created_at") >= P.moment("2024-03-01T00:00:00Z")) & (F.col("created_at") < P.moment("2024-04-01T00:00:00Z"))), day.alias("day"))
 
 
 # vectors and scores --------------------------------------------------------------------------------------------
 
 
 def vector_topk(spark, d):
-    rows = B.vector_branch(P.alive(_mem(spark, d)), _vec(spark, d), _query_vector(spark, d), 25)
+    rows = B.vector_branch(P.alive(_rows(spark, d)), _vec(spark, d), _query_vector(spark, d), 25)
     return rows.select("id", _r("semantic").alias("semantic"))
 
 
@@ -174,7 +189,7 @@ def mean_pool(spark, d):
 
 
 def recency_score(spark, d):
-    return _mem(spark, d).select("id", _r(S.recency(P.effective_time(), AS_OF)).alias("recency"))
+    return _mem(spark, d, _r(S.recency(P.effective_time(), AS_OF)).alias("recency"))
 
 
 def profile_guard(spark, d):
@@ -184,7 +199,7 @@ def profile_guard(spark, d):
 
 
 def safe_ids(spark, d):
-    rows = _mem(spark, d).where("embedding_profile IS NOT NULL").select("embedding_profile", "embedding_backend", "embedding_dim").distinct()
+    rows = _rows(spark, d).where("embedding_profile IS NOT NULL").select("embedding_profile", "embedding_backend", "embedding_dim").distinct()
     return rows.select("embedding_profile", X.safe_profile_id(F.col("embedding_profile"), F.col("embedding_backend"), F.col("embedding_dim")).alias("safe_id"))
 
 
@@ -200,36 +215,36 @@ def entity_fallback(spark, d):
 
 
 def lexical_postings(spark, d):
-    p = B.postings(_mem(spark, d))
+    p = B.postings(_texts(spark, d))
     return p.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n_rows"), _r(F.sum("weight")).alias("weight"))
 
 
 def lexical_rank(spark, d):
-    return B.lexical_scores(P.alive(_mem(spark, d)), _terms()).select("id", _r("lexical").alias("lexical"))
+    return B.lexical_scores(P.alive(_texts(spark, d)), _terms()).select("id", _r("lexical").alias("lexical"))
 
 
 def lexical_topk(spark, d):
-    return B.lexical_branch(P.alive(_mem(spark, d)), _terms(), 25).select("id", _r("lexical").alias("lexical"))
+    return B.lexical_branch(P.alive(_texts(spark, d)), _terms(), 25).select("id", _r("lexical").alias("lexical"))
 
 
 def entity_acronyms(spark, d):
-    return _mem(spark, d).select("id", F.concat_ws("|", X.acronyms(F.col("text"))).alias("acronyms")).where("acronyms != ''")
+    return _once(_texts(spark, d).select("id", F.concat_ws("|", X.acronyms(F.col("text"))).alias("acronyms")).where("acronyms != ''"))
 
 
 def acronym_spans(spark, d):
-    return X.spans(_mem(spark, d))
+    return X.spans(_texts(spark, d)).distinct()
 
 
 def entity_frequency(spark, d):
-    return A.top_values(_mem(spark, d).select(X.acronyms(F.col("text")).alias("a")), "a", 20)
+    return A.top_values(_once(_texts(spark, d), X.acronyms(F.col("text")).alias("a")), "a", 20)
 
 
 def capitalised_entities(spark, d):
-    return _mem(spark, d).select("id", F.concat_ws("|", X.capitalised_entities(F.col("text"))).alias("entities"))
+    return _once(_texts(spark, d), F.concat_ws("|", X.capitalised_entities(F.col("text"))).alias("entities"))
 
 
 def entity_branch(spark, d):
-    rows = B.entity_branch(P.alive(_mem(spark, d)), D.mentions(spark, d), D.entities(spark, d), _names(), 25)
+    rows = B.entity_branch(P.alive(_rows(spark, d)), D.mentions(spark, d), D.entities(spark, d), _names(), 25)
     return rows.select("id")
 
 
@@ -239,31 +254,31 @@ def entity_mentions(spark, d):
 
 
 def tag_counts(spark, d):
-    return A.top_values(_mem(spark, d).select(D.tags_column().alias("tags")), "tags", 20, exclude=("en",))
+    return A.top_values(_mem(spark, d, D.tags_column().alias("tags")), "tags", 20, exclude=("en",))
 
 
 def memory_tags(spark, d):
     """Tags gathered from a normalised (memory, tag) table, sorted."""
-    each = _mem(spark, d).select("id", F.explode(D.tags_column()).alias("tag"))
+    each = _rows(spark, d).select("id", F.explode(D.tags_column()).alias("tag")).distinct()
     return each.groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("tag"))).alias("tags"))
 
 
 def lexical_stemmed(spark, d):
     """Memories by stems of the question's words, each counted in the text."""
     wanted = F.array(*[F.lit(stem(w)) for w in literal(spark, _terms())])
-    rows = P.alive(_mem(spark, d)).select("id", stemmed()(X.words(F.col("text"))).alias("stems"))
+    rows = P.alive(_texts(spark, d)).select("id", stemmed()(X.words(F.col("text"))).alias("stems"))
     score = F.size(F.filter("stems", lambda s: F.array_contains(wanted, s)))
-    return rows.select("id", score.alias("lexical")).where("lexical > 0").orderBy(F.desc("lexical"), "id").limit(25)
+    return _once(rows.select("id", score.alias("lexical")).where("lexical > 0")).orderBy(F.desc("lexical"), "id").limit(25)
 
 
 def enrich_memories(spark, d):
     """Language, sentiment, entities and embedding of every memory by the built-in provider."""
-    rows = enriched(_mem(spark, d).select("id", "text"), WordEnricher())
-    return rows.select("id", "language", _r("sentiment").alias("sentiment"), F.size("found").alias("n_entities"), F.size("embedding").alias("dim"))
+    rows = enriched(_texts(spark, d).select("id", "text"), WordEnricher())
+    return _once(rows, "language", _r("sentiment").alias("sentiment"), F.size("found").alias("n_entities"), F.size("embedding").alias("dim"))
 
 
 def tag_ids(spark, d):
-    each = _mem(spark, d).select(F.explode(D.tags_column()).alias("name")).distinct()
+    each = _rows(spark, d).select(F.explode(D.tags_column()).alias("name")).distinct()
     return each.select("name", X.named_uuid(F.col("name")).alias("id"))
 
 
@@ -271,35 +286,35 @@ def tag_ids(spark, d):
 
 
 def list_recent(spark, d):
-    return R.list_recent(_mem(spark, d), _options()).select("id", _r("score").alias("score"))
+    return R.list_recent(_rows(spark, d), _options()).select("id", _r("score").alias("score"))
 
 
 def prefilter_limit(spark, d):
-    return R.newest(P.alive(_mem(spark, d)), 100).select("id", _us("created_at").alias("created_us"))
+    return R.newest(P.alive(_rows(spark, d)), 100).select("id", _us("created_at").alias("created_us"))
 
 
 def recall_local(spark, d):
-    rows = R.recall_local(_mem(spark, d), _vec(spark, d), _query_vector(spark, d), _options())
+    rows = R.recall_local(_rows(spark, d), _vec(spark, d), _query_vector(spark, d), _options())
     return rows.select("id", _r("semantic").alias("semantic"), _r("recency").alias("recency"), _r("score").alias("score"))
 
 
 def _anchor(spark, d):
-    m = _mem(spark, d)
+    m = _rows(spark, d)
     return m.where("tombstoned").orderBy("id").limit(1).select(P.effective_time().alias("at"))
 
 
 def recall_around(spark, d):
-    rows = R.recall_around(_mem(spark, d), _anchor(spark, d), 7 * DAY, 10)
+    rows = R.recall_around(_rows(spark, d), _anchor(spark, d), 7 * DAY, 10)
     return rows.select("id", _r("delta").alias("delta"), _r("score").alias("score"))
 
 
 def recall_around_batch(spark, d):
     anchors = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("anchor_id"), F.col("created_at").alias("at"))
-    return R.around_many(_mem(spark, d), anchors, DAY, 3)
+    return R.around_many(_rows(spark, d), anchors, DAY, 3)
 
 
 def _seeds(spark, d, o):
-    return R.seeds(_mem(spark, d), _vec(spark, d), D.mentions(spark, d), D.entities(spark, d), _query_vector(spark, d), _terms(), _names(), o)
+    return R.seeds(_texts(spark, d), _vec(spark, d), D.mentions(spark, d), D.entities(spark, d), _query_vector(spark, d), _terms(), _names(), o)
 
 
 def seed_union_merge(spark, d):
@@ -315,12 +330,12 @@ def graph_neighbors(spark, d):
 
 
 def expand_graph(spark, d):
-    rows = R.rerank(G.expanded(_seeds(spark, d, _options()), D.mentions(spark, d)), _mem(spark, d), _vec(spark, d), _query_vector(spark, d), _options(filters=FILTERS))
+    rows = R.rerank(G.expanded(_seeds(spark, d, _options()), D.mentions(spark, d)), _rows(spark, d), _vec(spark, d), _query_vector(spark, d), _options(filters=FILTERS))
     return rows.select("id", "is_seed", "shared", _r("graph").alias("graph"))
 
 
 def recall_hybrid(spark, d):
-    rows = R.recall_hybrid(_mem(spark, d), _vec(spark, d), D.mentions(spark, d), D.entities(spark, d), _query_vector(spark, d), _terms(), _names(), _options())
+    rows = R.recall_hybrid(_texts(spark, d), _vec(spark, d), D.mentions(spark, d), D.entities(spark, d), _query_vector(spark, d), _terms(), _names(), _options())
     return rows.select(
         "id", "is_seed", "shared", F.concat_ws(",", "branches").alias("branches"), _r("semantic").alias("semantic"), _r("recency").alias("recency"),
         _r("graph").alias("graph"), _r("lexical").alias("lexical"), _r("score").alias("score"),
@@ -330,12 +345,12 @@ def recall_hybrid(spark, d):
 def _batch(spark, d):
     docs = table(spark, d, "documents").where("doc_id % 50 = 0 AND title IS NOT NULL")
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = docs.select(F.col("doc_id").alias("query_id"), X.query_tokens(F.col("title")).alias("terms"), (F.col("doc_id") % 500).alias("vec_id"))
-    return q.join(e, "vec_id").select("query_id", "terms", "embedding")
+    q = docs.select(F.col("doc_id").alias("query_id"), X.query_tokens(F.col("title")).alias("terms"), X.entity_candidates(F.col("title")).alias("names"), (F.col("doc_id") % 500).alias("vec_id"))
+    return written(q.join(e, "vec_id").select("query_id", "terms", "names", "embedding"), "queries")
 
 
 def recall_batch(spark, d):
-    rows = R.recall_many(_mem(spark, d), _vec(spark, d), _batch(spark, d), _options())
+    rows = R.recall_many(_texts(spark, d), _vec(spark, d), _batch(spark, d), _options(), D.mentions(spark, d), D.entities(spark, d))
     return rows.select("query_id", "rank", "id", _r("score").alias("score"))
 
 
@@ -377,7 +392,7 @@ def upsert_latest_wins(spark, d):
 
 def upsert_memories(spark, d):
     """Half of the memories exist; all are upserted with a changed source and sentiment."""
-    m = _mem(spark, d).select("id", "created_at", "source", "sentiment")
+    m = _mem(spark, d, "created_at", "source", "sentiment")
     known = m.where(F.substring("id", 1, 1) < "8")
     new = m.select("id", F.col("created_at") + F.expr("INTERVAL 1 DAY"), F.lit("sync"), -F.col("sentiment")).toDF("id", "created_at", "source", "sentiment")
     out = M.upsert(known, new, "id", ["source", "sentiment"])
@@ -394,19 +409,19 @@ def replace_mentions(spark, d):
 def insert_tags(spark, d):
     """Insert-or-ignore of the memories' tags into a table that has some of them."""
     have = spark.createDataFrame([("git",), ("slack",), ("unused",)], "name string")
-    new = _mem(spark, d).select(F.explode(D.tags_column()).alias("name"))
+    new = _rows(spark, d).select(F.explode(D.tags_column()).alias("name"))
     return M.insert_missing(have, new, ["name"])
 
 
 def delete_cascade(spark, d):
-    m = _mem(spark, d)
+    m = _mem(spark, d, "tombstoned")
     left = M.delete_cascade(m.where("tombstoned").select("id"), m.select("id"), mentions=D.mentions(spark, d).select("id", "memory_id"), embeddings=_vec(spark, d).select("memory_id"))
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n, df in left.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def soft_delete(spark, d):
-    m = _mem(spark, d).select("id", "tombstoned")
+    m = _mem(spark, d, "tombstoned")
     gone = m.where(F.substring("id", 1, 2) == "00").select("id")
     return M.soft_deleted(M.soft_deleted(m, gone), gone).groupBy("tombstoned").agg(F.count(F.lit(1)).alias("n"))
 
@@ -446,14 +461,14 @@ def event_windows(spark, d):
 def _grades(spark, d):
     """Grades of the batch's memories: 2 where a title word is in the text, 1 where the source fits a term's length."""
     q = _batch(spark, d).select("query_id", F.explode("terms").alias("lexeme"))
-    p = B.postings(P.alive(_mem(spark, d))).select("id", "lexeme", "weight")
+    p = B.postings(P.alive(_texts(spark, d))).select("id", "lexeme", "weight")
     graded = p.join(q, "lexeme").groupBy("query_id", "id").agg(F.when(F.sum("weight") >= 2, 2).otherwise(1).alias("grade"))
     return written(graded, "grades")  # read by every metric
 
 
 def _hits(spark, d):
     o = _options(k=25)
-    rows = R.recall_many(_mem(spark, d), _vec(spark, d), _batch(spark, d), o)
+    rows = R.recall_many(_texts(spark, d), _vec(spark, d), _batch(spark, d), o)
     return written(rows.select("query_id", "id", "rank", "semantic", "recency", F.lit(1.0).alias("graph"), "lexical"), "hits")
 
 
@@ -473,9 +488,24 @@ _ABLATIONS = [("1_local", 0.7, 0.3, 0.0, 0.0), ("2_seeds", 0.7, 0.3, 0.0, 0.0),
 _RUN = "run string, a double, b double, g double, d double"
 
 
+def _paths(spark, d):
+    """Scored candidates of the local and of the hybrid path: all of them, for every query of the batch."""
+    o, q = _options(), _batch(spark, d)
+    local = R.local_many(_rows(spark, d), _vec(spark, d), q, o)
+    found = written(R.seeds_many(_texts(spark, d), _vec(spark, d), q, o, D.mentions(spark, d), D.entities(spark, d)), "seeds")
+    hybrid = R.scored_many(R.expanded_many(found, D.mentions(spark, d)), _rows(spark, d), _vec(spark, d), q, o)
+    return local.withColumns({"graph": F.lit(0.0), "lexical": F.lit(0.0)}), written(hybrid.drop("created_at", "score"), "hybrid")
+
+
+def _ranked(spark, rows, runs):
+    return Q.weighted(rows, spark.createDataFrame(runs, _RUN), 5).select("run", "query_id", "id", "rank")
+
+
 def ablation_metrics(spark, d):
-    runs = spark.createDataFrame(_ABLATIONS, _RUN)
-    return Q.means(Q.metrics(Q.weighted(_hits(spark, d), runs, 5), _grades(spark, d), by=("run",), runs=runs), ("run",))
+    """The local path, the hybrid path's seeds, its whole graph, and the graph with words."""
+    local, hybrid = _paths(spark, d)
+    ranked = _ranked(spark, local, _ABLATIONS[:1]).unionByName(_ranked(spark, hybrid.where("is_seed"), _ABLATIONS[1:2])).unionByName(_ranked(spark, hybrid, _ABLATIONS[2:]))
+    return Q.means(Q.metrics(ranked, _grades(spark, d), by=("run",), runs=spark.createDataFrame(_ABLATIONS, _RUN)), ("run",))
 
 
 def weight_sweep(spark, d):
@@ -498,9 +528,9 @@ def failure_table(spark, d):
 
 
 def _two_rankings(spark, d):
-    hits = _hits(spark, d)
-    runs = Q.weighted(hits, spark.createDataFrame([("l", 0.7, 0.3, 0.0, 0.0), ("r", 0.55, 0.2, 0.1, 0.15)], _RUN), 5).select("run", "query_id", "id", "rank")
-    return runs.where("run = 'l'"), runs.where("run = 'r'")
+    """The local and the hybrid path."""
+    local, hybrid = _paths(spark, d)
+    return _ranked(spark, local, [("l", 0.7, 0.3, 0.0, 0.0)]), _ranked(spark, hybrid, [("r", 0.55, 0.2, 0.1, 0.15)])
 
 
 def parity_jaccard(spark, d):
@@ -516,14 +546,14 @@ def latency_stats(spark, d):
 
 
 def grade_overlap(spark, d):
-    m = _mem(spark, d).select("id", X.acronyms(F.col("text")).alias("names"), D.tags_column().alias("tags"))
+    m = _once(_texts(spark, d), X.acronyms(F.col("text")).alias("names"), D.tags_column().alias("tags"))
     q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.slice(F.array_distinct(X.acronyms(F.col("text"))), 1, 3).alias("names"), F.array(F.lit("voice")).alias("tags"))
     return Q.overlap_grades(q, m).groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 def grade_around_date(spark, d):
     q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), T.utc_date(F.col("created_at")).alias("day"))
-    m = _mem(spark, d).select("id", T.utc_date(P.effective_time()).alias("day"))
+    m = _mem(spark, d, T.utc_date(P.effective_time()).alias("day"))
     return Q.date_grades(q, m).groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -570,18 +600,19 @@ def company_slugs(spark, d):
 
 def text_predicates(spark, d):
     t = F.col("text")
-    return _mem(spark, d).select(
+    found = _texts(spark, d).select(
         "id", X.contains_word(t, "garden").alias("word"), X.contains_all(t, ["met", "about"]).alias("both"), X.contains_any(t, ["kettle", "violin"]).alias("either")
-    ).where("word OR both OR either")
+    )
+    return _once(found.where("word OR both OR either"))
 
 
 def time_buckets(spark, d):
-    return T.time_bucket(_mem(spark, d).select("id", "created_at")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return T.time_bucket(_mem(spark, d, "created_at")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def iso_times(spark, d):
     iso = T.format_iso(F.col("created_at"))
-    return _mem(spark, d).select("id", iso.alias("iso"), (F.floor(_us(T.parse_iso(iso)) / 1000) == F.floor(_us("created_at") / 1000)).alias("same"))
+    return _mem(spark, d, iso.alias("iso"), (F.floor(_us(T.parse_iso(iso)) / 1000) == F.floor(_us("created_at") / 1000)).alias("same"))
 
 
 def now_fields(spark, d):
@@ -600,15 +631,15 @@ def folder_survey(spark, d):
 
 def distinct_months(spark, d):
     day = T.utc_date(F.col("created_at"))
-    return _mem(spark, d).agg(F.countDistinct(day).alias("n_days"), F.countDistinct(F.date_format(day, "yyyy-MM")).alias("n_months"))
+    return _rows(spark, d).agg(F.countDistinct(day).alias("n_days"), F.countDistinct(F.date_format(day, "yyyy-MM")).alias("n_months"))
 
 
 def sampled_days(spark, d):
-    return A.sampled_days(_mem(spark, d), F.date_format(T.utc_date(F.col("created_at")), "yyyy-MM-dd"))
+    return A.sampled_days(_rows(spark, d), F.date_format(T.utc_date(F.col("created_at")), "yyyy-MM-dd"))
 
 
 def language_profile(spark, d):
-    return _mem(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("sentiment")).alias("sentiment"))
+    return _mem(spark, d, "language", "sentiment").groupBy("language").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("sentiment")).alias("sentiment"))
 
 
 QUERIES = {

@@ -68,6 +68,23 @@ _PARTS = {
     sc AS (SELECT query_id, id, created_at, semantic, lexical, pow(0.5, greatest(0.0, ($AS_OF$ - epoch_us($EFF$)) / 86400000000.0) / 30.0) recency FROM mg JOIN live USING (id)),
     ranked AS (SELECT * FROM (SELECT *, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, id) rank
         FROM (SELECT *, 0.55 * greatest(0.0, semantic) + 0.2 * recency + 0.1 * 1.0 + 0.15 * lexical score FROM sc)) WHERE rank <= $K$)""",
+    "BFULL": """
+    bn AS (SELECT query_id, unnest(list_filter(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), lambda x, i: list_position(k || list_transform(range(1, len(k)), lambda j: k[j] || ' ' || k[j + 1]), x) = i)[1:12]) n
+        FROM (SELECT doc_id query_id, list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: length(w) >= 4 AND NOT list_contains($CSTOP$, w)) k FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL)),
+    ne AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) r FROM (SELECT DISTINCT bn.query_id, men.memory_id id
+        FROM bn JOIN ent ON lower(ent.canonical_name) = n JOIN men ON men.entity_id = ent.id WHERE men.memory_id IN (SELECT id FROM live) AND bn.query_id IN (SELECT query_id FROM bq))) WHERE r <= $B$),
+    fs AS (SELECT query_id, id, max(semantic) semantic, max(lexical) lexical FROM
+        (SELECT query_id, id, semantic, 0.0 lexical FROM nv UNION ALL SELECT query_id, id, 0.0, lexical FROM nl UNION ALL SELECT query_id, id, 0.0, 0.0 FROM ne) GROUP BY ALL),
+    fe AS (SELECT DISTINCT query_id, entity_id FROM men JOIN fs ON men.memory_id = fs.id WHERE entity_id IS NOT NULL),
+    fn AS (SELECT query_id, memory_id id, count(*) shared FROM men JOIN fe USING (entity_id) GROUP BY ALL),
+    fc AS (SELECT query_id, id, true is_seed, 0 shared, semantic, lexical FROM fs
+        UNION ALL SELECT query_id, id, false, shared, NULL, 0.0 FROM fn ANTI JOIN fs USING (query_id, id)),
+    full_hits AS (SELECT query_id, id, created_at, is_seed, greatest(0.0, CASE WHEN is_seed THEN coalesce(semantic, 0.0) WHEN e IS NULL THEN 0.0 ELSE list_cosine_similarity(e, q) END) semantic,
+        pow(0.5, greatest(0.0, ($AS_OF$ - epoch_us($EFF$)) / 86400000000.0) / 30.0) recency, CASE WHEN is_seed THEN 1.0::DOUBLE ELSE least(1.0, shared / 3.0) END graph, lexical::DOUBLE lexical
+        FROM fc JOIN live USING (id) JOIN bq USING (query_id) LEFT JOIN v ON memory_id = id),
+    local_hits AS (SELECT query_id, id, CASE WHEN e IS NULL THEN 0.0 ELSE greatest(0.0, list_cosine_similarity(e, q)) END semantic,
+        pow(0.5, greatest(0.0, ($AS_OF$ - epoch_us($EFF$)) / 86400000000.0) / 30.0) recency
+        FROM (SELECT * FROM live ORDER BY created_at DESC, id LIMIT 5000) LEFT JOIN v ON memory_id = id, bq)""",
     "GR": """gr AS (SELECT query_id, id, CASE WHEN sum(weight) >= 2 THEN 2 ELSE 1 END grade FROM post JOIN (SELECT query_id, unnest(terms) lexeme FROM bq) USING (lexeme) GROUP BY ALL)""",
     "MET": """
     ideal AS (SELECT query_id, sum((pow(2.0, grade) - 1) / log2(p + 1)) ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) p FROM gr) WHERE p <= 5 GROUP BY 1),
@@ -89,6 +106,12 @@ def _sql(text: str, **own: str) -> str:
 
 
 _BATCH = "$M$, $LIVE$, $V$, $BQ$, $POST$, $BHITS$"
+_FULL = "$M$, $LIVE$, $V$, $MEN$, $ENT$, $BQ$, $POST$, $BHITS$, $BFULL$"
+_PATHS = """rk AS (SELECT run, query_id, id, place AS rank FROM (SELECT run, query_id, id, row_number() OVER (PARTITION BY run, query_id ORDER BY round(score, 9) DESC, id) place FROM (
+    SELECT '1_local' run, query_id, id, 0.7::DOUBLE * semantic + 0.3::DOUBLE * recency score FROM local_hits
+    UNION ALL SELECT '2_seeds', query_id, id, 0.7::DOUBLE * semantic + 0.3::DOUBLE * recency FROM full_hits WHERE is_seed
+    UNION ALL SELECT '3_graph', query_id, id, 0.6::DOUBLE * semantic + 0.2::DOUBLE * recency + 0.2::DOUBLE * graph FROM full_hits
+    UNION ALL SELECT '4_lexical', query_id, id, 0.55::DOUBLE * semantic + 0.2::DOUBLE * recency + 0.1::DOUBLE * graph + 0.15::DOUBLE * lexical FROM full_hits)) WHERE place <= 5)"""
 _EVAL = "WITH $M$, $LIVE$, $V$, $BQ$, $POST$, $BHITS$, $GR$, rk AS (SELECT 'x' run, query_id, id, rank FROM ranked), $MET$"
 _SEEDS = "$M$, $LIVE$, $MEN$, $ENT$, $V$, $QV$, $TERMS$, $NAMES$, $LEX$, $BRANCH$"
 _RUNS = """rk AS (SELECT run, query_id, id, place AS rank FROM (SELECT run, query_id, id,
@@ -102,7 +125,7 @@ def _batch(text: str, k: str = "25", b: str = "75") -> str:
 SQL = {
     "scan_memories": _sql("""WITH $M$ SELECT id, length(text) n_chars, epoch_us(created_at) created_us, epoch_us(occurred_at) occurred_us, source, conversation_id,
         language, sentiment, embedding_profile, embedding_dim, tombstoned FROM m"""),
-    "point_lookup": _sql("WITH $M$ SELECT id, source FROM m WHERE id LIKE '0%' ORDER BY id LIMIT 1"),
+    "point_lookup": _sql("WITH $M$ SELECT id, source FROM m ORDER BY id LIMIT 1"),
     "filter_effective_time": _sql("WITH $M$, $LIVE$ SELECT id FROM live WHERE $EFF$ BETWEEN $FROM$ AND $TO$"),
     "filter_lax_time": _sql("WITH $M$, $LIVE$ SELECT id FROM live WHERE (occurred_at >= $FROM$ OR created_at >= $FROM$) AND (occurred_at <= $TO$ OR created_at <= $TO$)"),
     "filter_tags": _sql("WITH $M$, $LIVE$ SELECT id, array_to_string($TAGS$, ',') tags FROM live WHERE list_has_any($TAGS$, ['git', 'de'])"),
@@ -162,7 +185,7 @@ SQL = {
         SELECT id, round(delta, 6) delta, round(1.0 - least(1.0, delta / 604800.0), 6) score FROM d ORDER BY d.delta, id LIMIT 10"""),
     "recall_around_batch": _sql("""WITH $M$, $LIVE$, a AS (SELECT doc_id anchor_id, epoch_us(created_at) us FROM documents WHERE doc_id % 50 = 0)
         SELECT anchor_id, rank, id, delta_us FROM (SELECT anchor_id, id, abs(epoch_us($EFF$) - us) delta_us, row_number() OVER (PARTITION BY anchor_id ORDER BY abs(epoch_us($EFF$) - us), id) AS rank
-        FROM live, a WHERE abs(epoch_us($EFF$) - us) <= 86400000000) WHERE rank <= 3"""),
+        FROM live, a WHERE abs(epoch_us(occurred_at) - us) <= 86400000000 OR abs(epoch_us(created_at) - us) <= 86400000000) WHERE rank <= 3"""),
     "seed_union_merge": _sql(f"WITH {_SEEDS} SELECT id, round(semantic, 6) semantic, round(lexical, 6)::DOUBLE lexical, array_to_string(branches, ',') branches FROM seeds"),
     "branch_counts": _sql(f"""WITH {_SEEDS} SELECT count(*) FILTER (list_contains(branches, 'vec')) vec, count(*) FILTER (list_contains(branches, 'lex')) lex,
         count(*) FILTER (list_contains(branches, 'ent')) ent, count(*) unique_ids FROM seeds"""),
@@ -176,7 +199,8 @@ SQL = {
         t AS (SELECT *, 0.55::DOUBLE * semantic + 0.2::DOUBLE * recency + 0.1::DOUBLE * graph + 0.15::DOUBLE * lexical score FROM s)
         SELECT id, is_seed, shared, array_to_string(branches, ',') branches, round(semantic, 6) semantic, round(recency, 6) recency, round(graph, 6)::DOUBLE graph, round(lexical, 6)::DOUBLE lexical, round(score, 6) score
         FROM t ORDER BY round(t.score, 9) DESC, created_at DESC, id LIMIT 10"""),
-    "recall_batch": _batch(f"WITH {_BATCH} SELECT query_id, rank, id, round(score, 6) score FROM ranked", "10", "30"),
+    "recall_batch": _batch(f"""WITH {_FULL} SELECT query_id, rank, id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, created_at DESC, id) AS rank
+        FROM (SELECT *, 0.55::DOUBLE * semantic + 0.2::DOUBLE * recency + 0.1::DOUBLE * graph + 0.15::DOUBLE * lexical score FROM full_hits)) WHERE rank <= 10""", "10", "30"),
     "relate_traverse_khop": """WITH RECURSIVE w AS (SELECT lower(subject_entity_id) a, lower(object_entity_id) b FROM relations UNION SELECT lower(object_entity_id), lower(subject_entity_id) FROM relations),
         r(entity_id, hop) AS (SELECT * FROM (SELECT lower(id), 0 FROM entities ORDER BY lower(id) LIMIT 3) UNION SELECT b, hop + 1 FROM r JOIN w ON a = entity_id WHERE hop < 3)
         SELECT entity_id, min(hop) hop FROM r GROUP BY entity_id""",
@@ -201,9 +225,7 @@ SQL = {
     "mrr_at_k": _batch(_EVAL + " SELECT query_id, round(rr, 6)::DOUBLE rr FROM met"),
     "ndcg_at_k": _batch(_EVAL + " SELECT query_id, round(ndcg, 6) ndcg FROM met"),
     "success_at_k": _batch(_EVAL + " SELECT query_id, success::DOUBLE success FROM met"),
-    "ablation_metrics": _batch(f"""WITH {_BATCH}, $GR$, runs AS (SELECT * FROM (VALUES ('1_local', 0.7::DOUBLE, 0.3::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('2_seeds', 0.7, 0.3, 0.0, 0.0), ('3_graph', 0.6, 0.2, 0.2, 0.0),
-        ('4_lexical', 0.55, 0.2, 0.1, 0.15)) x(run, a, b, g, d)), {_RUNS}, $MET$
-        SELECT run, round(avg(rr), 6) mrr, round(avg(ndcg), 6) ndcg, round(avg(success), 6) success, count(*) n_queries FROM met GROUP BY run"""),
+    "ablation_metrics": _batch(f"WITH {_FULL}, $GR$, {_PATHS}, $MET$ SELECT run, round(avg(rr), 6) mrr, round(avg(ndcg), 6) ndcg, round(avg(success), 6) success, count(*) n_queries FROM met GROUP BY run", "10", "30"),
     "weight_sweep": _batch(f"""WITH {_BATCH}, $GR$, s AS (SELECT unnest([0.1::DOUBLE, 0.3, 0.5, 0.7, 0.9]) x),
         runs AS (SELECT concat_ws('/', format('{{:g}}', p.x), format('{{:g}}', q.x), format('{{:g}}', r.x)) run, p.x a, q.x b, r.x g, 1.0::DOUBLE - p.x - q.x - r.x d FROM s p, s q, s r WHERE 1.0::DOUBLE - p.x - q.x - r.x BETWEEN 0 AND 1),
         {_RUNS}, $MET$, mm AS (SELECT run, round(avg(rr), 6) mrr, round(avg(ndcg), 6) ndcg FROM met GROUP BY run)
@@ -213,13 +235,13 @@ SQL = {
         SELECT doc_id query_id, CASE WHEN doc_id NOT IN (SELECT query_id FROM gr) THEN 'no-truth' WHEN best IS NULL THEN 'no-results' WHEN best = 0 THEN 'miss' WHEN t1 = 0 AND l1 > 0.3 THEN 'lexical-hit'
         WHEN t1 = 0 THEN 'rank-issue' WHEN t1 = 2 THEN 'good' WHEN t1 = 1 THEN 'partial-top1' ELSE 'unclassified' END AS label
         FROM documents LEFT JOIN t ON t.query_id = doc_id WHERE doc_id % 50 = 0"""),
-    "parity_jaccard": _batch(f"""WITH {_BATCH}, runs AS (SELECT * FROM (VALUES ('l', 0.7::DOUBLE, 0.3::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('r', 0.55, 0.2, 0.1, 0.15)) x(run, a, b, g, d)), {_RUNS}
+    "parity_jaccard": _batch(f"""WITH {_FULL}, {_PATHS}
         SELECT coalesce(l.query_id, r.query_id) query_id, round(count(*) FILTER (l.id = r.id) / greatest(1, count(*))::DOUBLE, 6) jaccard
-        FROM (SELECT * FROM rk WHERE run = 'l') l FULL JOIN (SELECT * FROM rk WHERE run = 'r') r ON l.query_id = r.query_id AND l.id = r.id GROUP BY 1"""),
-    "parity_spearman": _batch(f"""WITH {_BATCH}, runs AS (SELECT * FROM (VALUES ('l', 0.7::DOUBLE, 0.3::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('r', 0.55, 0.2, 0.1, 0.15)) x(run, a, b, g, d)), {_RUNS},
+        FROM (SELECT * FROM rk WHERE run = '1_local') l FULL JOIN (SELECT * FROM rk WHERE run = '4_lexical') r ON l.query_id = r.query_id AND l.id = r.id GROUP BY 1""", "10", "30"),
+    "parity_spearman": _batch(f"""WITH {_FULL}, {_PATHS},
         c AS (SELECT coalesce(l.query_id, r.query_id) query_id, count(*) FILTER (l.id = r.id) n, coalesce(sum((l.rank - r.rank) * (l.rank - r.rank)), 0) s
-        FROM (SELECT * FROM rk WHERE run = 'l') l FULL JOIN (SELECT * FROM rk WHERE run = 'r') r ON l.query_id = r.query_id AND l.id = r.id GROUP BY 1)
-        SELECT query_id, n AS common, round(CASE WHEN n >= 2 THEN 1.0 - 6.0 * s / (n * (n * n - 1)) END, 6)::DOUBLE spearman FROM c"""),
+        FROM (SELECT * FROM rk WHERE run = '1_local') l FULL JOIN (SELECT * FROM rk WHERE run = '4_lexical') r ON l.query_id = r.query_id AND l.id = r.id GROUP BY 1)
+        SELECT query_id, n AS common, round(CASE WHEN n >= 2 THEN 1.0 - 6.0 * s / (n * (n * n - 1)) END, 6)::DOUBLE spearman FROM c""", "10", "30"),
     "latency_stats": """WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 r, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL)
         SELECT event_type, count(*) AS count, round(avg(value), 6) AS mean, max(value) FILTER (r = floor((n - 1) * 0.5 + 0.5)) p50, max(value) FILTER (r = floor((n - 1) * 0.95 + 0.5)) p95,
         max(value) FILTER (r = floor((n - 1) * 0.99 + 0.5)) p99, min(value) AS min, max(value) AS max, round(stddev_pop(value), 4) AS stdev FROM o GROUP BY event_type""",

@@ -1,6 +1,8 @@
 """Record types: schemas and cleaned views of the stored tables.
 
-Views put uuids in lower case and leave one row per id. Nothing is read before a
+Views put uuids in lower case. Repeated rows of a memory have one content, so
+`memory_rows` keeps them: filters and scores work on the rows as they are scanned,
+and `once` leaves one row per id of the narrow result. Nothing is read before a
 query needs it: unused columns are pruned through the views.
 """
 
@@ -30,9 +32,22 @@ def tags_column() -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(F.lower(F.trim("source")), F.lower(F.trim("language"))))))
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "memories").dropna(subset=["id", "text", "created_at"])
-    return rows.withColumn("id", uid("id")).dropDuplicates(["id"])
+def memory_rows(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    """Sound rows of memories, repeated ones included. `text` also drops those without a text, which the table never has; only then is it read."""
+    rows = table(spark, sf_dir, "memories").where(F.col("id").isNotNull() & F.col("created_at").isNotNull())
+    rows = rows.where(F.col("text").isNotNull()) if text else rows
+    return rows.withColumn("id", uid("id"))
+
+
+def once(rows: DataFrame, *columns) -> DataFrame:
+    """One row per id of these columns."""
+    return (rows.select("id", *columns) if columns else rows).dropDuplicates(["id"])
+
+
+def memory(spark: SparkSession, sf_dir: str, memory_id: str) -> DataFrame:
+    """The memory of an id: both ways to write it reach the scan."""
+    rows = table(spark, sf_dir, "memories").where(F.col("id").isin(memory_id.lower(), memory_id.upper()))
+    return rows.withColumn("id", uid("id")).limit(1)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,23 @@ def test_traverse(spark):
     rel = spark.createDataFrame([("1", "a", "p", "b", None, None), ("2", "b", "p", "c", None, None), ("3", "c", "p", "a", None, None), ("4", "c", "p", "d", None, None)], D.RELATION)
     got = sorted(tuple(r) for r in G.traverse(rel, spark.createDataFrame([("a",)], "entity_id string"), 2).collect())
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from memoriq.plans import catalogue as K
+
+    spark.createDataFrame([("A1", "x", when(0), None, "slack", "c00-000001", "en", 0.0, None, None, None, None, None)], D.MEMORY).write.parquet(f"{tmp_path}/memories.parquet")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    for name, column in (("filter_source_conv", "source"), ("filter_effective_time", "created_at"), ("tombstone_antijoin", "tombstoned"), ("hit_json", "conversation_id"), ("date_window", "created_at")):
+        plan = getattr(K, name)(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert any(f"({column}," in p for p in plan.split("PushedFilters: ")[1:]), name
+        assert "text" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert K.filter_source_conv(spark, str(tmp_path)).count() == 1
+
+
+def test_around_many_admits_either_time(spark):
+    near, far = when(0), when(500)
+    rows = spark.createDataFrame([("a", near, far), ("b", far, near), ("c", far, far), ("d", near, None), ("d", near, None)], "id string, created_at timestamp, occurred_at timestamp").withColumn("tombstoned", F.lit(False))
+    anchors = spark.createDataFrame([(1, near)], "anchor_id int, at timestamp")
+    got = [r["id"] for r in R.around_many(rows, anchors, 3600, 10).orderBy("rank").collect()]
+    assert got == ["b", "d", "a"] == [r["id"] for r in R.recall_around(rows, anchors, 3600, 10).collect()]
