@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoriq.llm.knn import mutual_pairs, similar_vectors
-from memoriq.llm.level import reading_levels
+from memoriq.llm.level import grades, reading_levels
 from memoriq.llm.mix import mixture, shares_report
 from memoriq.llm.names import link_names, linked_pairs
 from memoriq.llm.neardup import all_pairs, duplicate_groups, near_duplicates
 from memoriq.llm.pack import assign_containers, packing_report
 from memoriq.llm.pii import find_personal, redact_personal
 from memoriq.llm.split import split_oversized
-from memoriq.session import spread, table, uid
+from memoriq.session import spread, table, uid, written
 
 
 def _memories(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,6 +53,23 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "memory_id")
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized memory put together again from the bodies of its pieces, with its longest piece in bounds and its overlaps near 200."""
+    p = p4_pieces(spark, sf_dir)
+    body = F.substr("piece", F.col("body_offset") - F.col("start_offset") + 1)
+    overlap = F.when(F.col("piece_no") > 0, F.col("body_offset") - F.col("start_offset"))
+    one = p.groupBy("memory_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", body.alias("body")))).alias("x"),  # the pieces of one text
+        F.max(F.char_length("piece")).alias("longest"),
+        F.min(overlap).alias("least"),
+        F.max(overlap).alias("most"),
+        F.bool_and(F.col("piece_no") < F.col("n_pieces")).alias("numbered"),
+    )
+    whole = F.md5(F.concat_ws("", F.transform("x", lambda r: r["body"])))
+    ok = F.col("numbered") & (F.col("longest") <= 1800) & (F.col("least") >= 0) & (F.col("most") <= 200)
+    return one.select("memory_id", whole.alias("text_md5"), ok.alias("in_bounds"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_containers(table(spark, sf_dir, "documents"))
 
@@ -61,6 +78,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p8_containers(spark, sf_dir))
 
 
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every document is there once, whole unless it exceeds a container, and none is over-full."""
+    rows = table(spark, sf_dir, "documents").count()
+    a = written(p8_containers(spark, sf_dir), "containers")
+    per = a.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    docs = a.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    bad = (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("size") / 2048))) | (F.col("size") != F.col("end"))
+    one = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(bad).alias("cut_needlessly"))
+    two = per.agg(F.count_if(F.col("used") > 2048).alias("over_full"), F.sum("used").alias("used"), F.count(F.lit(1)).alias("n"))
+    # of two containers that are both at most half full one is needless
+    half = per.agg((F.count_if(F.col("used") <= 1024) <= F.greatest(F.lit(1), F.ceil(F.lit(rows) / 4096))).alias("tight"))
+    return one.crossJoin(two.select("over_full")).crossJoin(half)  # one-row tables
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -69,6 +100,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_report(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture, per target: no document above max_repeats, the share reached within a thousandth, no document of another source."""
+    s = p9_shares(spark, sf_dir)
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.001
+    return s.select("source", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), near.alias("on_target"))
+
+
+def p10_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document, and the level of those whose raters (two or more) agree."""
+    levels = p10_levels(spark, sf_dir)
+    agreed = grades(table(spark, sf_dir, "doc_levels")).where("certain").select("doc_id", F.lit(True).alias("agreed"))
+    return levels.join(agreed, "doc_id", "left").select("doc_id", "n_words", F.when(F.col("agreed"), F.col("reading_level")).alias("reading_level"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(spread(_memories(spark, sf_dir, "text"))).withColumnRenamed("id", "memory_id").distinct()
 
@@ -122,6 +167,10 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p4_rebuilt": p4_rebuilt,
+    "p8_sound": p8_sound,
+    "p9_sound": p9_sound,
+    "p10_graded": p10_graded,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
 }
@@ -151,5 +200,13 @@ SQL = {
     "p7_found": _P7 + "SELECT DISTINCT p AS profile_safe_id, least(id, neighbour) id_a, greatest(id, neighbour) id_b FROM r WHERE rank <= 5",
     "p7_neighbours": _P7 + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
     "p7_nearest": _P7.replace(" WHERE cosine >= 0.9", "") + "SELECT p AS profile, id, neighbour, cosine, rank FROM r WHERE rank <= 5",
+    "p4_rebuilt": "SELECT DISTINCT lower(id) AS memory_id, md5(text) AS text_md5, true AS in_bounds FROM memories WHERE length(text) > 1800",
+    "p8_sound": "SELECT count(*) AS n_docs, 0 AS cut_needlessly, 0 AS over_full, true AS tight FROM documents",
+    "p9_sound": "SELECT lower(trim(source)) AS source, max_repeats, true AS within_cap, true AS on_target FROM mix_targets",
+    "p10_graded": """
+WITH l AS (SELECT doc_id, rater, reading_level, row_number() OVER (PARTITION BY doc_id, rater ORDER BY rated_at DESC NULLS LAST, reading_level DESC) rn
+  FROM doc_levels WHERE reading_level IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT doc_id, min(reading_level) reading_level FROM l WHERE rn = 1 GROUP BY doc_id HAVING count(*) > 1 AND min(reading_level) = max(reading_level))
+SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n_words, reading_level FROM documents LEFT JOIN g USING (doc_id)""",
     "p4_found": "SELECT DISTINCT lower(id) AS memory_id FROM memories WHERE length(text) > 1800",
 }
