@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,17 +65,20 @@ class Engine:
         known = self.store.read("entities")
         new = each.select(F.col("value").alias("canonical_name"), "entity_type").distinct().withColumn("id", X.named_uuid(F.concat_ws("|", F.lower("canonical_name"), "entity_type"), "memoriq:entity:"))
         fresh = M.first_spelling(new, [F.col("canonical_name")]).select("id", "canonical_name", "entity_type", F.lit(None).cast("array<string>").alias("aliases"))
-        entities = known.unionByName(
-            fresh.withColumn("key", F.lower("canonical_name")).join(known.select(F.lower("canonical_name").alias("key"), "entity_type"), ["key", "entity_type"], "left_anti").select(*known.columns)
-        )
+        taken = known.select(F.lower("canonical_name").alias("key"), "entity_type")
+        fresh = fresh.withColumn("key", F.lower("canonical_name")).join(taken, ["key", "entity_type"], "left_anti").select(*known.columns)
+        entities = known.unionByName(fresh)
         named = entities.select(F.col("id").alias("entity_id"), F.lower("canonical_name").alias("key"), "entity_type")
-        start = F.expr("instr(text, value)") - 1
-        mentions = each.withColumn("key", F.lower("value")).join(named, ["key", "entity_type"]).select(
-            X.named_uuid(F.concat_ws("|", "memory_id", "entity_id"), "memoriq:mention:").alias("id"), "memory_id", "entity_id",
-            start.cast("long").alias("start_offset"), (start + F.char_length("value")).cast("long").alias("end_offset"), now.alias("created_at"),
+        # every place of a name, 0-based
+        places = F.filter(F.sequence(F.lit(0), F.char_length("text") - F.char_length("value")), lambda i: F.substr("text", i + 1, F.char_length("value")) == F.col("value"))
+        placed = each.where(F.char_length("text") >= F.char_length("value")).withColumn("start", F.explode(places))
+        mentions = placed.withColumn("key", F.lower("value")).join(named, ["key", "entity_type"]).select(
+            X.named_uuid(F.concat_ws("|", "memory_id", "entity_id", F.col("start").cast("string")), "memoriq:mention:").alias("id"), "memory_id", "entity_id",
+            F.col("start").cast("long").alias("start_offset"), (F.col("start") + F.char_length("value")).cast("long").alias("end_offset"), now.alias("created_at"),
         )
         tagged = rows.select(F.col("id").alias("memory_id"), F.explode("tags").alias("name"))
-        tags = M.insert_missing(self.store.read("tags"), tagged.select(X.named_uuid(F.col("name")).alias("id"), "name"), ["name"])
+        old_tags = self.store.read("tags")
+        tags = M.insert_missing(old_tags, tagged.select(X.named_uuid(F.col("name")).alias("id"), "name"), ["name"])
         links = tagged.join(tags.withColumnRenamed("id", "tag_id"), "name").select("memory_id", "tag_id").distinct()
         vectors = rows.where("embedding IS NOT NULL").select(F.lit(self.profile_id).alias("profile_safe_id"), F.col("id").alias("memory_id"), "embedding", now.alias("updated_at"))
         payload = F.to_json(F.struct("source", "language", "sentiment", "conversation_id"))
@@ -84,11 +87,8 @@ class Engine:
             payload.alias("payload"), "created_at", *[F.lit(None).cast(t).alias(c) for c, t in (("sent_at", "timestamp"), ("last_attempt_at", "timestamp"), ("last_error", "string"))],
             F.lit(0).alias("attempt_count"),
         )
-        add = lambda name, df: self.store.read(name).unionByName(df.select(*self.store.read(name).columns))
-        self.store.commit(
-            memories=add("memories", rows), entities=entities, mentions=add("mentions", mentions), tags=tags, memory_tags=add("memory_tags", links),
-            vectors=add("vectors", vectors), outbox=add("outbox", outbox),
-        )
+        new_tags = tags.join(old_tags.select("name"), "name", "left_anti").select(*tags.columns)
+        self.store.commit({"memories": rows, "entities": fresh, "mentions": mentions, "tags": new_tags, "memory_tags": links, "vectors": vectors, "outbox": outbox})
         return rows.select("id", "language", F.size("found").alias("n_entities"))
 
     def _held(self, rows: DataFrame) -> DataFrame:
@@ -118,13 +118,16 @@ class Engine:
     def _vectors(self) -> DataFrame:
         return self.store.read("vectors").where(F.col("profile_safe_id") == self.profile_id).select("memory_id", "embedding")
 
+    def _vector_of(self, query: str):
+        if not self.enricher.dim:
+            return None
+        return vector_of(self.spark.range(1).select(self.enricher.embedding(F.lit(query)).alias("v")).first()["v"])
+
     def recall(self, query: str, options: R.Options) -> tuple[DataFrame, str]:
         """(hits, path): the hybrid query, or the local one where no branch finds anything."""
         if not query.strip():
             raise ValueError("query must not be empty")
-        s, q = self.store.read, None
-        if self.enricher.dim:
-            q = vector_of(self.spark.range(1).select(self.enricher.embedding(F.lit(query)).alias("v")).first()["v"])
+        s, q = self.store.read, self._vector_of(query)
         found = R.seeds(s("memories"), self._vectors(), s("mentions"), s("entities"), q, X.query_tokens(F.lit(query)), X.entity_candidates(F.lit(query)), options)
         if found.isEmpty():
             zero = q if q is not None else F.array().cast("array<double>")
@@ -136,7 +139,7 @@ class Engine:
         """How many memories each branch finds, and how many together."""
         s = self.store.read
         names = X.entity_candidates(F.lit(query))
-        return B.branch_counts(R.seeds(s("memories"), self._vectors(), s("mentions"), s("entities"), None, X.query_tokens(F.lit(query)), names, options))
+        return B.branch_counts(R.seeds(s("memories"), self._vectors(), s("mentions"), s("entities"), self._vector_of(query), X.query_tokens(F.lit(query)), names, options))
 
     def recall_around(self, window_seconds: float = 86_400, k: int = 10, anchor_id: str | None = None, anchor_at=None) -> DataFrame:
         """By an anchor memory (tombstoned or not), or a time where the id is unknown; with neither nothing is found."""
@@ -172,7 +175,7 @@ class Engine:
         return A.next_batch(self.store.read("outbox"), limit)
 
     def now(self, at=None) -> DataFrame:
-        return T.now_fields(self.spark, at or datetime.utcnow())
+        return T.now_fields(self.spark, at or datetime.now(timezone.utc))
 
     def parse_date(self, text: str) -> DataFrame:
         return T.dates_in(self.spark.createDataFrame([(0, text)], "id int, text string")).select("matched_text", "date")

@@ -20,8 +20,10 @@ from memoriq.operators import merge as M
 from memoriq.operators import quality as Q
 from memoriq.plans import oracle
 from memoriq.plans import recall as R
-from memoriq.session import literal, shared_dir, table, written
+from memoriq.session import literal, shared_dir, table, write_text, written
 from memoriq.sources import model as D
+from memoriq.sources import readers as I
+from memoriq.sources import writers as W
 from memoriq.streaming import mirror as Z
 
 AS_OF = "2026-01-01T00:00:00Z"
@@ -181,11 +183,18 @@ def pad_truncate(spark, d):
 
 
 def mean_pool(spark, d):
-    """Vectors of one label averaged and normalised: their first component."""
+    """Each test vector as four token vectors of sixteen, of which the last is masked: their mean of unit length, rounded."""
     e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
-    sums = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    whole = sums.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"), F.max(F.when(F.col("i") == 0, F.col("m"))).alias("m0"))
-    return whole.select("label", _r(F.col("m0") / F.col("n")).alias("first"))
+    tokens = F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)])
+    pooled = V.mean_pooled(tokens, F.array(*[F.lit(x) for x in (1, 1, 1, 0)]))
+    return e.select("vec_id", *[_r(F.get(pooled, F.lit(i))).alias(f"x{i}") for i in (0, 7, 15)], _r(V.norm(pooled)).alias("length"))
+
+
+def provider_vectors(spark, d):
+    """Vectors stored as packed bytes, unpacked, cut to eight numbers and of unit length again."""
+    rows = table(spark, d, "embeddings").select("vec_id", V.from_blob(V.to_blob(F.col("embedding"))).alias("e"))
+    cut = F.transform(F.slice("e", 1, 8), lambda x: x.cast("double"))
+    return rows.select("vec_id", F.size(cut).alias("n"), _r(V.norm(V.l2_normalised(cut))).alias("length"))
 
 
 def recency_score(spark, d):
@@ -359,6 +368,83 @@ def relate_traverse_khop(spark, d):
     return G.traverse(D.relations(spark, d), start, 3)
 
 
+# sources and sinks: written to the shared folder and read again ------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def corpus_jsonl(spark, d):
+    """An evaluation corpus of memories and queries as JSON lines, read by its schema: memories, tags and grades."""
+    at = _folder(spark, "corpus")
+    m = _once(_texts(spark, d), "text", T.format_iso(F.col("created_at")).alias("created_at"), "source", D.tags_column().alias("tags"))
+    W.write_jsonl(m, f"{at}/memories.jsonl")
+    q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("query"), F.create_map(F.lit("m"), F.lit(2)).alias("grades"))
+    W.write_jsonl(q, f"{at}/queries.jsonl")
+    memories, queries = I.read_corpus(spark, at)
+    rows = memories.select("id", F.char_length("text").alias("n_chars"), "created_at", F.concat_ws(",", "tags").alias("tags"))
+    return rows.unionByName(queries.select("id", F.char_length("query").alias("n_chars"), F.lit(None).cast("string").alias("created_at"), F.get(F.map_values("grades"), F.lit(0)).cast("string").alias("tags")))
+
+
+def corpus_lines(spark, d):
+    """Titles as a text file of one line each; blank lines are no texts."""
+    at = _folder(spark, "lines")
+    table(spark, d, "documents").select(F.coalesce("title", F.lit(" ")).alias("value")).write.text(at)
+    return I.read_lines(spark, at).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def commit_log(spark, d):
+    """Documents as a log of NUL-separated commits with their files, read as memories."""
+    at = _folder(spark, "log")
+    docs = table(spark, d, "documents").where("title IS NOT NULL")
+    sha = F.sha1(F.col("doc_id").cast("string"))
+    subject = F.concat(F.lit("fix: "), "title")
+    docs.select(F.concat_ws("\n", sha, T.format_iso(F.col("created_at")), subject, F.lit("body")).alias("value")).write.option("lineSep", "\x00").text(f"{at}/log")
+    docs.select(F.concat_ws("\n", sha, F.lit("src/a.py")).alias("value")).write.option("lineSep", "\x00").text(f"{at}/files")
+    return I.read_commits(spark, f"{at}/log", f"{at}/files").select("id", F.char_length("text").alias("n_chars"), "created_at", "source", F.concat_ws(",", "tags").alias("tags"))
+
+
+def json_responses(spark, d):
+    """Live memories of a conversation as JSON with sorted keys and an error record."""
+    m = _once(P.alive(_rows(spark, d)).where("conversation_id = 'c00-000003'"), "source", "language")
+    return W.response(m).unionByName(spark.range(1).select(W.error("no such memory").alias("json")))
+
+
+def report_table(spark, d):
+    """Memories per language as one markdown text."""
+    rows = _mem(spark, d, F.coalesce("language", F.lit("-")).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return W.markdown(rows, "language")
+
+
+def corpus_survey(spark, d):
+    """The survey of a corpus: most frequent tags, number of rows, first and last day."""
+    m = _mem(spark, d, T.format_iso(F.col("created_at")).alias("created_at"), D.tags_column().alias("tags")).withColumn("entities", F.col("tags"))
+    one = W.survey(m, top=3)
+    name = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["name"], x["count"].cast("string"))))
+    return one.select("n_memories", F.concat_ws("..", "date_range").alias("days"), name("top_tags").alias("top_tags"), name("top_entities").alias("top_entities"))
+
+
+def verified_model(spark, d):
+    """Files checked by SHA-256 in the first folder that has them; one is wrong, one missing."""
+    import hashlib
+
+    at = _folder(spark, "model")
+    for folder, name, text in (("a", "one.txt", "1"), ("b", "one.txt", "x"), ("b", "two.txt", "2"), ("b", "bad.txt", "3")):
+        write_text(spark, f"{at}/{folder}/{name}", text)
+    sums = {n: hashlib.sha256(t.encode()).hexdigest() for n, t in (("one.txt", "1"), ("two.txt", "2"), ("bad.txt", "4"), ("gone.txt", "5"))}
+    return I.verified_files(spark, [f"{at}/a", f"{at}/b"], sums).select("file", F.substring_index("folder", "/", -1).alias("folder"), "ok")
+
+
+def path_histogram(spark, d):
+    """How many queries of the batch are answered by the hybrid path and how many, finding no seed, by the local one."""
+    q = _batch(spark, d)
+    found = R.seeds_many(_texts(spark, d), _vec(spark, d), q, _options(), D.mentions(spark, d), D.entities(spark, d)).select("query_id").distinct()
+    every = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"))
+    rows = every.join(found.withColumn("hybrid", F.lit(True)), "query_id", "left")
+    return rows.groupBy(F.when(F.col("hybrid"), "hybrid").otherwise("local").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # outbox, merges, streams ---------------------------------------------------------------------------------------
 
 
@@ -646,7 +732,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_memories, point_lookup, filter_effective_time, filter_lax_time, filter_tags, filter_source_conv, tombstone_antijoin, malformed_rows,
-        null_defaults, hit_json, date_window, vector_topk, vector_topk_batch, cosine_scores, l2_normalise, blob_roundtrip, pad_truncate, mean_pool,
+        null_defaults, hit_json, date_window, vector_topk, vector_topk_batch, cosine_scores, l2_normalise, blob_roundtrip, pad_truncate, mean_pool, provider_vectors, corpus_jsonl, corpus_lines, commit_log, json_responses, report_table, corpus_survey, verified_model, path_histogram,
         recency_score, profile_guard, safe_ids, query_tokens, entity_fallback, lexical_postings, lexical_rank, lexical_topk, entity_acronyms,
         acronym_spans, entity_frequency, capitalised_entities, entity_branch, entity_mentions, tag_counts, memory_tags, tag_ids, list_recent,
         prefilter_limit, recall_local, recall_around, recall_around_batch, seed_union_merge, branch_counts, graph_neighbors, expand_graph,

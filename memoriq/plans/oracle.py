@@ -147,8 +147,25 @@ SQL = {
     "blob_roundtrip": "SELECT vec_id, (4 * len(embedding))::INTEGER n_bytes, true same FROM embeddings",
     "pad_truncate": _sql("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> ''), lambda w: length(w)) l FROM documents)
         SELECT doc_id, array_to_string((l || [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ',') ids, least(8, len(l))::INTEGER n_real FROM w"""),
-    "mean_pool": """WITH c AS (SELECT label, unnest(range(1, 65)) i, unnest(embedding)::DOUBLE x FROM embeddings WHERE embedding IS NOT NULL), a AS (SELECT label, i, avg(x) m FROM c GROUP BY ALL)
-        SELECT label, round(max(m) FILTER (i = 1) / sqrt(sum(m * m)), 6) AS first FROM a GROUP BY label""",
+    "mean_pool": """WITH t AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 16]::DOUBLE + embedding[i + 32]::DOUBLE) / 3) m FROM embeddings WHERE embedding IS NOT NULL),
+        n AS (SELECT vec_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) l FROM t)
+        SELECT vec_id, round(m[1] / l, 6) x0, round(m[8] / l, 6) x7, round(m[16] / l, 6) x15, 1.0::DOUBLE AS length FROM n""",
+    "provider_vectors": "SELECT vec_id, 8 n, 1.0::DOUBLE AS length FROM embeddings",
+    "corpus_jsonl": _sql("""WITH $M$ SELECT id, length(text) n_chars, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') created_at, array_to_string($TAGS$, ',') tags FROM m
+        UNION ALL SELECT doc_id::VARCHAR, length(title), NULL, '2' FROM documents WHERE doc_id % 50 = 0"""),
+    "corpus_lines": "SELECT trim(title) AS text, count(*) n FROM documents WHERE trim(title) <> '' GROUP BY ALL",
+    "commit_log": """SELECT 'm' || substr(sha1(doc_id::VARCHAR), 1, 8) id, least(600, length('fix: ' || title || chr(10) || 'body')) n_chars, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') created_at,
+        'git' AS source, 'bugfix,git,src' tags FROM documents WHERE title IS NOT NULL""",
+    "json_responses": _sql("""WITH $M$, $LIVE$ SELECT '{"id":"' || id || '"' || coalesce(',"language":"' || language || '"', '') || coalesce(',"source":"' || source || '"', '') || '}' AS json
+        FROM live WHERE conversation_id = 'c00-000003' UNION ALL SELECT '{"error":"no such memory"}'"""),
+    "report_table": _sql("""WITH $M$, c AS (SELECT coalesce(language, '-') AS language, count(*) n FROM m GROUP BY 1)
+        SELECT '| language | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || language || ' | ' || n || ' |', chr(10) ORDER BY language) AS markdown FROM c"""),
+    "corpus_survey": _sql("""WITH $M$, t AS (SELECT value, count(*) n FROM (SELECT unnest($TAGS$) AS value FROM m) GROUP BY 1 ORDER BY n DESC, value LIMIT 3),
+        x AS (SELECT string_agg(value || ':' || n, ',' ORDER BY n DESC, value) tops FROM t)
+        SELECT count(*) n_memories, strftime(min(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d') || '..' || strftime(max(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS days, min(tops) top_tags, min(tops) top_entities FROM m, x"""),
+    "verified_model": "SELECT * FROM (VALUES ('one.txt', 'a', true), ('two.txt', 'b', true), ('bad.txt', 'b', false), ('gone.txt', NULL, false)) x(file, folder, ok)",
+    "path_histogram": _batch(f"""WITH {_FULL} SELECT CASE WHEN doc_id IN (SELECT query_id FROM fs) THEN 'hybrid' ELSE 'local' END AS path, count(*) n
+        FROM documents WHERE doc_id % 50 = 0 GROUP BY ALL""", "10", "30"),
     "recency_score": _sql("WITH $M$ SELECT id, round(pow(0.5, greatest(0.0, ($AS_OF$ - epoch_us($EFF$)) / 86400000000.0) / 30.0), 6) recency FROM m"),
     "profile_guard": "SELECT profile_safe_id, count(*) n FROM memory_embeddings WHERE profile_safe_id = 'p64_main_7be1d0' AND len(embedding) = 64 GROUP BY ALL",
     "safe_ids": _sql("""WITH $M$ SELECT DISTINCT embedding_profile, replace(lower(embedding_profile), '-', '_') || '_' ||

@@ -130,7 +130,7 @@ class BucketStore:
 
 
 class Catalog:
-    """Several tables that change together: `_CURRENT` maps each to its folder and is replaced in one rename."""
+    """Several tables that change together: `_CURRENT` maps each to its folders and is replaced in one rename."""
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
@@ -143,20 +143,27 @@ class Catalog:
         return self._live()["version"]
 
     def read(self, name: str) -> DataFrame:
-        folder = self._live()["tables"].get(name)
-        if folder is None:
+        folders = self._live()["tables"].get(name)
+        if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{folder}")
+        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def commit(self, **changed: DataFrame) -> int:
-        """Write the changed tables whole, then make all of them live at once. Returns the new version."""
+    def commit(self, appended: dict[str, DataFrame] | None = None, most_folders: int = 200, **changed: DataFrame) -> int:
+        """Write new rows of `appended` tables and the `changed` ones whole, then make all of them live at once. Returns the new version.
+
+        A table of more than `most_folders` appended parts is written whole again.
+        """
         live = self._live()
         version = live["version"] + 1
         tables = dict(live["tables"])
-        for name, df in changed.items():
+        appended = dict(appended or {})
+        for name in [n for n in appended if len(tables.get(n, [])) >= most_folders]:
+            new = appended.pop(name)
+            changed[name] = self.read(name).unionByName(new.select(*self.read(name).columns))
+        for name, df in (appended | changed).items():
             folder = f"{name}/v={version}-{uuid.uuid4().hex[:8]}"
             shape = self.spark.createDataFrame([], self.schemas[name]).schema
             df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in shape]).write.parquet(f"{self.root}/{folder}")
-            tables[name] = folder
+            tables[name] = [*tables.get(name, []), folder] if name in appended else [folder]
         write_text(self.spark, f"{self.root}/_CURRENT", json.dumps({"version": version, "tables": tables}))
         return version
