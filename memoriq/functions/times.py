@@ -28,10 +28,6 @@ def utc_date(at: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(at) / 86_400_000_000).cast("int"))
 
 
-def day_distance(a: Column, b: Column) -> Column:
-    return F.abs(F.datediff(utc_date(a), utc_date(b)))
-
-
 def now_fields(spark: SparkSession, as_of) -> DataFrame:
     """One row about a moment in UTC: texts, day and week of year, quarter, seconds. The week is the ISO week."""
     at = F.timestamp_micros(F.lit(as_of_us(as_of)))

@@ -190,6 +190,12 @@ def mean_pool(spark, d):
     return e.select("vec_id", *[_r(F.get(pooled, F.lit(i))).alias(f"x{i}") for i in (0, 7, 15)], _r(V.norm(pooled)).alias("length"))
 
 
+def vector_texts(spark, d):
+    """The text form of the first numbers of each test vector, in hundredths."""
+    cut = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double") * 100).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", V.vector_text(cut).alias("text"))
+
+
 def provider_vectors(spark, d):
     """Vectors stored as packed bytes, unpacked, cut to eight numbers and of unit length again."""
     rows = table(spark, d, "embeddings").select("vec_id", V.from_blob(V.to_blob(F.col("embedding"))).alias("e"))
@@ -732,7 +738,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_memories, point_lookup, filter_effective_time, filter_lax_time, filter_tags, filter_source_conv, tombstone_antijoin, malformed_rows,
-        null_defaults, hit_json, date_window, vector_topk, vector_topk_batch, cosine_scores, l2_normalise, blob_roundtrip, pad_truncate, mean_pool, provider_vectors, corpus_jsonl, corpus_lines, commit_log, json_responses, report_table, corpus_survey, verified_model, path_histogram,
+        null_defaults, hit_json, date_window, vector_topk, vector_topk_batch, cosine_scores, l2_normalise, blob_roundtrip, pad_truncate, mean_pool, vector_texts, provider_vectors, corpus_jsonl, corpus_lines, commit_log, json_responses, report_table, corpus_survey, verified_model, path_histogram,
         recency_score, profile_guard, safe_ids, query_tokens, entity_fallback, lexical_postings, lexical_rank, lexical_topk, entity_acronyms,
         acronym_spans, entity_frequency, capitalised_entities, entity_branch, entity_mentions, tag_counts, memory_tags, tag_ids, list_recent,
         prefilter_limit, recall_local, recall_around, recall_around_batch, seed_union_merge, branch_counts, graph_neighbors, expand_graph,

@@ -150,6 +150,7 @@ SQL = {
     "mean_pool": """WITH t AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 16]::DOUBLE + embedding[i + 32]::DOUBLE) / 3) m FROM embeddings WHERE embedding IS NOT NULL),
         n AS (SELECT vec_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) l FROM t)
         SELECT vec_id, round(m[1] / l, 6) x0, round(m[8] / l, 6) x7, round(m[16] / l, 6) x15, 1.0::DOUBLE AS length FROM n""",
+    "vector_texts": "SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: round(x::DOUBLE * 100)::INTEGER), ',') || ']' AS text FROM embeddings",
     "provider_vectors": "SELECT vec_id, 8 n, 1.0::DOUBLE AS length FROM embeddings",
     "corpus_jsonl": _sql("""WITH $M$ SELECT id, length(text) n_chars, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') created_at, array_to_string($TAGS$, ',') tags FROM m
         UNION ALL SELECT doc_id::VARCHAR, length(title), NULL, '2' FROM documents WHERE doc_id % 50 = 0"""),
