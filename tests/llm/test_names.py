@@ -121,3 +121,13 @@ def test_parse():
     assert N.parse("Saint-Malo") == N.parse("St. Malo") == [("saint", "w"), ("malo", "w")]
     assert N.parse("Müller GmbH & Co. KG") == [("muller", "w")]
     assert N.parse("AC Fanelund") == [("ac", "i"), ("fanelund", "w")] and N.parse("Fanelund, A.") == [("a", "i"), ("fanelund", "w")]
+
+
+def test_candidates_come_in_parts_that_the_driver_can_plan(spark):
+    token = lambda pos, t: {"pos": pos, "t": t, "k": "w", "n": 1, "o": []}
+    schema = "fid long, x array<struct<pos:int,t:string,k:string,n:long,o:array<string>>>"
+    full = spark.createDataFrame([(1, [token(0, "robert"), token(1, "kolib")]), (2, [token(0, "kolib"), token(1, "robert")]), (3, [token(0, "anna"), token(1, "kolib")])], schema)
+    alike = spark.createDataFrame([(w, w) for w in ("robert", "kolib", "anna")], "a string, b string")
+    out = N.candidate_forms(full, alike)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
