@@ -86,3 +86,24 @@ def test_whole_texts_are_decoded_exactly():
                 best = (best + trans).max(0)[:, None] + row[:, None]
             if len(e):
                 assert worth(path[a:b], e) == pytest.approx(best.max(), abs=1e-3)
+
+
+def test_texts_that_have_ended_take_no_more_steps(monkeypatch):
+    ready, g, done = pii.prepared(pii.load_weights()), np.random.default_rng(2), []
+    lengths = np.array([200, 31, 30, 30, 5, 5, 5, 1])
+    x = g.integers(1, 90, (8, 200)).astype(np.uint8)
+    tanh = np.tanh
+    monkeypatch.setattr(np, "tanh", lambda a, **k: (done.append(a.size), tanh(a, **k))[1])
+    found = pii.lstm(ready, x, lengths)
+    assert sum(done) < 0.4 * 100 * 8 * 2 * 5 * 32  # steps, texts, directions, gates and state, width
+    for r, n in enumerate(lengths):
+        alone = pii.lstm(ready, x[r : r + 1, : n + n % 2], lengths[r : r + 1])
+        steps = -(-n // pii.STRIDE)
+        assert np.allclose(found[:steps, :, r], alone[:steps, :, 0], atol=1e-4)
+
+
+def test_portions_are_bounded_by_characters():
+    texts = ["a" * n for n in (5, 5, 1, 30, 0, 9, 2)]
+    parts = list(pii.portions(texts, 10))
+    assert [t for p in parts for t in p] == texts and [[len(t) for t in p] for p in parts] == [[5, 5], [1], [30], [0, 9], [2]]
+    assert list(pii.portions([])) == []
