@@ -1,6 +1,6 @@
 """Train the weights of `pii` in numpy from labelled spans.
 
-    python -m memoriq.llm.pii_train TABLES_DIR OUT.npz
+    python -m memoriq.llm.pii_train TABLES_DIR OUT.npz [STEPS HIDDEN [START.npz]]
 
 Labelled spans come from a bounded sample of memories (`sample`, 12,000): mentions
 and names of entities give name spans, patterns with their contexts the other
@@ -19,7 +19,7 @@ from collections import Counter
 import numpy as np
 
 from memoriq.llm.names import distance, fold, parse
-from memoriq.llm.pii import CLASSES, KINDS, NEWLINE, STRIDE, TAGS, encode
+from memoriq.llm.pii import CLASSES, KINDS, NEWLINE, STRIDE, TAGS, encode, load_weights, squash
 
 HIDDEN = 32
 
@@ -190,6 +190,12 @@ def initial(seed: int, h: int = HIDDEN) -> dict:
     }
 
 
+def slope(s):
+    """The derivative of `squash` where its value is s."""
+    rest = 1 - s * s
+    return rest * np.sqrt(rest)
+
+
 def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     """Mean CRF loss per character of full windows x, y (B, T), T a multiple of STRIDE, and its gradients."""
     b, t = x.shape
@@ -201,17 +207,18 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     C = np.zeros((n + 1, 2, b, h), np.float32)
     G = np.empty((n, 2, b, 4 * h), np.float32)
     TC = np.empty((n, 2, b, h), np.float32)
+    scratch = np.empty((2, b, 4 * h), np.float32)
     for k in range(n):
         z = np.matmul(H[k], p["wh"])
         for d in (0, 1):
             for q in range(STRIDE):
                 z[d] += p["wx"][d, q][both[d, :, k, q]]
         z[:, :, : 3 * h] *= 0.5
-        np.tanh(z, out=z)
+        squash(z, z, scratch)
         z[:, :, : 3 * h] = z[:, :, : 3 * h] * 0.5 + 0.5
         G[k] = z
         C[k + 1] = z[:, :, h : 2 * h] * C[k] + z[:, :, :h] * z[:, :, 3 * h :]
-        TC[k] = np.tanh(C[k + 1])
+        squash(C[k + 1], TC[k])
         H[k + 1] = z[:, :, 2 * h : 3 * h] * TC[k]
     hidden = np.concatenate([H[1:, 0], H[1:, 1][::-1]], axis=2)  # (N, B, 2H)
     s = (hidden @ p["wo"] + p["bo"]).reshape(n, b, STRIDE, TAGS).transpose(0, 2, 1, 3).reshape(t, b, TAGS)
@@ -261,12 +268,12 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     for k in range(n - 1, -1, -1):
         i, f, o, c = (G[k][:, :, j * h : (j + 1) * h] for j in range(4))
         d = dH[k] + nh
-        dc = nc + d * o * (1 - TC[k] ** 2)
+        dc = nc + d * o * slope(TC[k])
         z = dz[k]
-        z[:, :, :h] = dc * c * i * (1 - i)
-        z[:, :, h : 2 * h] = dc * C[k] * f * (1 - f)
-        z[:, :, 2 * h : 3 * h] = d * TC[k] * o * (1 - o)
-        z[:, :, 3 * h :] = dc * i * (1 - c**2)
+        z[:, :, :h] = dc * c * slope(2 * i - 1) / 4
+        z[:, :, h : 2 * h] = dc * C[k] * slope(2 * f - 1) / 4
+        z[:, :, 2 * h : 3 * h] = d * TC[k] * slope(2 * o - 1) / 4
+        z[:, :, 3 * h :] = dc * i * slope(c)
         nc = dc * f
         nh = np.matmul(z, wt)
     g["wh"] = np.stack([np.tensordot(H[:-1, k], dz[:, k], ([0, 1], [0, 1])) for k in (0, 1)])
@@ -281,10 +288,10 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     return loss, g
 
 
-def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128, rate: float = 6e-3, seed: int = 5, maker: Maker | None = None, hidden: int = HIDDEN, log=print) -> dict:
-    """Weights for `pii` from (text, spans) examples."""
+def train(examples: list, steps: int = 2500, batch: int = 64, window: int = 128, rate: float = 6e-3, seed: int = 5, maker: Maker | None = None, hidden: int = HIDDEN, log=print, start: dict | None = None) -> dict:
+    """Weights for `pii` from (text, spans) examples, trained on from `start` if given."""
     rng = random.Random(seed)
-    p = initial(seed, hidden)
+    p = {k: v.copy() for k, v in start.items()} if start else initial(seed, hidden)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     by_kind = {k: found for k in KINDS if (found := [e for e in examples if any(s[2] == k for s in e[1])])}
@@ -336,10 +343,10 @@ def labelled(tables: str, sample: int = 12_000, seed: int = 3) -> tuple[list, Na
     return out, names
 
 
-def main(tables: str, out: str, steps: str = "5000", hidden: str = str(HIDDEN)) -> None:
+def main(tables: str, out: str, steps: str = "5000", hidden: str = str(HIDDEN), start: str = "") -> None:
     examples, names = labelled(tables)
     held, used = examples[:800], examples[800:]
-    w = train(used, steps=int(steps), hidden=int(hidden), maker=Maker(names, random.Random(11)))
+    w = train(used, steps=int(steps), hidden=int(hidden), maker=Maker(names, random.Random(11)), start=load_weights(start) if start else None)
     np.savez_compressed(out, **{k: v.astype(np.float16 if k in ("wx", "wh") else np.float32) for k, v in w.items()})
     print(score(held, w), "network alone:", score(held, w, check=False))
 

@@ -107,3 +107,38 @@ def test_portions_are_bounded_by_characters():
     parts = list(pii.portions(texts, 10))
     assert [t for p in parts for t in p] == texts and [[len(t) for t in p] for p in parts] == [[5, 5], [1], [30], [0, 9], [2]]
     assert list(pii.portions([])) == []
+
+
+def test_the_network_needs_one_root_a_gate_and_no_tanh(monkeypatch):
+    x = np.linspace(-40, 40, 2001, dtype=np.float32)
+    out, scratch = np.empty_like(x), np.empty_like(x)
+    pii.squash(x, out)
+    assert np.allclose(out, x / np.sqrt(1 + x.astype(float) ** 2), atol=1e-6)
+    again = x.copy()
+    pii.squash(again, again, scratch)
+    assert np.array_equal(again, out)
+    g, done = np.random.default_rng(2), []
+    lengths = np.array([200, 31, 30, 30, 5, 5, 5, 1])
+    root = np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda a, **k: (done.append(a.size), root(a, **k))[1])
+    monkeypatch.setattr(np, "tanh", lambda *a, **k: pytest.fail("tanh takes most of the network's time"))
+    pii.lstm(pii.prepared(pii.load_weights()), g.integers(1, 90, (8, 200)).astype(np.uint8), lengths)
+    steps = -(-lengths // pii.STRIDE)
+    active = sum(max(r + 1 for r in range(8) if steps[r] > k) for k in range(steps[0]))
+    assert sum(done) == active * 2 * 5 * 32  # directions, gates and state, width
+
+
+def test_scores_are_joined_and_decoded_alike_in_any_portion():
+    ready = pii.prepared(pii.load_weights())
+    texts = ["", TEXT, "a", "x " * 900 + TEXT, TEXT[:57], "", TEXT * 9, "\ud800", "b" * 40, ""]
+    alone = [pii.label_texts([t], ready)[0] for t in texts]
+    assert pii.label_texts(texts, ready) == pii.label_texts(texts, ready, group=2) == alone
+    g = np.random.default_rng(5)
+    trans = g.normal(0, 2, (pii.TAGS, pii.TAGS)).astype(np.float32)
+    lengths = g.integers(0, 30, 40) * g.integers(0, 2, 40)
+    scores = g.normal(0, 3, (pii.TAGS, lengths.sum())).astype(np.float32)
+    scores[0] += g.choice([0, 3, 25], lengths.sum(), p=[0.3, 0.4, 0.3])
+    starts = np.r_[0, np.cumsum(lengths)]
+    whole = pii.best_path(scores, starts, trans)
+    for block in (1, 7, 64):
+        assert np.array_equal(pii.best_path(scores, starts, trans, block), whole)
