@@ -179,11 +179,11 @@ def tags_of(n: int, spans: list):
 
 def initial(seed: int, h: int = HIDDEN) -> dict:
     g = np.random.default_rng(seed)
-    bias = np.zeros(4 * h)
-    bias[h : 2 * h] = 1.0
+    bias = np.zeros(3 * h)
+    bias[:h] = 1.0
     return {
-        "wx": (g.normal(0, 0.3, (2, STRIDE, CLASSES, 4 * h)) + bias / STRIDE).astype(np.float32),
-        "wh": g.normal(0, h**-0.5, (2, h, 4 * h)).astype(np.float32),
+        "wx": (g.normal(0, 0.3, (2, STRIDE, CLASSES, 3 * h)) + bias / STRIDE).astype(np.float32),
+        "wh": g.normal(0, h**-0.5, (2, h, 3 * h)).astype(np.float32),
         "wo": g.normal(0, h**-0.5, (2 * h, STRIDE * TAGS)).astype(np.float32),
         "bo": np.zeros(STRIDE * TAGS, np.float32),
         "trans": np.zeros((TAGS, TAGS), np.float32),
@@ -192,8 +192,7 @@ def initial(seed: int, h: int = HIDDEN) -> dict:
 
 def slope(s):
     """The derivative of `squash` where its value is s."""
-    rest = 1 - s * s
-    return rest * np.sqrt(rest)
+    return (1 - np.abs(s)) ** 2
 
 
 def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
@@ -205,21 +204,21 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     both = np.stack([cells, cells[:, ::-1]])  # (2, B, N, STRIDE)
     H = np.zeros((n + 1, 2, b, h), np.float32)
     C = np.zeros((n + 1, 2, b, h), np.float32)
-    G = np.empty((n, 2, b, 4 * h), np.float32)
+    G = np.empty((n, 2, b, 3 * h), np.float32)
     TC = np.empty((n, 2, b, h), np.float32)
-    scratch = np.empty((2, b, 4 * h), np.float32)
+    scratch = np.empty((2, b, 3 * h), np.float32)
     for k in range(n):
         z = np.matmul(H[k], p["wh"])
         for d in (0, 1):
             for q in range(STRIDE):
                 z[d] += p["wx"][d, q][both[d, :, k, q]]
-        z[:, :, : 3 * h] *= 0.5
+        z[:, :, : 2 * h] *= 0.5
         squash(z, z, scratch)
-        z[:, :, : 3 * h] = z[:, :, : 3 * h] * 0.5 + 0.5
+        z[:, :, : 2 * h] = z[:, :, : 2 * h] * 0.5 + 0.5
         G[k] = z
-        C[k + 1] = z[:, :, h : 2 * h] * C[k] + z[:, :, :h] * z[:, :, 3 * h :]
+        C[k + 1] = z[:, :, 2 * h :] + z[:, :, :h] * (C[k] - z[:, :, 2 * h :])
         squash(C[k + 1], TC[k])
-        H[k + 1] = z[:, :, 2 * h : 3 * h] * TC[k]
+        H[k + 1] = z[:, :, h : 2 * h] * TC[k]
     hidden = np.concatenate([H[1:, 0], H[1:, 1][::-1]], axis=2)  # (N, B, 2H)
     s = (hidden @ p["wo"] + p["bo"]).reshape(n, b, STRIDE, TAGS).transpose(0, 2, 1, 3).reshape(t, b, TAGS)
     # CRF: forward and backward sums
@@ -266,14 +265,13 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
     nc = np.zeros((2, b, h), np.float32)
     wt = p["wh"].transpose(0, 2, 1)
     for k in range(n - 1, -1, -1):
-        i, f, o, c = (G[k][:, :, j * h : (j + 1) * h] for j in range(4))
+        f, o, c = (G[k][:, :, j * h : (j + 1) * h] for j in range(3))
         d = dH[k] + nh
         dc = nc + d * o * slope(TC[k])
         z = dz[k]
-        z[:, :, :h] = dc * c * slope(2 * i - 1) / 4
-        z[:, :, h : 2 * h] = dc * C[k] * slope(2 * f - 1) / 4
-        z[:, :, 2 * h : 3 * h] = d * TC[k] * slope(2 * o - 1) / 4
-        z[:, :, 3 * h :] = dc * i * slope(c)
+        z[:, :, :h] = dc * (C[k] - c) * slope(2 * f - 1) / 4
+        z[:, :, h : 2 * h] = d * TC[k] * slope(2 * o - 1) / 4
+        z[:, :, 2 * h :] = dc * (1 - f) * slope(c)
         nc = dc * f
         nh = np.matmul(z, wt)
     g["wh"] = np.stack([np.tensordot(H[:-1, k], dz[:, k], ([0, 1], [0, 1])) for k in (0, 1)])
@@ -282,7 +280,7 @@ def loss_and_grads(p: dict, x, y) -> tuple[float, dict]:
         for q in range(STRIDE):
             ids = both[k, :, :, q].T.ravel()
             order = np.argsort(ids, kind="stable")
-            flat = dz[:, k].reshape(-1, 4 * h)[order]
+            flat = dz[:, k].reshape(-1, 3 * h)[order]
             at = np.flatnonzero(np.diff(ids[order], prepend=-1))
             g["wx"][k, q][ids[order][at]] = np.add.reduceat(flat, at, axis=0)
     return loss, g
